@@ -21,6 +21,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(rows.unionByName(planted))
 
 
+def op6_patricia_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.exact import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.shards import shard_digest
 
@@ -29,6 +35,7 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_chat_format": op4_chat_format,
+    "op6_patricia_dedup": op6_patricia_dedup,
     "op7_hilbert_shards": op7_hilbert_shards,
 }
 
@@ -44,7 +51,7 @@ ORACLES: dict[str, str] = {
           window w as (partition by conv_id order by turn nulls first, role, text)),
         pieces as (
           select *, case when before = role then '[SEP]' when role = 'user' then '[INST]' when role = 'assistant' then ''
-              else '[ROLE]' || regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\]|SEP\]|/?ROLE\]|TEXT\])', '\', 'g') || '[TEXT]' end
+              else '[ROLE]' || regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\]|SEP\]|/?ROLE\]|TEXT\])', '\1\\\2\3', 'g') || '[TEXT]' end
             || {_ESCAPED} || case when after = role then '' when role = 'user' then '[/INST]'
               when role = 'assistant' then '</s>' else '[/ROLE]' end as piece from marked)
         select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) as turns_sha256,
@@ -52,4 +59,10 @@ ORACLES: dict[str, str] = {
           sha256(coalesce(string_agg(text, '' order by pos) filter (role = 'assistant'), '')) as loss_sha256,
           sum(length(piece))::bigint as formatted_chars
         from pieces group by conv_id""",
+    "op6_patricia_dedup": """
+        with d as (
+          select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as text_sha256
+          from documents),
+        g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from d group by 1)
+        select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, text_sha256 from d join g using (text_sha256)""",
 }
