@@ -21,6 +21,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(rows.unionByName(planted))
 
 
+def op5_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.neardup import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op6_patricia_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.exact import exact_groups
 
@@ -35,6 +41,7 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_chat_format": op4_chat_format,
+    "op5_minmax_neardup": op5_minmax_neardup,
     "op6_patricia_dedup": op6_patricia_dedup,
     "op7_hilbert_shards": op7_hilbert_shards,
 }
