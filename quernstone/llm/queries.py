@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from quernstone.session import table
 
 
+def op3_seed_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.chat import chat_digest
 
@@ -40,6 +46,7 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_seed_align": op3_seed_align,
     "op4_chat_format": op4_chat_format,
     "op5_minmax_neardup": op5_minmax_neardup,
     "op6_patricia_dedup": op6_patricia_dedup,
