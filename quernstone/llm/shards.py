@@ -63,15 +63,13 @@ def hilbert_table(dims: int) -> list[int]:
 def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
     """Index on the curve of a cell given by integer columns below ``2**bits``."""
     dims = len(cells)
-    moves = F.array(*[F.lit(x) for x in hilbert_table(dims)])
-    xs = F.array(*[c.cast("int") for c in cells])
+    cells = [c.cast("int") for c in cells]
+    moves = F.expr(f"array({','.join(map(str, hilbert_table(dims)))})")
 
     def step(acc: Column, level: Column) -> Column:
-        corner = F.aggregate(
-            F.sequence(F.lit(0), F.lit(dims - 1)),
-            F.lit(0),
-            lambda c, j: c + F.call_function("shiftleft", F.call_function("shiftright", F.element_at(xs, j + 1), level).bitwiseAND(F.lit(1)), j),
-        )
+        corner = F.lit(0)
+        for j, c in enumerate(cells):
+            corner = corner + F.call_function("shiftright", c, level).bitwiseAND(F.lit(1)) * (1 << j)
         move = F.element_at(moves, acc["s"] * (1 << dims) + corner + 1)
         return F.struct(
             (acc["h"] * (1 << dims) + (move % (1 << dims))).cast("long").alias("h"), F.floor(move / (1 << dims)).cast("int").alias("s")
@@ -88,27 +86,30 @@ def _number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def quantise(df: DataFrame, dims: list[str], bits: int = BITS) -> list[Column]:
-    """A cell number per dimension, cut at approximate quantiles; only these 2**bits-1 numbers per dimension reach the driver."""
+def quantise(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
+    """Adds ``_cell0``, ``_cell1``, ...: a cell per dimension, cut at approximate quantiles (2**bits-1 numbers each).
+
+    The numbers are projected once, below the comparisons, so that no string is converted for each cut anew.
+    """
     share = [k / (1 << bits) for k in range(1, 1 << bits)]
     cuts = df.select([_number(df, d).alias(d) for d in dims]).agg(*[F.percentile_approx(d, share, 2000).alias(d) for d in dims]).first()
+    numbers = df.select("*", *[_number(df, d).alias(f"_number{k}") for k, d in enumerate(dims)])
     cells = []
-    for d in dims:
+    for k, d in enumerate(dims):
         bounds = sorted(set(cuts[d] or []))
-        x = _number(df, d)
-        above = F.lit(0)
-        for b in bounds:
-            above = above + F.when(x >= F.lit(b), 1).otherwise(0)
-        cells.append(F.coalesce(above, F.lit(0)))
-    return cells
+        at = F.lit(0)
+        for n, b in enumerate(bounds):  # the first that holds wins, so from the highest cut down
+            at = F.when(F.col(f"_number{k}") >= F.lit(b), n + 1).otherwise(at) if n else F.when(F.col(f"_number{k}") >= F.lit(b), 1).otherwise(0)
+        cells.append(at.cast("int").alias(f"_cell{k}"))
+    return numbers.select(*df.columns, *cells)
 
 
 def assign_shards(docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = ("lang", "source", "n_chars"), bits: int = BITS, salts: int = SALTS) -> DataFrame:
     """Adds ``curve`` (Hilbert index), ``shard`` and ``slot`` (gapless from 0); row counts differ by one at most."""
     kept = [c for c in docs.columns if c not in ("curve", "shard", "slot", "_salt")]
-    placed = docs.select(
+    placed = quantise(docs, list(dims), bits).select(
         *kept,
-        hilbert_index(quantise(docs, list(dims), bits), bits).alias("curve"),
+        hilbert_index([F.col(f"_cell{k}") for k in range(len(dims))], bits).alias("curve"),
         F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(salts)).cast("int").alias("_salt"),
     )
     every = Window.orderBy("curve", "_salt").rowsBetween(Window.unboundedPreceding, -1)
