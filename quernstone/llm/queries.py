@@ -45,12 +45,26 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.toxicity import toxicity_predictions
+
+    return toxicity_predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_family_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.language import language_predictions
+
+    return language_predictions(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_seed_align": op3_seed_align,
     "op4_chat_format": op4_chat_format,
     "op5_minmax_neardup": op5_minmax_neardup,
     "op6_patricia_dedup": op6_patricia_dedup,
     "op7_hilbert_shards": op7_hilbert_shards,
+    "op9_nnpu_toxicity": op9_nnpu_toxicity,
+    "op10_family_language": op10_family_language,
 }
 
 _ESCAPED = r"regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|SEP\]|/?ROLE\]|TEXT\])', '\1\\\2\3', 'g')"
