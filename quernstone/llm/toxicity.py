@@ -5,10 +5,11 @@ non-negative one: ``prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))`` with the
 Adam with the ascent step of the method whenever the second part is negative. ``MEMBERS`` linear classifiers, each on its
 own half of the unlabelled sample, are averaged.
 
-Features are word counts (log(1+n)) of ``WORDS`` words, chosen by how much more often they occur in positive than in
-unlabelled documents. Texts are read whole, as hashes of their lower-cased words. The fit is on a bounded sample: at most
-``POSITIVE`` positive and ``UNLABELLED`` unlabelled documents, those with the smallest hashes of doc_id; ids of the
-sample are broadcast (7,000 numbers at most), so no text is shuffled.
+Features are the lower-cased words and the beginnings of words (``PREFIXES`` bytes long), by their counts (1+log n). The
+``FEATURES`` used are chosen by how much more often they occur in positive than in unlabelled documents of the sample,
+counted by Spark. Texts are read whole, as hashes. The fit is on a bounded sample: at most ``POSITIVE`` positive and
+``UNLABELLED`` unlabelled documents, those with the smallest hashes of doc_id; ids of the sample are broadcast (7,000
+numbers at most), so no text is shuffled.
 
 The class prior is the share of toxic rows among all labelled training rows unless it is given.
 
@@ -29,73 +30,81 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm import wordhash
+from quernstone.session import cut
 
-POSITIVE, UNLABELLED, WORDS, MEMBERS = 3000, 4000, 600, 3
+POSITIVE, UNLABELLED, FEATURES, MEMBERS = 3000, 4000, 600, 3
+EVIDENCE = 3.0  # half the G statistic that a feature must reach
+PREFIXES = (3, 4, 5, 6, 7, 8, 9, 10)
 
 
 @dataclass
 class ToxicityModel:
-    words: np.ndarray  # sorted hashes
+    known: np.ndarray  # sorted hashes
     weights: np.ndarray
     bias: float
 
     def logits(self, text: pa.Array) -> np.ndarray:
-        words, at = _words(text)
-        doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        place = np.minimum(np.searchsorted(self.words, words), max(0, len(self.words) - 1))
-        known = self.words[place] == words if len(self.words) else np.zeros(len(words), bool)
-        cells, n = np.unique(doc[known] * max(1, len(self.words)) + place[known], return_counts=True)
-        value = np.log1p(n) * self.weights[cells % max(1, len(self.words))] if len(cells) else np.zeros(0)
-        return np.bincount(cells // max(1, len(self.words)), value, minlength=len(at) - 1) + self.bias
+        rows, cols, n = occurrences(text, self.known)
+        return np.bincount(rows, (1 + np.log(n)) * self.weights[cols], minlength=len(text)) + self.bias
 
 
-def _words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _features(text: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """Families of hashes, one entry per word each (0: none), and the word offsets of the documents."""
     raw, offsets = wordhash.column(pc.utf8_lower(text.cast(pa.string())))
     starts, at = wordhash.word_starts(raw, offsets, wordhash.PUNCT)
-    return wordhash.word_hashes(raw, starts, wordhash.PUNCT, lower=False), at
-
-
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    whole = wordhash.word_hashes(raw, starts, wordhash.PUNCT, lower=False)
+    return [whole, *wordhash.prefix_hashes(raw, starts, wordhash.PUNCT, PREFIXES)], at
+
+
+def occurrences(text: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, index into known, count) of the known features of a batch."""
+    cells = [np.zeros(0, np.int64)]
+    if len(known):
+        sieve = np.zeros(1 << 16, bool)
+        sieve[(known >> np.uint64(48)).astype(np.int64)] = True
+        families, at = _features(text)
+        for h in families:
+            word = np.flatnonzero(sieve[(h >> np.uint64(48)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(known, h[word]), len(known) - 1)
+            ok = known[place] == h[word]
+            cells.append((np.searchsorted(at, word[ok], "right") - 1) * len(known) + place[ok])
+    cell, n = np.unique(np.concatenate(cells), return_counts=True)
+    width = max(1, len(known))
+    return cell // width, cell % width, n
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document counts of each feature among positive and unlabelled rows."""
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             batch = whole.slice(at, 500)
-            words, bounds = _words(batch.column("text"))
-            out = []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                hashes, n = np.unique(words[a:b], return_counts=True)
-                out.append((hashes.tobytes(), np.minimum(n, 65535).astype(np.uint16).tobytes()))
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["doc_id", "words", "n"]
-            )
-
-
-def _choose(positive: list, unlabelled: list) -> np.ndarray:
-    """Words much commoner in positive documents, by the G statistic of their document counts."""
-    def frequencies(bags: list) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(np.concatenate([b[0] for b in bags] or [np.zeros(0, np.uint64)]), return_counts=True)
-
-    words, p = frequencies(positive)
-    known, n = frequencies(unlabelled)
-    at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
-    u = np.where(known[at] == words, n[at], 0) if len(known) else np.zeros(len(words))
-    a, b = len(positive), max(1, len(unlabelled))
-    pool = (p + u) / (a + b)
-    gain = p * np.log(np.maximum(p, 1e-9) / a / pool) + u * np.log(np.maximum(u, 1e-9) / b / np.maximum(pool, 1e-12))
-    gain[(p / a <= u / b) | (p < 3)] = -1
-    best = np.lexsort((words, -gain))[:WORDS]
-    return np.sort(words[best][gain[best] > 0])
-
-
-def _matrix(bags: list, words: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(bags), len(words)), np.float32)
-    for k, (hashes, n) in enumerate(bags):
-        at = np.minimum(np.searchsorted(words, hashes), max(0, len(words) - 1))
-        ok = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
-        x[k, at[ok]] = np.log1p(n[ok])
-    return x
-
-
-def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+            families, bounds = _features(batch.column("text"))
+            marks = [np.array(batch.column(c).to_pylist(), bool) for c in ("p", "u")]
+            seen = [np.unique(np.concatenate([h[a:b] for h in families])) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            every = np.concatenate(seen)
+            doc = np.repeat(np.arange(len(seen)), [len(x) for x in seen])
+            hashes, inverse = np.unique(every, return_inverse=True)
+            n = [np.bincount(inverse, m[doc], minlength=len(hashes)).astype(np.int64) for m in marks]
+            yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(n[0]), pa.array(n[1])], ["feature", "p", "u"])
+
+
+def _vectors(known: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                rows, cols, n = occurrences(batch.column("text"), known)
+                cut_at = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+                each = [(cols[a:b].astype(np.uint16).tobytes(), n[a:b].astype(np.float32).tobytes()) for a, b in zip(cut_at[:-1], cut_at[1:])]
+                yield pa.record_batch(
+                    [batch.column("p"), batch.column("u"), pa.array([x[0] for x in each], pa.binary()), pa.array([x[1] for x in each], pa.binary())],
+                    ["p", "u", "cols", "n"],
+                )
+
+    return run
+
+
+def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, steps: int = 600, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, float]:
     """Linear classifier minimising the non-negative PU risk."""
     rng = np.random.default_rng(seed)
     w = np.zeros(xp.shape[1] + 1)
@@ -133,19 +142,35 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, prior: float | None =
     if not prior:
         return none
     prior = min(max(prior, 1e-3), 0.5)
-    positive = [r[0] for r in known.filter("toxic = 1").orderBy(order, "doc_id").limit(POSITIVE).select("doc_id").collect()]
+    positive = {r[0] for r in known.filter("toxic = 1").orderBy(order, "doc_id").limit(POSITIVE).select("doc_id").collect()}
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(train & F.col("doc_id").isNotNull())
-    unlabelled = [r[0] for r in texts.select("doc_id").orderBy(order, "doc_id").limit(UNLABELLED).collect()]
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in sorted({*positive, *unlabelled})], "doc_id long")
-    sample = texts.join(F.broadcast(wanted), "doc_id").mapInArrow(_bags, "doc_id bigint, words binary, n binary").collect()
-    bags = {r.doc_id: (np.frombuffer(r.words, np.uint64), np.frombuffer(r.n, np.uint16)) for r in sample}
-    p, u = [bags[i] for i in positive if i in bags], [bags[i] for i in unlabelled if i in bags]
-    if not p or not u:
+    unlabelled = {r[0] for r in texts.select("doc_id").orderBy(order, "doc_id").limit(UNLABELLED).collect()}
+    rows = [(i, i in positive, i in unlabelled) for i in sorted(positive | unlabelled)]
+    wanted = docs.sparkSession.createDataFrame(rows, "doc_id long, p boolean, u boolean")
+    sample = cut(texts.join(F.broadcast(wanted), "doc_id").select("text", "p", "u"))
+    a, b = (max(1, x or 0) for x in sample.agg(F.sum(F.col("p").cast("int")), F.sum(F.col("u").cast("int"))).first())
+    pool = (F.col("p") + F.col("u")) / (a + b)
+    gain = F.col("p") * F.log(F.col("p") / a / pool) + F.when(F.col("u") > 0, F.col("u") * F.log(F.col("u") / b / pool)).otherwise(0)
+    best = (
+        sample.mapInArrow(_frequencies, "feature bigint, p bigint, u bigint")
+        .groupBy("feature")
+        .agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+        .filter((F.col("feature") != 0) & (F.col("p") >= 5) & (F.col("p") / a > F.col("u") / b) & (gain >= EVIDENCE))
+        .orderBy(gain.desc(), "feature")
+        .limit(FEATURES)
+        .select("feature")
+        .collect()
+    )
+    chosen = np.sort(np.array([r[0] for r in best], np.int64).view(np.uint64))
+    vectors = sample.mapInArrow(_vectors(chosen), "p boolean, u boolean, cols binary, n binary").collect()
+    x = np.zeros((len(vectors), len(chosen)), np.float32)
+    for k, r in enumerate(vectors):
+        x[k, np.frombuffer(r.cols, np.uint16)] = 1 + np.log(np.frombuffer(r.n, np.float32))
+    xp, xu = x[[r.p for r in vectors]], x[[r.u for r in vectors]]
+    if not len(xp) or not len(xu):
         return none
-    words = _choose(p, u)
-    xp, xu = _matrix(p, words), _matrix(u, words)
     fits = [nnpu(xp, xu[k % 2 :: 2] if len(xu) > 1 else xu, prior, k) for k in range(MEMBERS)]
-    return ToxicityModel(words, np.mean([f[0] for f in fits], axis=0), float(np.mean([f[1] for f in fits])))
+    return ToxicityModel(chosen, np.mean([f[0] for f in fits], axis=0), float(np.mean([f[1] for f in fits])))
 
 
 def _score(model: ToxicityModel):

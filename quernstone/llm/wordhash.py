@@ -93,6 +93,24 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, separators: np.ndarray, low
     return mix(out)
 
 
+def prefix_hashes(raw: np.ndarray, starts: np.ndarray, separators: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """For each size, the hash of each word's first ``size`` bytes (0 for words no longer than that); case as it is."""
+    table = np.where(separators, np.uint64(0), _TABLE)
+    out = [np.zeros(len(starts), np.uint64) for _ in sizes]
+    if not len(starts):
+        return out
+    lengths = np.add.reduceat((~separators)[raw], starts, dtype=np.int64)
+    powers = _powers(max(sizes) + 1)
+    total = np.zeros(len(starts), np.uint64)
+    for j in range(max(sizes)):
+        long = np.flatnonzero(lengths > j)
+        total[long] += table[raw[starts[long] + j]] * powers[j]
+        if j + 1 in sizes:
+            longer = lengths > j + 1
+            out[sizes.index(j + 1)][longer] = mix(total[longer] + np.uint64(j + 1))
+    return out
+
+
 def windows(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k consecutive words (length len(words)-k+1)."""
     n = len(words) - k + 1
