@@ -104,7 +104,7 @@ def _vectors(known: np.ndarray):
     return run
 
 
-def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, steps: int = 600, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, float]:
+def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, steps: int = 1000, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Linear classifier minimising the non-negative PU risk."""
     rng = np.random.default_rng(seed)
     w = np.zeros(xp.shape[1] + 1)
