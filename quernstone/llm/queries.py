@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from quernstone.session import table
 
 
+def op1_stream_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.pieces import encode_pieces
+
+    return encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op3_seed_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.decontaminate import contaminated
 
@@ -58,6 +64,7 @@ def op10_family_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_stream_pieces": op1_stream_pieces,
     "op3_seed_align": op3_seed_align,
     "op4_chat_format": op4_chat_format,
     "op5_minmax_neardup": op5_minmax_neardup,
