@@ -14,6 +14,12 @@ def op1_stream_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op2_shape_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op3_seed_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.decontaminate import contaminated
 
@@ -65,6 +71,7 @@ def op10_family_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_stream_pieces": op1_stream_pieces,
+    "op2_shape_crf": op2_shape_crf,
     "op3_seed_align": op3_seed_align,
     "op4_chat_format": op4_chat_format,
     "op5_minmax_neardup": op5_minmax_neardup,
