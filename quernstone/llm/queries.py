@@ -57,6 +57,12 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.lm import corpus_scores
+
+    return corpus_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.toxicity import toxicity_predictions
 
@@ -77,6 +83,7 @@ QUERIES = {
     "op5_minmax_neardup": op5_minmax_neardup,
     "op6_patricia_dedup": op6_patricia_dedup,
     "op7_hilbert_shards": op7_hilbert_shards,
+    "op8_attention_lm": op8_attention_lm,
     "op9_nnpu_toxicity": op9_nnpu_toxicity,
     "op10_family_language": op10_family_language,
 }
