@@ -75,7 +75,14 @@ def op10_family_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_predictions(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_stream_pieces": op1_stream_pieces,
     "op2_shape_crf": op2_shape_crf,
     "op3_seed_align": op3_seed_align,
