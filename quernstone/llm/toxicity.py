@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm import wordhash
+from quernstone.llm.sampling import smallest_hashes
 from quernstone.session import cut
 
 POSITIVE, UNLABELLED, FEATURES, MEMBERS = 3000, 4000, 600, 3
@@ -135,16 +136,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, prior: float | None =
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    order = F.xxhash64("doc_id", F.lit(9))
     if prior is None:
         prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     none = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -40.0)
     if not prior:
         return none
     prior = min(max(prior, 1e-3), 0.5)
-    positive = {r[0] for r in known.filter("toxic = 1").orderBy(order, "doc_id").limit(POSITIVE).select("doc_id").collect()}
+    positive = set(smallest_hashes(known.filter("toxic = 1"), POSITIVE, 9))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(train & F.col("doc_id").isNotNull())
-    unlabelled = {r[0] for r in texts.select("doc_id").orderBy(order, "doc_id").limit(UNLABELLED).collect()}
+    unlabelled = set(smallest_hashes(texts, UNLABELLED, 9))
     rows = [(i, i in positive, i in unlabelled) for i in sorted(positive | unlabelled)]
     wanted = docs.sparkSession.createDataFrame(rows, "doc_id long, p boolean, u boolean")
     sample = cut(texts.join(F.broadcast(wanted), "doc_id").select("text", "p", "u"))
