@@ -629,3 +629,65 @@ def events_stream(spark, sf_dir):
     from quernstone.streaming import hourly_counts
 
     return hourly_counts(spark, f"{sf_dir}/events.parquet")
+
+
+# ---- the estate's own questions, on the example estate (no driver table holds source members) ------------------------
+
+
+def _example(spark: SparkSession):
+    """The example estate, built once per session into the shared folder."""
+    from quernstone.plans.estate import Estate, store
+    from quernstone.sources.example import MEMBERS
+    from quernstone.sources.members import inventory
+    from quernstone.streaming import shared_path
+
+    key = spark.sparkContext.applicationId
+    if key not in _BUILT:
+        files = spark.createDataFrame([(f"/estate/{p}", bytearray(t.encode())) for p, t in sorted(MEMBERS.items())], "path string, content binary")
+        _BUILT[key] = store(inventory(files, "/estate"), shared_path(spark, "estate")).path
+    return Estate(spark, _BUILT[key])
+
+
+_BUILT: dict[str, str] = {}
+
+
+@query()
+def estate_dataset_flow(spark, sf_dir):
+    """Programs, data sets and directions with their evidence (Q2, Q10, M1)."""
+    return _example(spark).dataset_flow()
+
+
+@query()
+def estate_calls(spark, sf_dir):
+    """Calls with all candidates of dynamic ones."""
+    return _example(spark).calls()
+
+
+@query()
+def estate_layout(spark, sf_dir):
+    """Byte layouts through copybooks."""
+    return _example(spark).fact("field")
+
+
+@query()
+def estate_crud(spark, sf_dir):
+    """Programs against resources (Q18)."""
+    return _example(spark).crud()
+
+
+@query()
+def estate_values(spark, sf_dir):
+    """Documented and observed values (Q6)."""
+    return _example(spark).values("WS-STATE")
+
+
+@query()
+def estate_coverage(spark, sf_dir):
+    """What is not known (Q25)."""
+    return _example(spark).coverage()
+
+
+@query()
+def estate_flow(spark, sf_dir):
+    """Value flow over moves, calls and files."""
+    return _example(spark).flow("WS-KEY", "ORDLOAD", 3)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _shared(spark: SparkSession, name: str) -> str:
+def shared_path(spark: SparkSession, name: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quernstone-")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
@@ -29,7 +29,7 @@ def hourly_counts(spark: SparkSession, path: str, files_per_trigger: int = 100)
     counts = events.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hour"), "event_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total")
     )
-    out, state = _shared(spark, "hours"), _shared(spark, "state")
+    out, state = shared_path(spark, "hours"), shared_path(spark, "state")
 
     def save(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(out)
