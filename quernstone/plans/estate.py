@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.operators import graph, interval, relational, text
@@ -427,6 +427,44 @@ class Estate:
         )
         return both.select("level", "name", kind.alias("change"), (F.col("new_at") - F.col("old_at")).alias("delta"))
 
+    def interfaces(self) -> DataFrame:
+        """Facts at the estate's border: transfers, online files, data sets that only one side touches (Q22)."""
+        ftp = self.fact("step").filter("effective = 'FTP' or how = 'FTP'").select(F.lit("ftp").alias("kind"), F.col("job").alias("who"), F.col("step").alias("what"))
+        online = self.fact("cics_file").select(F.lit("online_file").alias("kind"), F.col("file").alias("who"), F.col("dsn").alias("what"))
+        entry = self.fact("transaction_def").select(F.lit("transaction").alias("kind"), F.col("code").alias("who"), F.col("program").alias("what"))
+        systems = self.dataset_flow().join(self.fact("job").select("job", "system"), "job").groupBy("dsn").agg(relational.ordered_list("system").alias("who"), F.countDistinct("system").alias("n"))
+        shared = systems.filter("n > 1").select(F.lit("shared_data_set").alias("kind"), "who", F.col("dsn").alias("what"))
+        return ftp.unionByName(online).unionByName(entry).unionByName(shared)
+
+    def releases(self, old: str, new: str) -> DataFrame:
+        """Members of two systems by name and kind: added, removed, changed, same (Q32), by one full outer join."""
+        side = lambda system, p: self.members.filter(F.col("system") == system).groupBy("name", "kind").agg(F.min("norm_sha").alias(f"{p}_sha"), F.min("member_id").alias(f"{p}_id"))
+        both = side(old, "old").join(side(new, "new"), ["name", "kind"], "full_outer")
+        change = F.when(F.col("old_sha").isNull(), "added").when(F.col("new_sha").isNull(), "removed").when(F.col("old_sha") != F.col("new_sha"), "changed").otherwise("same")
+        return both.select("name", "kind", change.alias("change"), "old_id", "new_id")
+
+    def documents(self, term: str) -> DataFrame:
+        """(member, part, excerpt): documents that mention a term (Q33)."""
+        docs = self.members.filter(F.col("kind").isin("document", "html")).select("member_id", F.col("name").alias("member"), "text")
+        parts = text.chunks(docs.select("member_id", "text"), "member_id")
+        hit = parts.filter(F.contains(F.lower("chunk"), F.lit(term.lower()))).join(docs.select("member_id", "member"), "member_id")
+        at = F.greatest(F.locate(term.lower(), F.lower(F.col("chunk"))) - 40, F.lit(1))
+        return hit.select("member", "part", F.substr("chunk", at, F.lit(120)).alias("excerpt"))
+
+    def pack(self, program: str, budget: int = 4000) -> DataFrame:
+        """Evidence lines of a program in a character budget, by priority of their fact (Q30, L4)."""
+        own = self.fact("program").filter(F.col("program_id") == program.upper()).select("member_id")
+        order = ["call_edge", "io_op", "sql_stmt", "perform_edge", "data_flow", "literal_ref"]
+        cites = None
+        for n, fact in enumerate(order):
+            rows = self.fact(fact).join(own, "member_id", "left_semi").select("member_id", F.col("line").cast("long").alias("line_no"), F.lit(n).alias("priority"))
+            cites = rows if cites is None else cites.unionByName(rows)
+        best = cites.groupBy("member_id", "line_no").agg(F.min("priority").alias("priority"))
+        lines = text.lines(self.members.join(own, "member_id", "left_semi").select("member_id", "text"), "member_id")
+        sized = best.join(lines, ["member_id", "line_no"]).withColumn("size", F.length("txt").cast("long") + 1)
+        running = F.sum("size").over(Window.partitionBy("member_id").orderBy("priority", "line_no").rowsBetween(Window.unboundedPreceding, 0))
+        return sized.withColumn("running", running).filter(F.col("running") <= budget).select("priority", "line_no", "txt")
+
     # -- value flow --------------------------------------------------------------------------------------------------
 
     def flow(self, field: str, program: str, hops: int = 3) -> DataFrame:

@@ -174,3 +174,12 @@ def test_gate(spark):
     sizes = lines.groupBy("ref").agg(F.count("*").alias("n_lines"))
     got = {(r.n, r.verdict, r.reason) for r in gate.verdicts(gate.extract(answers), lines, sizes).collect()}
     assert got == {(1, "PASS", ""), (2, "FAIL", "range invalid"), (3, "FAIL", "unknown member"), (4, "FAIL", "token absent"), (5, "WARN", "weak token")}
+
+
+def test_interfaces_releases_documents_pack(estate):
+    assert ("online_file", "CUSTF", "PROD.CUST") in rows(estate.interfaces(), "kind", "who", "what")
+    got = {(r.name, r.kind): r.change for r in estate.releases("TEST", "SALES").collect()}
+    assert got["ORDREC", "copybook"] == "changed" and got["ORDTAIL", "copybook"] == "added"
+    assert rows(estate.documents("each night"), "member", "part") == [("GUIDE", 1)]
+    packed = estate.pack("ORDLOAD", 120).collect()
+    assert packed and sum(len(r.txt) + 1 for r in packed) <= 120 and packed[0].priority == 0
