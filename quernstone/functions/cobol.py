@@ -170,11 +170,34 @@ def expand(text: str, copybooks: dict[str, str], depth: int = 12) -> tuple[list[
     return go(text, "", 0, depth, ()), unresolved
 
 
+_SQL_OPEN = re.compile(r"\bEXEC\s+SQL\s+", re.I)
+_SQL_SHUT = re.compile(r"\bEND-EXEC\b", re.I)
+
+
+def _sql_blocks(s: str) -> tuple[list[str], str]:
+    """SQL blocks of a sentence, and the sentence with a CONTINUE in the place of each; one scan, closed or not."""
+    blocks, rest, at = [], [], 0
+    while m := _SQL_OPEN.search(s, at):
+        end = _SQL_SHUT.search(s, m.end())
+        if not end:
+            return blocks, "".join([*rest, s[at : m.start()]])
+        blocks.append(s[m.end() : end.start()])
+        rest += [s[at : m.start()], " CONTINUE "]
+        at = end.end()
+    return blocks, "".join([*rest, s[at:]])
+
+
 def _phrases(words: list[str]) -> list[list[str]]:
     out: list[list[str]] = []
+    block = False
     for k, w in enumerate(words):
-        if w.upper() in _VERBS and not (out and out[-1][0].upper() == "EXEC" and "END-EXEC" not in (x.upper() for x in out[-1])):
+        verb = w.upper()
+        if verb in _VERBS and not block:
             out.append([w])
+            block = verb == "EXEC"
+        elif verb == "END-EXEC" and out:
+            out[-1].append(w)
+            block = False
         elif out:
             out[-1].append(w)
         elif k == 0:
@@ -268,9 +291,9 @@ def parse_program(text: str, copybooks: dict[str, str] | None = None) -> dict[st
             continue
         if division != "PROCEDURE":
             continue
-        for m in re.finditer(r"EXEC\s+SQL\s+(.*?)END-EXEC", s, re.I | re.S):
-            _sql(facts, m[1], line, "")
-        s = re.sub(r"EXEC\s+SQL\s+.*?END-EXEC", " CONTINUE ", s, flags=re.I | re.S)
+        blocks, s = _sql_blocks(s)
+        for block in blocks:
+            _sql(facts, block, line, "")
         words = _TOKEN.findall(s)
         if len(words) == 1 and words[0].upper() not in _VERBS or len(words) == 2 and words[1].upper() == "SECTION":
             para = {"name": words[0].upper(), "line": line, "kind": "section" if len(words) == 2 else "paragraph", "ordinal": len(paragraphs), "last": ""}

@@ -104,22 +104,32 @@ def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def parts_of(members: DataFrame, depth: int = 12) -> DataFrame:
     """(member_id, parts array<(name, text)>, ambiguous): the copybooks and procedures each member needs, all levels.
 
-    Level by level by joins, so no text is broadcast; of several parts of one name one is chosen by precedence: same
-    system, then path (E8). A recursion ends because a name is taken once per member.
+    Level by level by joins, so no text is broadcast. Of several parts of one name one is chosen by precedence: the
+    first by path of the same system, else the first of all (E8); both are aggregates with one row per name, so a name
+    that every system holds does not multiply. A recursion ends because a name is taken once per member.
     """
     usable = members.filter(F.col("kind").isin("program", "copybook", "jcl", "proc"))
-    uses = usable.select("member_id", "kind", "text").mapInArrow(_uses, "member_id bigint, part string")
-    library = members.filter(F.col("kind").isin("copybook", "proc")).select(F.col("member_id").alias("part_id"), F.col("name").alias("part"), F.col("system").alias("part_system"), "path", "norm_sha", F.col("text").alias("part_text"))
-    inner = uses.withColumnRenamed("member_id", "via_id").withColumnRenamed("part", "next")
-    seen = usable.select("member_id", "system").join(uses, "member_id")
-    frontier = seen
+    uses = cut(usable.select("member_id", "kind", "text").mapInArrow(_uses, "member_id bigint, part string"))
+    library = members.filter(F.col("kind").isin("copybook", "proc")).select(F.col("name").alias("part"), "system", "path", "member_id", "norm_sha")
+    first = F.min(F.struct("path", "member_id"))
+    own = library.groupBy("part", "system").agg(first.alias("own"))
+    any_ = library.groupBy("part").agg(first.alias("any"), (F.min("norm_sha") != F.max("norm_sha")).alias("ambiguous"))
+
+    def resolved(need: DataFrame) -> DataFrame:
+        both = need.join(any_, "part").join(own, ["part", "system"], "left")
+        return both.select("member_id", "system", "part", F.coalesce("own.member_id", "any.member_id").alias("part_id"), "ambiguous")
+
+    inner = uses.select(F.col("member_id").alias("part_id"), F.col("part").alias("next"))
+    frontier = cut(resolved(usable.select("member_id", "system").join(uses, "member_id")))
+    seen = frontier
     for _ in range(depth):
-        below = frontier.join(library.select("part_id", "part"), "part").join(inner, F.col("part_id") == F.col("via_id")).select("member_id", "system", F.col("next").alias("part")).distinct()
-        frontier = cut(below.join(seen.select("member_id", "part"), ["member_id", "part"], "left_anti"))
+        below = frontier.join(inner, "part_id").select("member_id", "system", F.col("next").alias("part")).distinct()
+        frontier = cut(resolved(below.join(seen.select("member_id", "part"), ["member_id", "part"], "left_anti")))
         if not frontier.limit(1).count():
             break
         seen = cut(seen.unionByName(frontier))
-    chosen = relational.pick_by_precedence(seen.join(library, "part"), ["member_id", "part"], [F.col("part_system") != F.col("system"), F.col("path")], "norm_sha")
+    texts = members.select(F.col("member_id").alias("part_id"), F.col("text").alias("part_text"))
+    chosen = seen.join(texts, "part_id")
     return chosen.groupBy("member_id").agg(F.collect_list(F.struct(F.col("part").alias("name"), F.col("part_text").alias("text"))).alias("parts"), F.max("ambiguous").alias("ambiguous"))
 
 
