@@ -310,6 +310,11 @@ def parse_program(text: str, copybooks: dict[str, str] | None = None) -> dict[st
         for item in root.walk():
             for name, lo, _, _ in item.values:
                 literal_map.setdefault(name, set()).add(lo)
+    for dli in facts.get("dli_call", ()):
+        known = sorted(x.strip() for x in literal_map.get(dli["func_var"], ()) if x.strip())
+        dli["func"] = known[0] if len(known) == 1 else unquote(dli["func_var"]).strip() if dli["func_var"][:1] in "'\"" else ""
+        if not dli["func"]:
+            facts["unresolved"].append({"kind": "dli_function", "detail": dli["func_var"], "line": dli["line"]})
     for call, variable in calls:
         if variable:
             found = sorted(x for x in literal_map.get(variable, ()) if x)
@@ -379,6 +384,10 @@ def _phrase(facts, p, line, para, files, record_of, literal_map, calls, guard) -
         call = {"kind": "static" if literal else "dynamic", "target": target if literal else "", "via_var": "" if literal else target, "resolved": [target] if literal else [], "resolution": "literal" if literal else "", "using_args": args, "line": line, "para": para["name"]}
         facts["call_edge"].append(call)
         calls.append((call, None if literal else target))
+        if literal and target in ("CBLTDLI", "AIBTDLI", "CEETDLI") and len(args) >= 2:
+            facts["dli_call"].append({"func": "", "func_var": args[0], "pcb": args[1], "area": args[2] if len(args) > 2 else "", "ssas": args[3:], "line": line})
+        elif literal and target in ("MQOPEN", "MQPUT", "MQPUT1", "MQGET", "MQCLOSE"):
+            facts["mq_call"].append({"verb": target, "args": args, "line": line})
         for pos, a in enumerate(args, 1):
             facts["call_arg"].append({"target": target if literal else "", "pos": pos, "arg": a, "line": line})
     elif verb == "PERFORM" and rest and up[0] not in ("UNTIL", "VARYING", "TIMES", "WITH", "TEST") and not up[0].isdigit():

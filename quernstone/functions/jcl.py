@@ -183,8 +183,10 @@ def _steps(facts, job, body, symbols, streams, procs, depth, from_proc, override
             if where in ("", step["name"]):
                 by_dd[dd] = sts
         cards = [x for sts in by_dd.values() for st in sts for x in st[4]]
+        parm = substitute(ops.get("PARM", "").strip("'()"), symbols).split(",")
+        psb = parm[2].strip().upper() if program == "DFSRRC00" and len(parm) > 2 else ""
         effective, how = _effective(program, substitute(ops.get("PARM", "").strip("'()"), symbols), cards)
-        facts["step"].append({"job": job, "step": label, "pgm": program, "effective": effective, "how": how, "from_proc": from_proc, "line": step["line"], "ordinal": len(facts["step"])})
+        facts["step"].append({"job": job, "step": label, "pgm": program, "effective": effective, "how": how, "from_proc": from_proc, "psb": psb, "line": step["line"], "ordinal": len(facts["step"])})
         for dd, sts in by_dd.items():
             seq = 0
             for no, _, _, operands, lines in sts:

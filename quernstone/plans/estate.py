@@ -25,6 +25,8 @@ FACTS = {
     "perform_edge": "from_para string, to_para string, thru_para string, kind string, line int",
     "call_edge": "kind string, target string, via_var string, resolved array<string>, resolution string, using_args array<string>, line int, para string",
     "call_arg": "target string, pos int, arg string, line int",
+    "dli_call": "func string, func_var string, pcb string, area string, ssas array<string>, line int",
+    "mq_call": "verb string, args array<string>, line int",
     "copy_use": "copybook string, library string, line int, resolved boolean",
     "field": "ordinal int, root string, parent string, level int, name string, pic string, usage string, occurs int, odo_on string, redefines string, offset int, length int, extent int, is_group boolean, section string, line int",
     "cond88": "field string, name string, lo string, hi string, line int",
@@ -38,7 +40,7 @@ FACTS = {
     "job": "job string, line int",
     "proc_def": "proc string, line int, symbolics map<string,string>",
     "proc_call": "job string, proc string, step string, line int",
-    "step": "job string, step string, pgm string, effective string, how string, from_proc string, line int, ordinal int",
+    "step": "job string, step string, pgm string, effective string, how string, from_proc string, psb string, line int, ordinal int",
     "dd": "job string, step string, dd string, concat int, dsn string, gdg string, disp string, mode string, mode_source string, temp boolean, line int",
     "card_field": "job string, step string, card string, pos int, length int, fmt string, line int",
     "screen": "map string, size string, line int",
@@ -477,49 +479,60 @@ class Estate:
 
     # -- value flow --------------------------------------------------------------------------------------------------
 
-    def flow(self, field: str, program: str, hops: int = 3) -> DataFrame:
-        """Where the bytes of a field go: (hop, program_id, root, lo, hi, how, line).
+    def _flow_edges(self, items: DataFrame, up: bool) -> DataFrame:
+        """(program_id, src, d_program, d_root, d_lo, d_hi, d_pic, how, line): moves, arguments and columns.
 
-        A node is a byte range of a root item of one program. Each hop joins the frontier with the items that overlap it,
-        takes moves out of these, arguments into called programs, and records written to data sets that other programs
-        read; a range inside one that was seen ends there. The walk ignores the order of statements.
+        One row leads from a named item of a program to a byte range; upwards the two ends change places. Names that
+        several items of a program share are left out, as they cannot be resolved.
         """
         programs = self.fact("program").select("member_id", "program_id", "linkage")
-        items = cut(self.fact("field").filter("extent > 0").join(programs.select("member_id", "program_id"), "member_id").select("program_id", "root", "name", F.col("offset").cast("long").alias("lo"), (F.col("offset") + F.col("extent")).cast("long").alias("hi"), "pic", "is_group"))
+        ids = programs.select("member_id", "program_id")
         unique = items.join(items.groupBy("program_id", "name").count().filter("count = 1").drop("count"), ["program_id", "name"])
-        moves = self.fact("data_flow").filter("src <> ''").join(programs.select("member_id", "program_id"), "member_id").select("program_id", "src", "dst", "verb", "line")
-        target = unique.select("program_id", F.col("name").alias("dst"), F.col("root").alias("d_root"), F.col("lo").alias("d_lo"), F.col("hi").alias("d_hi"), F.col("pic").alias("d_pic"))
-        moves = cut(moves.join(target, ["program_id", "dst"]))
-        args = self.fact("call_edge").join(programs.select("member_id", "program_id"), "member_id").select("program_id", F.explode("resolved").alias("callee"), "line", F.posexplode("using_args").alias("pos", "src"))
-        params = programs.select(F.col("program_id").alias("callee"), F.posexplode("linkage").alias("pos", "param"))
-        params = params.join(unique.select(F.col("program_id").alias("callee"), F.col("name").alias("param"), F.col("root").alias("d_root"), F.col("lo").alias("d_lo"), F.col("hi").alias("d_hi")), ["callee", "param"])
-        passed = cut(args.join(params, ["callee", "pos"]).select("program_id", "src", "callee", "d_root", "d_lo", "d_hi", "line"))
-        ios = self.fact("io_op").join(programs.select("member_id", "program_id"), "member_id").filter("dd <> ''").select("program_id", "dd", "target").distinct()
-        records = self._records(items, programs)
-        sets = self.dataset_flow().filter("not temp").select("program_id", "dd", "dsn", "mode").distinct().join(ios, ["program_id", "dd"]).join(records, ["program_id", "target"])
-        out = sets.filter(F.col("mode").isin("output", "both")).select("program_id", "root", "dsn")
-        into = sets.filter(F.col("mode").isin("input", "both")).select(F.col("program_id").alias("reader"), F.col("root").alias("d_root"), "dsn")
-        files = cut(out.join(into, "dsn").filter("program_id <> reader"))
-        frontier = cut(items.filter((F.col("name") == field.upper()) & (F.col("program_id") == program.upper())).select(F.lit(0).alias("hop"), "program_id", "root", "lo", "hi", F.lit("start").alias("how"), F.lit(0).alias("line")))
+        moves = self.fact("data_flow").filter("src <> ''").join(ids, "member_id").select(F.col("program_id").alias("a_program"), F.col("src").alias("a"), F.col("program_id").alias("b_program"), F.col("dst").alias("b"), F.col("verb").alias("how"), "line")
+        args = self.fact("call_edge").join(ids, "member_id").select(F.col("program_id").alias("a_program"), F.explode("resolved").alias("b_program"), "line", "using_args").select("a_program", "b_program", "line", F.posexplode("using_args").alias("pos", "a"))
+        params = programs.select(F.col("program_id").alias("b_program"), F.posexplode("linkage").alias("pos", "b"))
+        calls = args.join(params, ["b_program", "pos"]).select("a_program", "a", "b_program", "b", F.lit("CALL").alias("how"), "line")
+        columns = self.fact("sql_col_ref").filter("tbl <> '?'").join(ids, "member_id").select("program_id", "base_tbl", "col", "host_var", "mode", "line")
+        put = columns.filter("mode = 'write'").select("base_tbl", "col", F.col("program_id").alias("a_program"), F.col("host_var").alias("a"), "line")
+        get = columns.filter("mode = 'read'").select("base_tbl", "col", F.col("program_id").alias("b_program"), F.col("host_var").alias("b"))
+        tables = put.join(get, ["base_tbl", "col"]).select("a_program", "a", "b_program", "b", F.concat(F.lit("column "), "base_tbl", F.lit("."), "col").alias("how"), "line")
+        every = moves.unionByName(calls).unionByName(tables)
+        near, far = ("b", "a") if up else ("a", "b")
+        ends = unique.select(F.col("program_id").alias(f"{far}_program"), F.col("name").alias(far), F.col("root").alias("d_root"), F.col("lo").alias("d_lo"), F.col("hi").alias("d_hi"), F.col("pic").alias("d_pic"))
+        return every.join(ends, [f"{far}_program", far]).select(F.col(f"{near}_program").alias("program_id"), F.col(near).alias("src"), F.col(f"{far}_program").alias("d_program"), "d_root", "d_lo", "d_hi", "d_pic", "how", "line")
+
+    def flow(self, field: str, program: str, hops: int = 3, up: bool = False) -> DataFrame:
+        """Where the bytes of a field go, or come from: (hop, program_id, root, lo, hi, how, line).
+
+        A node is a byte range of a root item of one program. Each hop joins the frontier with the items that overlap it,
+        takes the edges of these, and records written to data sets that other programs read; a range inside one that was
+        seen ends there. The walk ignores the order of statements.
+        """
+        programs = self.fact("program").select("member_id", "program_id")
+        items = cut(self.fact("field").filter("extent > 0").join(programs, "member_id").select("program_id", "root", "name", F.col("offset").cast("long").alias("lo"), (F.col("offset") + F.col("extent")).cast("long").alias("hi"), "pic", "is_group"))
+        edges = cut(self._flow_edges(items, up))
+        ios = self.fact("io_op").join(programs, "member_id").filter("dd <> ''").select("program_id", "dd", "target").distinct()
+        sets = self.dataset_flow().filter("not temp").select("program_id", "dd", "dsn", "mode").distinct().join(ios, ["program_id", "dd"]).join(self._records(items, programs), ["program_id", "target"])
+        writes, reads = ("input", "output") if up else ("output", "input")
+        out = sets.filter(F.col("mode").isin(writes, "both")).select("program_id", "root", "dsn")
+        into = sets.filter(F.col("mode").isin(reads, "both")).select(F.col("program_id").alias("other"), F.col("root").alias("d_root"), "dsn")
+        files = cut(out.join(into, "dsn").filter("program_id <> other"))
+        start = items.filter((F.col("name") == field.upper()) & (F.col("program_id") == program.upper()))
+        frontier = cut(start.select(F.lit(0).alias("hop"), "program_id", "root", "lo", "hi", F.lit("start").alias("how"), F.lit(0).alias("line")))
         seen = frontier
         for hop in range(1, hops + 1):
             near = interval.overlap_join(frontier.select("program_id", "root", "lo", "hi"), items.select("program_id", "root", "lo", "hi", "name", "pic"), ["program_id", "root"], "lo", "hi", 256)
-            near = near.select("program_id", "root", "lo", "hi", F.col("r_name").alias("src"), F.col("r_lo").alias("s_lo"), F.col("r_hi").alias("s_hi"), F.col("r_pic").alias("s_pic"))
+            near = near.select("program_id", "lo", "hi", F.col("r_name").alias("src"), F.col("r_lo").alias("s_lo"), F.col("r_hi").alias("s_hi"), F.col("r_pic").alias("s_pic"))
             begin = F.greatest("lo", "s_lo") - F.col("s_lo")
             size = F.least("hi", "s_hi") - F.greatest("lo", "s_lo")
-
-            def image(whole: F.Column) -> tuple[F.Column, F.Column]:
-                """Left-justified bytes, cut at the target's end; the whole target where the picture converts."""
-                lo = F.when(whole, F.col("d_lo")).otherwise(F.col("d_lo") + begin)
-                return lo, F.when(whole, F.col("d_hi")).otherwise(F.least(F.col("d_hi"), F.col("d_lo") + begin + size))
-
-            converts = (F.col("s_pic") != F.col("d_pic")) & (F.col("s_pic").rlike("^S?9") | F.col("d_pic").rlike("^S?9"))
-            lo, hi = image(converts)
-            moved = near.join(moves, ["program_id", "src"]).select("program_id", F.col("d_root").alias("root"), lo.alias("lo"), hi.alias("hi"), "verb", "line").withColumnRenamed("verb", "how")
-            lo, hi = image(F.lit(False))
-            called = near.join(passed, ["program_id", "src"]).select(F.col("callee").alias("program_id"), F.col("d_root").alias("root"), lo.alias("lo"), hi.alias("hi"), F.lit("CALL").alias("how"), "line")
-            written = frontier.select("program_id", "root", "lo", "hi").join(files, ["program_id", "root"]).select(F.col("reader").alias("program_id"), F.col("d_root").alias("root"), "lo", "hi", F.concat(F.lit("file "), "dsn").alias("how"), F.lit(0).alias("line"))
-            new = moved.unionByName(called).unionByName(written).filter("lo < hi").distinct()
+            # left-justified bytes, cut at the other end's last; the whole of it where a move converts the picture
+            numeric = F.col("s_pic").rlike("^S?9") | F.col("d_pic").rlike("^S?9")
+            whole = (F.col("how") != "CALL") & (F.col("s_pic") != F.col("d_pic")) & numeric
+            lo = F.when(whole, F.col("d_lo")).otherwise(F.col("d_lo") + begin)
+            hi = F.when(whole, F.col("d_hi")).otherwise(F.least(F.col("d_hi"), F.col("d_lo") + begin + size))
+            moved = near.join(edges, ["program_id", "src"]).select(F.col("d_program").alias("program_id"), F.col("d_root").alias("root"), lo.alias("lo"), hi.alias("hi"), "how", "line")
+            written = frontier.select("program_id", "root", "lo", "hi").join(files, ["program_id", "root"]).select(F.col("other").alias("program_id"), F.col("d_root").alias("root"), "lo", "hi", F.concat(F.lit("file "), "dsn").alias("how"), F.lit(0).alias("line"))
+            new = moved.unionByName(written).filter("lo < hi").distinct()
             inside = seen.select("program_id", "root", F.col("lo").alias("v_lo"), F.col("hi").alias("v_hi"))
             fresh = new.join(inside, (new["program_id"] == inside["program_id"]) & (new["root"] == inside["root"]) & (inside["v_lo"] <= new["lo"]) & (new["hi"] <= inside["v_hi"]), "left_anti")
             frontier = cut(fresh.select(F.lit(hop).alias("hop"), "program_id", "root", "lo", "hi", "how", "line"))
@@ -528,6 +541,34 @@ class Estate:
             seen = cut(seen.unionByName(frontier))
         return seen
 
+    def origins(self, field: str, program: str, hops: int = 3) -> DataFrame:
+        """Literals that reach a field, with where each is set (G27): moves of literals into ranges of the upward walk."""
+        walk = self.flow(field, program, hops, up=True).select("program_id", "root", "lo", "hi", "hop")
+        programs = self.fact("program").select("member_id", "program_id")
+        items = self.fact("field").filter("extent > 0").join(programs, "member_id").select("program_id", "root", F.col("name").alias("dst"), F.col("offset").cast("long").alias("lo"), (F.col("offset") + F.col("extent")).cast("long").alias("hi"))
+        touched = interval.overlap_join(walk, items, ["program_id", "root"], "lo", "hi", 256).select("program_id", F.col("r_dst").alias("dst"), "hop")
+        sets = self.fact("data_flow").filter("src = ''").join(programs, "member_id").select("program_id", "dst", F.col("src_lit").alias("literal"), "line")
+        return sets.join(touched, ["program_id", "dst"]).groupBy("program_id", "dst", "literal", "line").agg(F.min("hop").alias("hop"))
+
+    # -- database calls ----------------------------------------------------------------------------------------------
+
+    def database_calls(self) -> DataFrame:
+        """(program_id, func, position, psb, dbd, procopt, area, line): each DL/I call with the PCB it names.
+
+        The PSB is that of the step's parameter, else the one of the program's own name; the position is the argument's
+        place in the program's linkage.
+        """
+        programs = self.fact("program").select("member_id", "program_id", "linkage")
+        calls = self.fact("dli_call").join(programs, "member_id").withColumn("position", F.array_position("linkage", F.col("pcb")).cast("int"))
+        by_step = self.fact("step").filter("how = 'ims_parm'").select(F.col("effective").alias("program_id"), F.nullif("psb", F.lit("")).alias("step_psb")).filter("step_psb is not null").distinct()
+        psb = calls.join(by_step, "program_id", "left").withColumn("psb", F.coalesce("step_psb", "program_id"))
+        pcbs = self.fact("ims_pcb").select("psb", "position", "dbd", "procopt", "senseg")
+        return psb.join(pcbs, ["psb", "position"], "left").select("program_id", "func", "position", "psb", "dbd", "procopt", "senseg", "area", "line")
+
+    def segment(self, name: str) -> DataFrame:
+        """Programs whose calls go through a PCB that is sensitive to a segment (Q15)."""
+        return self.database_calls().filter(F.array_contains("senseg", name.upper())).groupBy("program_id", "dbd").agg(relational.ordered_list("func").alias("functions"), F.min("line").alias("first_line"))
+
     def _records(self, items: DataFrame, programs: DataFrame) -> DataFrame:
         """(program_id, target, root): the record areas of each file, taken as the FILE SECTION roots between its FD and the next."""
         decl = self.fact("file_decl").join(programs.select("member_id", "program_id"), "member_id").select("program_id", F.col("select").alias("target"))

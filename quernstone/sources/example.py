@@ -78,6 +78,28 @@ MEMBERS = {
            MOVE INP-ID TO WS-COPY.
            COPY NOTHERE.
            GOBACK.
+""",
+    "SALES/cobol/CUSTUPD.cbl": """\
+       IDENTIFICATION DIVISION.
+       PROGRAM-ID. CUSTUPD.
+       DATA DIVISION.
+       WORKING-STORAGE SECTION.
+       01 FN-GU PIC X(4) VALUE 'GU  '.
+       01 CUST-AREA PIC X(16).
+       01 WS-PRICE PIC S9(7)V99 COMP-3.
+       LINKAGE SECTION.
+       01 IO-PCB PIC X(10).
+       01 CUST-PCB PIC X(10).
+       PROCEDURE DIVISION USING IO-PCB CUST-PCB.
+       P1.
+           CALL 'CBLTDLI' USING FN-GU CUST-PCB CUST-AREA.
+           EXEC SQL SELECT AMT INTO :WS-PRICE FROM APP.PRICE
+             WHERE ID = 1 END-EXEC.
+           GOBACK.
+""",
+    "SALES/jcl/CUSTJOB.jcl": """\
+//CUSTJOB  JOB (ACCT),'CUST'
+//UPD      EXEC PGM=DFSRRC00,PARM='BMP,CUSTUPD,CUSTPSB'
 """,
     "SALES/copy/ORDREC.cpy": """\
            05 ORD-ID        PIC X(10).

@@ -43,8 +43,7 @@ def test_kinds(estate):
 
 
 def test_layout_through_nested_and_replaced_copies(estate):
-    assert rows(estate.layout("ORDLOAD").filter("root = 'OUT-REC'"), "offset", "length", "name") == [(0, 22, "OUT-REC"), (0, 10, "ORD-ID"), (10, 5, "ORD-ALT"), (10, 5, "ORD-AMT"), (15, 2, "ORD-QTY"), (21, 1, "ORD-FLAG")] or \
-        sorted(rows(estate.layout("ORDLOAD").filter("root = 'OUT-REC'"), "name", "offset", "length")) == [("ORD-ALT", 10, 5), ("ORD-AMT", 10, 5), ("ORD-FLAG", 21, 1), ("ORD-ID", 0, 10), ("ORD-QTY", 15, 2), ("OUT-REC", 0, 22)]
+    assert rows(estate.layout("ORDLOAD").filter("root = 'OUT-REC'"), "name", "offset", "length") == [("ORD-ALT", 10, 5), ("ORD-AMT", 10, 5), ("ORD-FLAG", 21, 1), ("ORD-ID", 0, 10), ("ORD-QTY", 15, 2), ("OUT-REC", 0, 22)]
     assert {r.name for r in estate.layout("ORDREAD").collect()} >= {"INP-ID", "INP-AMT"}
 
 
@@ -54,7 +53,7 @@ def test_copy_chosen_from_own_system(estate):
 
 
 def test_calls(estate):
-    assert rows(estate.calls().filter("callee is not null"), "caller", "callee", "kind") == [("ORDLOAD", "GONE", "static"), ("ORDLOAD", "PRICER", "dynamic")]
+    assert rows(estate.calls().filter("callee is not null"), "caller", "callee", "kind") == [("CUSTUPD", "CBLTDLI", "static"), ("ORDLOAD", "GONE", "static"), ("ORDLOAD", "PRICER", "dynamic")]
     assert rows(estate.callers("PRICER"), "node", "depth") == [("ORDLOAD", 1), ("PRICER", 0)]
     assert rows(estate.callees("ORDLOAD"), "node", "held") == [("GONE", False), ("ORDLOAD", True), ("PRICER", True)]
 
@@ -90,8 +89,8 @@ def test_values_and_literals(estate):
 
 def test_columns_and_crud(estate):
     assert rows(estate.column("CITY"), "tbl", "host_var", "mode") == [("APP.CUSTOMER", "WS-STATE", "read")]
-    assert rows(estate.table("price"), "member", "verbs") == [("PRICER", "UPDATE")]
-    assert rows(estate.crud(), "member", "resource", "letters") == [("ORDLOAD", "APP.CUSTOMER", "R"), ("ORDLOAD", "DD ORDOUT", "C"), ("ORDREAD", "DD ORDIN", "R"), ("PRICER", "APP.PRICE", "U")]
+    assert rows(estate.table("price"), "member", "verbs") == [("CUSTUPD", "SELECT"), ("PRICER", "UPDATE")]
+    assert rows(estate.crud(), "member", "resource", "letters") == [("CUSTUPD", "APP.PRICE", "R"), ("ORDLOAD", "APP.CUSTOMER", "R"), ("ORDLOAD", "DD ORDOUT", "C"), ("ORDREAD", "DD ORDIN", "R"), ("PRICER", "APP.PRICE", "U")]
 
 
 def test_conditions(estate):
@@ -110,7 +109,7 @@ def test_dead_and_coverage(estate):
     dead = estate.dead()
     assert dead["programs"].count() == 0 and rows(dead["written_never_read"], "dsn") == [("PROD.ORDERS.SORTED",)]
     open_ = {(r.what, r.key): r.n for r in estate.coverage().collect()}
-    assert open_["unresolved", "missing_copybook"] == 1 and open_["unresolved", "missing_proc"] == 1 and open_["members", "program"] == 3
+    assert open_["unresolved", "missing_copybook"] == 1 and open_["unresolved", "missing_proc"] == 1 and open_["members", "program"] == 4
 
 
 def test_search_and_cite(estate):
@@ -183,3 +182,16 @@ def test_interfaces_releases_documents_pack(estate):
     assert rows(estate.documents("each night"), "member", "part") == [("GUIDE", 1)]
     packed = estate.pack("ORDLOAD", 120).collect()
     assert packed and sum(len(r.txt) + 1 for r in packed) <= 120 and packed[0].priority == 0
+
+
+def test_flow_upwards_and_through_columns(estate):
+    up = {(r.program_id, r.root, r.lo, r.hi, r.how) for r in estate.flow("WS-COPY", "ORDREAD", 3, up=True).collect()}
+    assert {("ORDREAD", "IN-REC", 0, 10, "MOVE"), ("ORDLOAD", "OUT-REC", 0, 10, "file PROD.ORDERS"), ("ORDLOAD", "WS-KEY", 0, 10, "MOVE")} <= up
+    down = {(r.program_id, r.root, r.how) for r in estate.flow("LK-AMT", "PRICER", 2).collect()}
+    assert ("CUSTUPD", "WS-PRICE", "column PRICE.AMT") in down
+    assert rows(estate.origins("WS-STATE", "ORDLOAD", 1), "dst", "literal") == [("WS-STATE", "OP")]
+
+
+def test_database_calls(estate):
+    assert rows(estate.database_calls(), "program_id", "func", "position", "psb", "dbd", "procopt") == [("CUSTUPD", "GU", 2, "CUSTPSB", "CUSTDB", "A")]
+    assert rows(estate.segment("cust"), "program_id", "functions") == [("CUSTUPD", "GU")]
