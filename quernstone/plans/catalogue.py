@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.operators import gate, graph, interval, relational, text
-from quernstone.session import table
+from quernstone.session import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -641,6 +641,7 @@ def _example(spark: SparkSession):
     from quernstone.sources.members import inventory
     from quernstone.streaming import shared_path
 
+    ship(spark)
     key = spark.sparkContext.applicationId
     if key not in _BUILT:
         files = spark.createDataFrame([(f"/estate/{p}", bytearray(t.encode())) for p, t in sorted(MEMBERS.items())], "path string, content binary")

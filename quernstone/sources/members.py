@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.session import ship
+
 SKIPPED = r"/(\.git|\.svn|\.hg|__pycache__|node_modules)/"
 SCHEMA = "member_id bigint, path string, name string, kind string, system string, library string, sha256 string, norm_sha string, bytes bigint, lines int, encoding string, text string"
 
@@ -96,6 +98,7 @@ def _inventory(root: str):
 
 def inventory(files: DataFrame, root: str) -> DataFrame:
     """Rows of (path, content) as members."""
+    ship(files.sparkSession)
     return files.select(F.xxhash64("path").alias("member_id"), "path", "content").mapInArrow(_inventory(root), SCHEMA)
 
 
