@@ -17,36 +17,40 @@ from quernstone.llm.exact import keep_exact
 from quernstone.llm.language import fit, fold, identify
 from quernstone.llm.neardup import near_groups
 from quernstone.llm.pieces import encode_pieces
-from quernstone.session import table
+from quernstone.session import ship, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document in which a learned language is found: rejected are those without any letter (``und``)."""
+    ship(spark)
     learn = ~F.coalesce(fold("doc_id", 4) == 2, F.lit(True))
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    renamed = docs.select(F.struct(*kept).alias("row"), F.col("text").alias("text"))
-    return identify(renamed, fit(docs.filter(learn))).filter(F.col("lang_pred") != "und").select("row.*")
+    found = ("_language_found", "_language_score")
+    return identify(docs, fit(docs.filter(learn)), found).filter(F.col(found[0]) != "und").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays; repeated rows leave one."""
+    ship(spark)
     return keep_exact(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest doc_id (five words, 0.8)."""
+    ship(spark)
     dropped = near_groups(docs, k=5, percent=80).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
     return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item, edited or not, go."""
+    ship(spark)
     hits = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_dropped")).distinct()
     return docs.join(hits, docs["doc_id"] == F.col("_dropped"), "left_anti")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Subword ids of every text; ``round_trip`` tells that decoding them gave back the text."""
+    ship(spark)
     return encode_pieces(docs)
 
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm import wordhash
+from quernstone.llm import wordhash, worker
 
 N, SPREAD, THRESHOLD = 3, 2, 0.5
 GROUP_BYTES = 4 << 20
@@ -50,6 +50,7 @@ def _count_grams(grams: dict[int, np.ndarray]):
     """How often each of the given n-grams (sorted, by length) occurs, per batch stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         totals = {n: np.zeros(len(g), np.int64) for n, g in grams.items()}
         for batch in _slices(batches):
             words, at = _words(batch.column("text"))
@@ -117,6 +118,7 @@ def _search(items: list[tuple[int | None, np.ndarray]], seeds: dict[int, tuple[n
     lengths = np.array([len(w) for _, w in items], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         sieves = {n: _sieve(known) for n, (known, _, _) in seeds.items()}
         for batch in _slices(batches):
             words, at = _words(batch.column("text"))

@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm import worker
+
 HELD = 48 << 20
 _LEN, _HASH, _N = "_text_bytes", "_text_hash", "_text_rows"
 
@@ -89,6 +91,7 @@ def _better(a: int | None, b: int | None, largest: bool) -> bool:
 
 def _local(largest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         held: list[pa.RecordBatch] = []
         trie, size, rows = PatriciaTrie(), 0, 0
 
@@ -129,6 +132,7 @@ def _owners(largest: bool, names: list[str], digest: bool):
     """Over rows sorted by (length, hash): one row per distinct text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         trie, current = PatriciaTrie(), None
 
         def emit(nodes: list[list]) -> Iterator[pa.RecordBatch]:
@@ -192,6 +196,7 @@ def keep_exact(docs: DataFrame, largest: bool = True) -> DataFrame:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker.release()
     for batch in batches:
         sha = [hashlib.sha256(normalised(t)).hexdigest() for t in batch.column("text").to_pylist()]
         yield pa.record_batch([batch.column("doc_id"), pa.array(sha, pa.string())], ["doc_id", "text_sha256"])

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm import wordhash
+from quernstone.llm import wordhash, worker
 
 BITS = 12
 PER_LANGUAGE = 300
@@ -140,6 +140,7 @@ class LanguageModel:
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker.release()
     for whole in batches:
         for at in range(0, whole.num_rows, 200):
             batch = whole.slice(at, 200)
@@ -204,8 +205,9 @@ def _between(yes: list[np.ndarray], no: list[np.ndarray]) -> np.ndarray:
     return linear_svm(x, y)
 
 
-def _predict(model: LanguageModel):
+def _predict(model: LanguageModel, names_out: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
@@ -216,16 +218,16 @@ def _predict(model: LanguageModel):
                     best, score, known = model.predict(x)
                     names = [known[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist())]
                     scores = np.where(lettered, score, 0.0)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, *names_out])
 
     return run
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All rows and columns, with ``lang_pred`` and ``score``."""
-    docs = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
+def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All rows and columns, with the language and its score under the given names."""
+    docs = docs.drop(*names).withColumn("text", F.col("text").cast("string"))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(_predict(model, names), f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def fold(column: str, folds: int) -> Column:

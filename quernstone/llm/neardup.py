@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm import wordhash
+from quernstone.llm import wordhash, worker
 from quernstone.llm.components import connected_components
 from quernstone.session import cut
 
@@ -65,6 +65,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -86,6 +87,7 @@ def _sign(k: int):
 
 
 def _explode_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker.release()
     per = PERMS // PER_BAND
     for whole in batches:
         for at in range(0, whole.num_rows, 2000):
@@ -99,6 +101,7 @@ def _confirm(k: int, percent: int):
     """Over rows sorted by (leader, chunk, member): the leader's own row comes first (member null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         leader, own = None, None
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):

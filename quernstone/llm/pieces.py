@@ -32,7 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBER, SEGMENT = 400_000, 40
+from quernstone.llm import worker
+
+REMEMBER, SEGMENT = 280_000, 40
 META = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -274,7 +276,7 @@ class Encoder:
                 del known[s]
         if len(known) > REMEMBER:
             self.young, self.old = {}, known
-        if len(self.valid) > 4 * REMEMBER:
+        if len(self.valid) > 2 * REMEMBER:
             self.valid.clear()
         return out
 
@@ -286,15 +288,9 @@ class Encoder:
         return text[1:] if self.m.prefix and text.startswith(" ") else text
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(model: PieceModel) -> Encoder:
     """One encoder per worker process and model, so that its memory of segments outlives a task."""
-    if model.key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[model.key] = Encoder(model)
-    return _ENCODERS[model.key]
+    return worker.keep(f"pieces {model.key}", lambda: Encoder(model))
 
 
 def _encode(model: PieceModel):

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm import worker
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = ("secret", "email", "ip", "card", "phone", "iban")
 LABELS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
@@ -390,6 +392,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 def _find(weights: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for whole in batches:
             at = 0
             while at < whole.num_rows:  # about a million characters at a time, at least one text
@@ -428,6 +431,7 @@ def redact(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> Dat
     weights = weights or train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             new = []

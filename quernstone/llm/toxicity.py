@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm import wordhash
+from quernstone.llm import wordhash, worker
 from quernstone.llm.sampling import smallest_hashes
 from quernstone.session import cut
 
@@ -75,6 +75,7 @@ def occurrences(text: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker.release()
     """Document counts of each feature among positive and unlabelled rows."""
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
@@ -91,6 +92,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _vectors(known: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -175,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, prior: float | None =
 
 def _score(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
