@@ -1,24 +1,30 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
-
-1. Words are runs of letters, digits and non-ASCII characters, lower-cased. The n-grams of all test items are looked up
-   in every document, and how often each occurs in the corpus is counted.
-2. Of every ``SPREAD`` consecutive n-grams of an item the rarest is a seed, so rarity chooses seeds but never leaves a
-   stretch of an item without one: any copied run of ``n + SPREAD - 1`` words holds a seed.
-3. A document that holds a seed is joined with the item, around the place of each seed, and a Smith-Waterman alignment
-   of the word sequences (match 2, mismatch and gap -1, in numpy batches) scores the pair. The score is divided by that
-   of a perfect copy; pairs of ``threshold`` or more are contaminated.
+"""Benchmark decontamination: rare word seeds, counted in windows, then local alignment.
+
+1. Words are runs of letters, digits and non-ASCII characters, lower-cased. How often each word of the test items occurs
+   in the corpus is counted.
+2. A pair's score is that of a Smith-Waterman alignment (match 2, mismatch and gap -1) divided by that of a perfect copy;
+   pairs of ``threshold`` or more are contaminated. Such an alignment matches ``least = threshold * L`` or more of the
+   item's L words and spans at most ``(3 - 2 * threshold) * L`` words of the text. So of the item's ``L - least + need``
+   rarest words at least ``need`` stand in that span: these words are the seeds. Longer seeds would not do, since a copy
+   with a word put in after each of its own still scores 0.5 and shares no two neighbouring words with the item.
+   Between matches that are not neighbours in both there is at least one edit, so matches and matched pairs of
+   neighbours together are at least the score less 1, and of the seeds no more can be missing than of all words.
+3. Seeds, and pairs of neighbours of the item, are counted in cells as long as the span. Wherever two neighbouring cells
+   hold enough of them, document and item are aligned over these cells, in numpy batches. Every pair that an alignment of whole texts finds is found, with
+   the same score; rarity decides only how many places are tried in vain.
 
 The items are the small side: their size is measured, and they are taken in groups of at most ``GROUP_BYTES`` of text
 (by a hash of the item), each group one pass with its seeds sent along; nothing of the corpus is collected but the
-counts of the items' own n-grams.
+counts of the items' own words.
 
-Defined results: null or empty text and items without words take part in nothing; an item shorter than an n-gram is a
-seed as a whole; repeated documents or items each give their row; null ids are carried; other columns are ignored.
+Defined results: null or empty text and items without words take part in nothing; repeated documents or items each give
+their row; null ids are carried; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +34,9 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import wordhash, worker
 
-N, SPREAD, THRESHOLD = 3, 2, 0.5
+THRESHOLD = 0.5
 GROUP_BYTES = 4 << 20
+EXPANDED = 4_000_000
 MATCH, MISS = 2, 1
 
 
@@ -46,22 +53,17 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def _count_grams(grams: dict[int, np.ndarray]):
-    """How often each of the given n-grams (sorted, by length) occurs, per batch stream."""
+def _count_words(known: np.ndarray):
+    """How often each of the given words (sorted) occurs, per batch stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.release()
-        totals = {n: np.zeros(len(g), np.int64) for n, g in grams.items()}
+        totals, sieve = np.zeros(len(known), np.int64), _sieve(known)
         for batch in _slices(batches):
-            words, at = _words(batch.column("text"))
-            for n, known in grams.items():
-                for place, found in _hits(words, at, n, known):
-                    totals[n] += np.bincount(found, minlength=len(known))
-        for n, known in grams.items():
-            some = np.flatnonzero(totals[n])
-            yield pa.record_batch(
-                [pa.array(np.full(len(some), n, np.int32)), pa.array(known[some].view(np.int64)), pa.array(totals[n][some])], ["n", "gram", "rows"]
-            )
+            words, _ = _words(batch.column("text"))
+            totals += np.bincount(_hits(words, known, sieve)[1], minlength=len(known))
+        some = np.flatnonzero(totals)
+        yield pa.record_batch([pa.array(known[some].view(np.int64)), pa.array(totals[some])], ["word", "rows"])
 
     return run
 
@@ -75,18 +77,94 @@ def _sieve(known: np.ndarray) -> np.ndarray:
     return bits
 
 
-def _hits(words: np.ndarray, at: np.ndarray, n: int, known: np.ndarray, sieve: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(word position, index into known) of every n-gram inside one document that is known."""
-    if len(words) < n or not len(known):
-        return
-    h = wordhash.windows(words, n)
-    sieve = _sieve(known) if sieve is None else sieve
-    place = np.flatnonzero(sieve[(h >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)])
-    found = np.minimum(np.searchsorted(known, h[place]), len(known) - 1)
-    place, found = place[known[found] == h[place]], found[known[found] == h[place]]
-    doc = np.searchsorted(at, place, "right") - 1
-    inside = place + n <= at[doc + 1]
-    yield place[inside], found[inside]
+def _hits(words: np.ndarray, known: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the words that are known, and their indexes into known."""
+    place = np.flatnonzero(sieve[(words >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)])
+    found = np.minimum(np.searchsorted(known, words[place]), len(known) - 1)
+    same = known[found] == words[place]
+    return place[same], found[same]
+
+
+@dataclass
+class Index:
+    """Hashes (sorted); the items of hash k are owner[start[k]:start[k+1]]."""
+
+    known: np.ndarray
+    start: np.ndarray
+    owner: np.ndarray
+
+    @classmethod
+    def of(cls, found: set[tuple[int, int]]) -> Index:
+        ordered = sorted(found)
+        known, start = np.unique(np.array([x for x, _ in ordered], np.uint64), return_index=True)
+        return cls(known, np.append(start, len(ordered)), np.array([i for _, i in ordered], np.int64))
+
+    def cells(self, place: np.ndarray, found: np.ndarray, at: np.ndarray, span: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        """The cells, numbered through documents and items, in which the hits lie, and how many in each."""
+        n = self.start[found + 1] - self.start[found]
+        item = self.owner[np.repeat(self.start[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        doc = np.searchsorted(at, place, "right") - 1
+        return np.unique((np.repeat(doc, n) * len(span) + item) * cells + 1 + np.repeat(place - at[doc], n) // span[item], return_counts=True)
+
+
+def _beside(begin: np.ndarray, some: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Hits in each cell of begin and the one after it."""
+    total = np.zeros(len(begin), np.int64)
+    for cell in (begin, begin + 1) if len(some) else ():
+        at = np.minimum(np.searchsorted(some, cell), len(some) - 1)
+        total += np.where(some[at] == cell, times[at], 0)
+    return total
+
+
+@dataclass
+class Seeds:
+    """Seed words of the items and pairs of neighbouring words; how many seeds, and seeds and pairs, an item needs."""
+
+    known: Index
+    pairs: Index
+    need: np.ndarray
+    both: np.ndarray
+    span: np.ndarray
+
+    @classmethod
+    def choose(cls, items: list[np.ndarray], often: dict[int, int], threshold: float) -> Seeds:
+        lengths = np.array([len(w) for w in items], np.int64)
+        least = np.maximum(1, np.ceil(threshold * lengths - 1e-9).astype(np.int64))
+        need = np.maximum(1, least // 4)
+        known, pairs = set(), set()
+        for item, (w, k) in enumerate(zip(items, (lengths - least + need).tolist())):
+            known.update((x, item) for x in sorted(w.tolist(), key=lambda x: (often.get(x, 0), x))[:k])
+            pairs.update((x, item) for x in (wordhash.windows(w, 2).tolist() if len(w) > 1 else ()))
+        both = np.ceil(2 * threshold * lengths - 1 - 1e-9).astype(np.int64) - least + need
+        span = np.maximum(1, np.floor((3 - 2 * threshold) * lengths + 1e-9).astype(np.int64))
+        return cls(Index.of(known), Index.of(pairs), need, both, span)
+
+    def places(self, words: np.ndarray, at: np.ndarray, sieves: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(document, item, first and last word) of every stretch that may hold a copy."""
+        place, found = _hits(words, self.known.known, sieves[0])
+        two, pair = _hits(wordhash.windows(words, 2), self.pairs.known, sieves[1]) if len(words) > 1 and len(self.pairs.known) else (place[:0], found[:0])
+        inside = two + 1 < at[np.searchsorted(at, two, "right")]
+        two, pair = two[inside], pair[inside]
+        total = np.cumsum(self.known.start[found + 1] - self.known.start[found])
+        cells = int((at[1:] - at[:-1]).max(initial=0)) + 2
+        a = 0
+        while a < len(place):  # whole documents, about EXPANDED seeds at a time
+            b = int(np.searchsorted(total, total[a] + EXPANDED, "right"))
+            lo, hi = at[np.searchsorted(at, place[a], "right") - 1], at[np.searchsorted(at, place[max(a, b - 1)], "right")]
+            b = int(np.searchsorted(place, hi))
+            some, times = self.known.cells(place[a:b], found[a:b], at, self.span, cells)
+            begin = np.union1d(some, some - 1)
+            seeds = _beside(begin, some, times)
+            item = begin // cells % len(self.need)
+            ok = (seeds >= self.need[item]) & (begin % cells > 0)
+            begin, seeds, item = begin[ok], seeds[ok], item[ok]
+            c, d = np.searchsorted(two, (lo, hi))
+            seeds += _beside(begin, *self.pairs.cells(two[c:d], pair[c:d], at, self.span, cells))
+            ok = seeds >= self.both[item]
+            begin, item = begin[ok], item[ok]
+            doc, first = begin // cells // len(self.need), begin % cells - 1
+            yield doc, item, at[doc] + first * self.span[item], np.minimum(at[doc + 1], at[doc] + (first + 2) * self.span[item])
+            a = b
 
 
 def align(items: np.ndarray, lengths: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,39 +192,29 @@ def align(items: np.ndarray, lengths: np.ndarray, texts: np.ndarray) -> tuple[np
     return best, end
 
 
-def _search(items: list[tuple[int | None, np.ndarray]], seeds: dict[int, tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]], threshold: float):
+def _search(items: list[tuple[int | None, np.ndarray]], seeds: Seeds, threshold: float):
     lengths = np.array([len(w) for _, w in items], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.release()
-        sieves = {n: _sieve(known) for n, (known, _, _) in seeds.items()}
+        sieves = _sieve(seeds.known.known), _sieve(seeds.pairs.known)
         for batch in _slices(batches):
             words, at = _words(batch.column("text"))
-            spots: set[tuple[int, int, int, int]] = set()
-            for n, (known, owners, offsets) in seeds.items():
-                for place, found in _hits(words, at, n, known, sieves[n]):
-                    doc = np.searchsorted(at, place, "right") - 1
-                    for p, f, d in zip(place.tolist(), found.tolist(), doc.tolist()):
-                        for item, off in zip(owners[f].tolist(), offsets[f].tolist()):
-                            size, slack = int(lengths[item]), int(lengths[item]) // 2 + 4
-                            # windows on a grid, so that the many seeds of one copy ask for one alignment
-                            first = (p - off) // (slack or 1) * slack
-                            spots.add((d, item, max(int(at[d]), first - slack), min(int(at[d + 1]), first + size + 2 * slack)))
             found_pairs: dict[tuple[int, int], tuple[float, int]] = {}
-            queue = sorted(spots, key=lambda s: (lengths[s[1]], s[3] - s[2]))
-            for begin in range(0, len(queue), 256):
-                part = queue[begin : begin + 256]
-                wide, long = max(s[3] - s[2] for s in part), max(int(lengths[s[1]]) for s in part)
-                a, t = np.zeros((len(part), long), np.uint64), np.ones((len(part), wide), np.uint64)
-                for row, (_, item, lo, hi) in enumerate(part):
-                    a[row, : lengths[item]] = items[item][1]
-                    t[row, : hi - lo] = words[lo:hi]
-                scores, ends = align(a, np.array([lengths[s[1]] for s in part]), t)
-                for (d, item, lo, _), score, end in zip(part, scores.tolist(), ends.tolist()):
-                    share = score / (MATCH * int(lengths[item]))
-                    if share >= threshold:
-                        key = (d, item)
-                        found_pairs[key] = max(found_pairs.get(key, (0.0, 0)), (share, lo + end - int(at[d])))
+            for spots in seeds.places(words, at, sieves):
+                order = np.lexsort((spots[3] - spots[2], lengths[spots[1]]))
+                for begin in range(0, len(order), 256):
+                    doc, item, lo, hi = (x[order[begin : begin + 256]] for x in spots)
+                    own = lengths[item]
+                    a, t = np.zeros((len(doc), int(own.max())), np.uint64), np.ones((len(doc), int((hi - lo).max())), np.uint64)
+                    for row, (i, x, y) in enumerate(zip(item.tolist(), lo.tolist(), hi.tolist())):
+                        a[row, : own[row]] = items[i][1]
+                        t[row, : y - x] = words[x:y]
+                    scores, ends = align(a, own, t)
+                    share = scores / (MATCH * own)
+                    for row in np.flatnonzero(share >= threshold).tolist():
+                        key = (int(doc[row]), int(item[row]))
+                        found_pairs[key] = max(found_pairs.get(key, (0.0, 0)), (float(share[row]), int(lo[row] + ends[row] - at[key[0]])))
             ids = batch.column("doc_id").to_pylist()
             out = [(ids[d], items[i][0], s, e) for (d, i), (s, e) in sorted(found_pairs.items())]
             yield pa.record_batch(
@@ -157,11 +225,6 @@ def _search(items: list[tuple[int | None, np.ndarray]], seeds: dict[int, tuple[n
     return run
 
 
-def _grams(words: np.ndarray) -> tuple[int, np.ndarray]:
-    n = min(N, len(words))
-    return n, wordhash.windows(words, n)
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, end_word): every document that holds a copy of an item, edited or not, and how well."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -175,21 +238,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         items = [(r.item_id, words[a:b].copy()) for r, a, b in zip(rows, at[:-1].tolist(), at[1:].tolist()) if b > a]
         if not items:
             continue
-        by_item = [_grams(w) for _, w in items]
-        grams = {n: np.unique(np.concatenate([h for m, h in by_item if m == n])) for n in {n for n, _ in by_item}}
-        counted = narrow.mapInArrow(_count_grams(grams), "n int, gram bigint, rows bigint").groupBy("n", "gram").agg(F.sum("rows").alias("rows"))
-        seen = {(r.n, r.gram): r.rows for r in counted.collect()}  # at most the number of n-grams of this group of items
-        chosen: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for item, (n, h) in enumerate(by_item):
-            often = [seen.get((n, x), 0) for x in h.view(np.int64).tolist()]
-            picks = {min(range(k, min(k + SPREAD, len(h))), key=lambda j: (often[j], j)) for k in range(max(1, len(h) - SPREAD + 1))}
-            for j in picks:
-                chosen.setdefault(n, {}).setdefault(int(h[j]), []).append((item, j))
-        seeds = {}
-        for n, by_gram in chosen.items():
-            known = np.array(sorted(by_gram), np.uint64)
-            places = [np.array(by_gram[int(x)], np.int64) for x in known]
-            seeds[n] = (known, [p[:, 0] for p in places], [p[:, 1] for p in places])
+        every = np.unique(np.concatenate([w for _, w in items]))
+        counted = narrow.mapInArrow(_count_words(every), "word bigint, rows bigint").groupBy("word").agg(F.sum("rows").alias("rows"))
+        often = {r.word & (1 << 64) - 1: r.rows for r in counted.collect()}  # at most the number of words of this group of items
+        seeds = Seeds.choose([w for _, w in items], often, threshold)
         results.append(narrow.mapInArrow(_search(items, seeds, threshold), "doc_id bigint, item_id bigint, score double, end_word bigint"))
     if not results:
         return narrow.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("end_word")).limit(0)

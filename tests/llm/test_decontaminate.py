@@ -67,3 +67,25 @@ def test_empty(spark):
     assert contaminated(none, spark.createDataFrame([(1, "a b c d", 1)], ITEM)).count() == 0
     assert contaminated(some, spark.createDataFrame([], ITEM)).count() == 0
     assert [r.doc_id for r in contaminated(some, spark.createDataFrame([(1, "A, b; c d", 1)], ITEM)).collect()] == [1]
+
+
+def test_copies_without_a_run_of_three_words(spark):
+    """By the alignment's score alone, whatever stretch of the item is left whole."""
+    item = [f"w{k}" for k in range(40)]
+    copies = {
+        1: [x for k, w in enumerate(item) for x in ([w, f"in{k}"] if k % 3 == 2 else [w])],
+        2: [f"other{k}" if k % 4 == 3 else w for k, w in enumerate(item)],
+        3: [w for k, w in enumerate(item) if k % 4 != 3],
+        4: [x for k, w in enumerate(item) for x in ([w, f"in{k}"] if k % 2 else [w])],
+        5: [x for k, w in enumerate(item) for x in (w, f"in{k}")],
+        6: [f"other{k}" if k % 2 else w for k, w in enumerate(item)],
+        7: item[:20],
+    }
+    rnd = random.Random(1)
+    vocab = item[:12] + [f"v{k}" for k in range(60)]
+    copies |= {100 + d: [w if rnd.random() < 0.75 else rnd.choice(vocab) for w in item for _ in range(rnd.choice([1, 1, 1, 2]))] for d in range(60)}
+    rows = [(d, " ".join(rnd.choices(vocab, k=70) + c + rnd.choices(vocab, k=70)), "x") for d, c in copies.items()]
+    want = {d: round(plain(item, words(t)) / 80, 9) for d, t, _ in rows if plain(item, words(t)) >= 40}
+    assert {1, 2, 3, 4, 5, 7} <= want.keys() and 6 not in want
+    found = contaminated(spark.createDataFrame(rows, DOC).repartition(2), spark.createDataFrame([(1, " ".join(item), 0)], ITEM)).collect()
+    assert {r.doc_id: round(r.score, 9) for r in found} == want
