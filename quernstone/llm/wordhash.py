@@ -1,8 +1,9 @@
 """Words of whole Arrow text columns as 64-bit hashes, computed with numpy over the UTF-8 bytes.
 
 A batch is never turned into Python strings: the byte buffer is classified by a lookup table, words are runs of
-non-separator bytes inside one document, and each word's hash is a sum of table[byte] * odd**position modulo 2**64,
-mixed at the end. Byte work is done in pieces of about ``PIECE`` bytes cut between words, so the memory used beside the
+non-separator bytes inside one document, and each word's hash is a sum of table[byte] * random[position] modulo 2**64,
+mixed at the end. The multipliers are independent of each other: with powers of one base, whatever it is, words like the
+Thue-Morse word and its complement fall together modulo 2**64. Byte work is done in pieces of about ``PIECE`` bytes cut between words, so the memory used beside the
 batch itself is a small multiple of the piece, whatever the length of a text.
 """
 
@@ -13,9 +14,9 @@ import pyarrow as pa
 
 PIECE = 1 << 20
 _RNG = np.random.default_rng(20240229)
-_TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(1, np.uint64)
+_TABLE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIERS = np.zeros(0, np.uint64)
 _SHINGLE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 #: Contract words: ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased.
@@ -37,13 +38,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        grown = np.full(max(n, 2 * len(_POWERS), 64), _BASE, np.uint64)
-        grown[0] = 1
-        _POWERS = np.multiply.accumulate(grown)
-    return _POWERS
+def _multipliers(n: int) -> np.ndarray:
+    """Odd pseudo-random numbers for positions 0 to n-1 at least, the same ones in every process."""
+    global _MULTIPLIERS
+    if len(_MULTIPLIERS) < n:
+        _MULTIPLIERS = mix((np.arange(1, max(n, 2 * len(_MULTIPLIERS), 64) + 1, dtype=np.uint64)) * _STEP) | np.uint64(1)
+    return _MULTIPLIERS
 
 
 def column(batch_column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +87,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, separators: np.ndarray, low
         lengths = ends[a:b] - starts[a:b]
         place = np.arange(hi - lo) - np.repeat(starts[a:b] - lo, lengths)
         weight = table[raw[lo:hi]]
-        weight *= _powers(int(lengths.max()))[place]
+        weight *= _multipliers(int(lengths.max()))[place]
         out[a:b] = np.add.reduceat(weight, starts[a:b] - lo)
         a = b
     return mix(out)
@@ -100,11 +100,11 @@ def prefix_hashes(raw: np.ndarray, starts: np.ndarray, separators: np.ndarray, s
     if not len(starts):
         return out
     lengths = np.add.reduceat((~separators)[raw], starts, dtype=np.int64)
-    powers = _powers(max(sizes) + 1)
+    multipliers = _multipliers(max(sizes) + 1)
     total = np.zeros(len(starts), np.uint64)
     for j in range(max(sizes)):
         long = np.flatnonzero(lengths > j)
-        total[long] += table[raw[starts[long] + j]] * powers[j]
+        total[long] += table[raw[starts[long] + j]] * multipliers[j]
         if j + 1 in sizes:
             longer = lengths > j + 1
             out[sizes.index(j + 1)][longer] = mix(total[longer] + np.uint64(j + 1))
