@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from quernstone.llm.components import connected_components
-from quernstone.llm.neardup import min_max, near_groups
+from quernstone.llm.neardup import keep_near, min_max, near_groups
 
 DOC = "doc_id long, text string, kept string, n long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -82,3 +82,38 @@ def test_min_max_estimates_similarity():
     both, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (800, 100, 100))
     x, y = min_max(np.concatenate([both, a])), min_max(np.concatenate([both, b]))
     assert abs((x == y).mean() - 0.8) < 0.08
+
+
+def test_repeated_ids_keep_every_link_and_row(spark):
+    """Id 5 holds two texts: one a near copy of 3, the other with a near copy of its own, or none."""
+    rnd = random.Random(8)
+    a, b, c = (rnd.choices([f"w{i}" for i in range(500)], k=30) for _ in range(3))
+    rows = [(3, " ".join(a), "x", 1), (5, " ".join([*a, "more"]), "x", 2), (5, " ".join(b), "x", 3), (8, " ".join([*b, "tail"]), "x", 4), (9, " ".join(c), "x", 5), (3, " ".join([*c, "end"]), "x", 6)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, DOC).repartition(3)
+        got = sorted((r.doc_id, r.component_id, r.kept) for r in near_groups(df).collect())
+        assert got == [(3, 3, True), (3, 3, True), (5, 3, False), (5, 5, True), (8, 5, False), (9, 3, False)]
+        assert sorted(r.n for r in keep_near(df).collect()) == [1, 3, 6]
+
+
+def test_templates_that_nearly_reach_the_threshold(spark):
+    """Documents of one template, most of them in common buckets and in different components: exact all the same."""
+    rnd = random.Random(2)
+    stem = rnd.choices([f"w{i}" for i in range(300)], k=90)
+    rows = []
+    for i in range(150):
+        own = [f"own{i // 2 if i % 10 < 2 else i}x{j}" for j in range(16 + i % 5)]
+        rows.append((i, " ".join([*stem, *own]), "x", i))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_groups(spark.createDataFrame(rows, DOC).repartition(4)).collect()}
+    assert got == brute(rows, 5)
+
+
+def test_kept_rows_have_all_columns_whatever_their_names(spark):
+    schema = "doc_id long, text string, row_id string, row_key string, gone_id string, gone_key string, component_id int, rep int, key int, set_id int, comp int"
+    text = "one two three four five six seven eight"
+    rows = [(i, text if i % 2 else f"{text} {i} a b c d e f", "a", "b", "c", "d", i, 1, 2, 3, 4) for i in range(6)] + [(None, text, *"abcd", 1, 1, 1, 1, 1), (9, None, *"abcd", 1, 1, 1, 1, 1)]
+    df = spark.createDataFrame(rows, schema)
+    kept = keep_near(df)
+    assert kept.columns == df.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["0", "1", "2", "4", "9", "None"]
+    assert all(r.row_id == "a" and r.gone_key == "d" for r in kept.collect())
