@@ -45,17 +45,62 @@ def test_groups(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == {r.keep_id for r in out}
 
 
-def test_local_trie_spills():
+OWN = ["bytes", "hash", "rows", "salt"]
+
+
+def local(texts, monkeypatch, held, per_batch=10):
+    import pyarrow as pa
+
+    monkeypatch.setattr(exact, "HELD", held)
+    batches = [pa.record_batch([pa.array(range(at, at + len(part))), pa.array(part)], ["doc_id", "text"]) for at in range(0, len(texts), per_batch) if (part := texts[at : at + per_batch])]
+    return pa.Table.from_batches(list(exact._local(True, OWN)(iter(batches))))
+
+
+def test_subtrees_are_spilled(monkeypatch):
+    rnd = random.Random(6)
+    texts = [rnd.choice("abcdefgh") + str(rnd.randrange(400)) * 20 for _ in range(5000)]
+    out = local(texts, monkeypatch, 20_000, 700)
+    assert sum(out.column("rows").to_pylist()) == 5000
+    by_text = {}
+    for text, i, n in zip(*(out.column(c).to_pylist() for c in ("text", "doc_id", "rows"))):
+        was = by_text.get(text, (-1, 0))
+        by_text[text] = (max(was[0], i), was[1] + n)
+    assert by_text == {t: (max(i for i, x in enumerate(texts) if x == t), texts.count(t)) for t in set(texts)}
+    assert len(by_text) < out.num_rows < 5000  # some texts left in parts
+
+
+def test_one_repeated_text_holds_no_memory(monkeypatch):
+    import tracemalloc
+
     import pyarrow as pa
 
-    batch = pa.record_batch([pa.array([1, 2, 3, 4]), pa.array(["aa", "AA", "b" * 90, "aa"])], ["doc_id", "text"])
-    old, exact.HELD = exact.HELD, 50
-    try:
-        out = pa.Table.from_batches(list(exact._local(True)([batch])))
-    finally:
-        exact.HELD = old
-    assert out.column("doc_id").to_pylist() == [2, 3, 4]
-    assert out.column("_text_rows").to_pylist() == [2, 1, 1]
+    before = pa.total_allocated_bytes()
+    peak = 0
+
+    def batches():
+        nonlocal peak
+        for k in range(60):
+            peak = max(peak, pa.total_allocated_bytes() - before)
+            yield pa.record_batch([pa.array([k]), pa.array(["x" * 1_000_000])], ["doc_id", "text"])
+
+    monkeypatch.setattr(exact, "HELD", 8 << 20)
+    tracemalloc.start()
+    out = pa.Table.from_batches(list(exact._local(True, OWN)(batches())))
+    tracemalloc.stop()
+    assert out.column("rows").to_pylist() == [60] and out.column("doc_id").to_pylist() == [59]
+    assert peak < 24 << 20
+
+
+def test_hot_texts_take_their_own_way(spark):
+    schema = "doc_id long, text string, text_bytes string, text_hash string, text_rows string, text_salt int, key string, Text_Bytes_ string"
+    rows = [(i, "Hot One" if i % 3 == 0 else "hot two" if i % 3 == 1 else f"cold {i}", "a", "b", "c", 1, "d", "e") for i in range(6000)]
+    df = spark.createDataFrame(rows, schema).repartition(7)
+    assert len(exact.hot_keys(df)) == 2
+    out = exact_groups(df).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in out) == brute(rows)
+    kept = keep_exact(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted({r.keep_id for r in out})
+    assert {(r.text_bytes, r.text_salt, r.Text_Bytes_) for r in kept.collect()} == {("a", 1, "e")}
 
 
 def test_empty(spark):
