@@ -13,16 +13,19 @@
    hold enough of them, document and item are aligned over these cells, in numpy batches. Every pair that an alignment of whole texts finds is found, with
    the same score; rarity decides only how many places are tried in vain.
 
-The items are the small side: their size is measured, and they are taken in groups of at most ``GROUP_BYTES`` of text
-(by a hash of the item), each group one pass with its seeds sent along; nothing of the corpus is collected but the
-counts of the items' own words.
+The items are the small side: their size is measured, and they are taken in groups of about ``GROUP_BYTES`` of text
+(by a hash of id and text), each group one pass with its seeds sent along; nothing of the corpus is collected but the
+counts of the items' own words. Alignments are done ``CELLS`` cells at a time, at least one, so an item or a text of any
+length takes memory in proportion to the stretch that is aligned.
 
 Defined results: null or empty text and items without words take part in nothing; repeated documents or items each give
-their row; null ids are carried; other columns are ignored.
+their row; null ids are carried; other columns are ignored, whatever their names; an empty table on either side gives an
+empty table.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm import wordhash, worker
+from quernstone.llm.names import spare
 
 THRESHOLD = 0.5
 GROUP_BYTES = 4 << 20
 EXPANDED = 4_000_000
+CELLS = 1_000_000
 MATCH, MISS = 2, 1
 
 
@@ -203,8 +208,14 @@ def _search(items: list[tuple[int | None, np.ndarray]], seeds: Seeds, threshold:
             found_pairs: dict[tuple[int, int], tuple[float, int]] = {}
             for spots in seeds.places(words, at, sieves):
                 order = np.lexsort((spots[3] - spots[2], lengths[spots[1]]))
-                for begin in range(0, len(order), 256):
-                    doc, item, lo, hi = (x[order[begin : begin + 256]] for x in spots)
+                wide = np.maximum.accumulate((spots[3] - spots[2])[order])
+                begin = 0
+                while begin < len(order):
+                    stop = begin + 1
+                    while stop < min(len(order), begin + 256) and (stop + 1 - begin) * wide[stop] <= CELLS:
+                        stop += 1
+                    doc, item, lo, hi = (x[order[begin:stop]] for x in spots)
+                    begin = stop
                     own = lengths[item]
                     a, t = np.zeros((len(doc), int(own.max())), np.uint64), np.ones((len(doc), int((hi - lo).max())), np.uint64)
                     for row, (i, x, y) in enumerate(zip(item.tolist(), lo.tolist(), hi.tolist())):
@@ -215,37 +226,47 @@ def _search(items: list[tuple[int | None, np.ndarray]], seeds: Seeds, threshold:
                     for row in np.flatnonzero(share >= threshold).tolist():
                         key = (int(doc[row]), int(item[row]))
                         found_pairs[key] = max(found_pairs.get(key, (0.0, 0)), (float(share[row]), int(lo[row] + ends[row] - at[key[0]])))
-            ids = batch.column("doc_id").to_pylist()
-            out = [(ids[d], items[i][0], s, e) for (d, i), (s, e) in sorted(found_pairs.items())]
+            ids, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
+            out = [(ids[d], items[i][0], s, e, keys[d]) for (d, i), (s, e) in sorted(found_pairs.items())]
             yield pa.record_batch(
-                [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))],
-                ["doc_id", "item_id", "score", "end_word"],
+                [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))],
+                ["doc_id", "item_id", "score", "end_word", "text_key"],
             )
 
     return run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, score, end_word): every document that holds a copy of an item, edited or not, and how well."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, item_id, score, end_word, text_key): every document that holds a copy of an item, edited or not, and how well.
+
+    ``text_key`` is the text's xxhash64, which tells rows of one doc_id apart.
+    """
+    text = F.col("text").cast("string")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-size // GROUP_BYTES))
     results = []
     for g in range(groups):
-        rows = tests.filter(F.pmod(F.xxhash64("text"), F.lit(groups)) == g).collect() if groups > 1 else tests.collect()
+        rows = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).collect() if groups > 1 else tests.collect()
         words, at = _words(pa.array([r.text for r in rows], pa.string()))
         items = [(r.item_id, words[a:b].copy()) for r, a, b in zip(rows, at[:-1].tolist(), at[1:].tolist()) if b > a]
         if not items:
             continue
         every = np.unique(np.concatenate([w for _, w in items]))
-        counted = narrow.mapInArrow(_count_words(every), "word bigint, rows bigint").groupBy("word").agg(F.sum("rows").alias("rows"))
+        counted = narrow.select("text").mapInArrow(_count_words(every), "word bigint, rows bigint").groupBy("word").agg(F.sum("rows").alias("rows"))
         often = {r.word & (1 << 64) - 1: r.rows for r in counted.collect()}  # at most the number of words of this group of items
         seeds = Seeds.choose([w for _, w in items], often, threshold)
-        results.append(narrow.mapInArrow(_search(items, seeds, threshold), "doc_id bigint, item_id bigint, score double, end_word bigint"))
-    if not results:
-        return narrow.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("end_word")).limit(0)
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    return out
+        results.append(narrow.mapInArrow(_search(items, seeds, threshold), _FOUND))
+    return functools.reduce(DataFrame.unionByName, results) if results else docs.sparkSession.createDataFrame([], _FOUND)
+
+
+_FOUND = "doc_id bigint, item_id bigint, score double, end_word bigint, text_key bigint"
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that hold no copy of any item, with all their columns; rows are told apart by doc_id and text."""
+    id_, key, d, t = spare(docs, "row_id", "row_key", "gone_id", "gone_key")
+    gone = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias(d), F.col("text_key").alias(t)).distinct()
+    keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), key: F.xxhash64(F.col("text").cast("string"))})
+    return keyed.join(gone, F.col(id_).eqNullSafe(F.col(d)) & (F.col(key) == F.col(t)), "left_anti").drop(id_, key)
