@@ -4,7 +4,12 @@ Features are hashed byte trigrams of the lower-cased text (all that is not a let
 and scaled to length one, over whole texts. One linear SVM per family (one against the rest) picks the family; within
 it one linear SVM per pair of languages votes by its margin. SVMs are fitted in numpy by dual coordinate descent on a
 bounded sample: at most ``PER_LANGUAGE`` labelled documents of each language, the ones with the smallest hash of doc_id.
-Everything else (languages present, their counts, predictions) covers all rows.
+Everything else (languages present, their counts, predictions) covers all rows. More than ``MOST_LANGUAGES`` different
+labels are refused, since one row and one model part per label stands at the driver.
+
+:func:`keep_identified` rejects documents of no learned language, in which no classifier of differences can say so: a
+text's likeness is the mean over its trigrams of log(share of the trigram in the language / share if all were equally
+common). Where it isn't above 0 the text is no more like the language found than like chance, whatever its length.
 
 Defined results: null text or text without a letter is ``und`` with score 0; with no labelled rows every text is
 ``und``; null labels teach nothing; the sample ignores rows without doc_id; repeated rows get one prediction each; all
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 from quernstone.llm import wordhash, worker
 
 BITS = 12
-PER_LANGUAGE = 300
+PER_LANGUAGE, MOST_LANGUAGES = 300, 2000
 SHARP = 6.0
 _LETTER = regex.compile(r"\p{L}")
 _ASCII = np.zeros(256, bool)
@@ -111,6 +116,11 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, epochs: int = 25,
 class LanguageModel:
     families: list[list[str]] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(((1 << BITS) + 1, 0), np.float32))
+    shares: np.ndarray = field(default_factory=lambda: np.zeros((1 << BITS, 0), np.float32))  # log share of each trigram, against chance
+
+    def likeness(self, x: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Of each text to the language found for it; squares of features are the shares of a text's trigrams."""
+        return ((x * x) @ self.shares)[np.arange(len(x)), best]
 
     def pairs(self) -> list[tuple[int, int, int]]:
         return [(f, a, b) for f, langs in enumerate(self.families) for a in range(len(langs)) for b in range(a + 1, len(langs))]
@@ -165,6 +175,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
     if not counts:
         return LanguageModel()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"{len(counts)} different labels, more than {MOST_LANGUAGES}")
     order = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40))
     share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, int(min(1.0, (1.3 * per_language + 30) / n) * (1 << 40)))])
     picked = rows.withColumn("order", order).filter(F.col("order") < F.element_at(share, F.col("lang")))
@@ -196,6 +208,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     for f, a, b in model.pairs():
         columns.append(_between([dense[families[f][a]]], [dense[families[f][b]]]))
     model.weights = np.stack(columns, axis=1)
+    shares = [(dense[lang] ** 2).mean(axis=0) + 0.1 / (1 << BITS) for lang in langs]
+    model.shares = np.stack([np.log((1 << BITS) * s / s.sum()) for s in shares], axis=1).astype(np.float32)
     return model
 
 
@@ -230,6 +244,31 @@ def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("l
     return docs.mapInArrow(_predict(model, names), f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, languages: list[str] | None = None, least: float = 0.0) -> DataFrame:
+    """The rows in whose text a learned language is found (one of ``languages``, if given), with all their columns.
+
+    Rejected are texts that are null or have no letter, and those whose likeness is not above ``least``. With no learned
+    language nothing can be told, and all texts with a letter stay.
+    """
+    wanted = None if languages is None else set(languages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                x, keep = features(batch.column("text").cast(pa.string()))
+                if model.families and len(x):
+                    best, _, known = model.predict(x)
+                    keep = keep & (model.likeness(x, best) > least)
+                    if wanted is not None:
+                        keep &= np.array([known[b] in wanted for b in best.tolist()], bool)
+                yield batch.filter(pa.array(keep))
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    return docs.mapInArrow(run, schema)
+
+
 def fold(column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds

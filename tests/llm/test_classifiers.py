@@ -49,6 +49,75 @@ def test_language_edges(spark):
     assert language.language_predictions(spark.createDataFrame([], DOC)).count() == 0
 
 
+def plain_trigrams(text):
+    """Counts of hashed trigrams, one by one."""
+    raw = [c if 97 <= c <= 122 or c >= 128 else 32 for c in text.lower().encode()]
+    raw += [32] * (3 - len(raw)) if raw else []
+    out = {}
+    for a, b, c in zip(raw, raw[1:], raw[2:]):
+        if (a, b, c) != (32, 32, 32):
+            h = ((a << 16 | b << 8 | c) * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - language.BITS
+            out[h] = out.get(h, 0) + 1
+    return out
+
+
+def test_language_against_a_plain_version(spark):
+    """Family first, then the votes of pairs within it, and the likeness, by loops over dicts."""
+    rnd = random.Random(3)
+    langs = {"en": "the of and weather", "de": "der und wetter schön", "nl": "het van weer mooi", "fr": "le temps était beau", "es": "el tiempo era bueno", "it": "il tempo era bello", "xx": "zorp blik fnord"}
+    rows = [(i, " ".join(rnd.choices(words.split(), k=rnd.choice([1, 6, 30]))), lang) for i in range(60) for lang, words in langs.items()]
+    rows = [(n, t, lang) for n, (_, t, lang) in enumerate(rows)] + [(900, "Ärger, über ALLES! 12", None), (901, "Wo", None), (902, "это по-русски", None), (903, "qqq jjj", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    assert [sorted(f) for f in model.families] == [["de", "en", "nl"], ["xx"], ["es", "fr", "it"]]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(df, model).collect()}
+    kept = {r.doc_id for r in language.keep_identified(df, model).collect()}
+    names = [x for f in model.families for x in f]
+    for i, text, _ in rows:
+        n = plain_trigrams(text)
+        size = sum(n.values())
+        x = {h: (c / size) ** 0.5 for h, c in n.items()}
+        margin = [sum(v * float(model.weights[h, k]) for h, v in x.items()) + float(model.weights[-1, k]) for k in range(model.weights.shape[1])]
+        f = [np.exp(language.SHARP * m) for m in margin[: len(model.families)]]
+        top = int(np.argmax(f))
+        votes = dict.fromkeys(model.families[top], 0.0)
+        for col, (k, a, b) in enumerate(model.pairs(), len(model.families)):
+            if k == top:
+                p = 1 / (1 + np.exp(-language.SHARP * margin[col]))
+                votes[model.families[top][a]] += p
+                votes[model.families[top][b]] += 1 - p
+        best = max(votes, key=votes.get)
+        score = f[top] / sum(f) * (votes[best] / (len(votes) - 1) if len(votes) > 1 else 1)
+        assert got[i][0] == best and abs(got[i][1] - score) < 1e-3, text
+        like = sum(c / size * float(model.shares[h, names.index(best)]) for h, c in n.items())
+        assert abs(like) < 1e-4 or (i in kept) == (like > 0), text
+    assert not {902, 903} & kept and {0, 1, 2} <= kept
+    only = language.keep_identified(df, model, ["fr", "xx"]).collect()
+    assert {r.lang for r in only if r.lang} == {"fr", "xx"}
+
+
+def test_svm_reaches_the_optimum():
+    """The dual's solution against plain gradient descent on the primal objective."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 4)).astype(np.float32)
+    y = np.where(x[:, 0] - x[:, 1] + rng.normal(0, 0.5, 60) > 0.3, 1, -1)
+    c = 2.0
+    share = {s: int((y == s).sum()) for s in (-1, 1)}
+    weight = np.array([c * len(y) / (2 * share[s]) for s in y])
+    full = np.concatenate([x, np.full((60, 1), 0.3)], axis=1)
+
+    def loss(w):
+        return w @ w / 2 + (weight * np.maximum(0, 1 - y * (full @ w)) ** 2).sum() / 1
+
+    best = np.zeros(5)
+    for step in range(20000):
+        slack = np.maximum(0, 1 - y * (full @ best))
+        best -= 0.0005 * (best - 2 * full.T @ (weight * y * slack))
+    w = language.linear_svm(x, y, c, epochs=400).astype(float)
+    w[-1] /= 0.3
+    assert loss(w) < loss(best) * 1.02 + 1e-6
+
+
 def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     out = toxicity.toxicity_predictions(docs, labels)
