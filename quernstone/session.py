@@ -31,16 +31,28 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder named by ``spark.checkpoint.dir``.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all machines share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none (tests, a laptop) is a private folder made.
+    A private folder takes its place where the session names none and all of it runs on one machine (tests, a laptop);
+    on a cluster that is an error.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    if master not in _PRIVATE:
+        _PRIVATE[master] = tempfile.mkdtemp(prefix="quernstone-")
+    return _PRIVATE[master]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder."""
     spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quernstone-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint(eager=True)
 
 
@@ -61,6 +73,7 @@ def ship(spark: SparkSession) -> None:
 
 
 _SHIPPED: set[str] = set()
+_PRIVATE: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
