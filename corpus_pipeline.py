@@ -6,50 +6,60 @@ stage's ``docs``. All but the last return the columns of documents (extra column
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.decontaminate import contaminated
+from quernstone.llm.decontaminate import keep_clean
 from quernstone.llm.exact import keep_exact
-from quernstone.llm.language import fit, fold, identify
-from quernstone.llm.neardup import near_groups
+from quernstone.llm.language import fit, fold, keep_identified
+from quernstone.llm.neardup import keep_near
 from quernstone.llm.pieces import encode_pieces
-from quernstone.session import ship, table
+from quernstone.session import shared_root, ship, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps every document in which a learned language is found: rejected are those without any letter (``und``)."""
+    """Keeps the documents in which a learned language is found.
+
+    Rejected are null texts, texts without a letter, and those no more like the language found than like chance (another
+    script, rows of the keyboard). Learned is from the rows whose crc32(doc_id) mod 4 is not 2; with no labels at all,
+    every text with a letter stays. Ties, repeated rows and null ids are decided row by row; an empty table stays empty.
+    """
     ship(spark)
     learn = ~F.coalesce(fold("doc_id", 4) == 2, F.lit(True))
-    found = ("_language_found", "_language_score")
-    return identify(docs, fit(docs.filter(learn)), found).filter(F.col(found[0]) != "und").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keep_identified(docs, fit(docs.filter(learn)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays; repeated rows leave one."""
+    """Of equal texts (A-Z lower-cased, null as empty) the row with the largest doc_id stays; repeated rows leave one.
+
+    A null doc_id is smaller than any other.
+    """
     ship(spark)
     return keep_exact(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest doc_id (five words, 0.8)."""
+    """One document of each near-duplicate group stays, the one with the smallest doc_id (five words, 0.8).
+
+    A row goes for its own text, never for another row of its doc_id; null ids, null and empty texts stay.
+    """
     ship(spark)
-    dropped = near_groups(docs, k=5, percent=80).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    return keep_near(docs, k=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a benchmark item, edited or not, go."""
+    """Rows that hold a copy of a benchmark item, edited or not, go, with or without a doc_id; null and empty texts stay."""
     ship(spark)
-    hits = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(hits, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Subword ids of every text; ``round_trip`` tells that decoding them gave back the text."""
+    """Subword ids of every text; ``round_trip`` tells that decoding them gave back the text (null and empty: no ids).
+
+    Columns named ids, n_ids or round_trip are replaced, all others stay.
+    """
     ship(spark)
     return encode_pieces(docs)
 
@@ -68,8 +78,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, with a Parquet table in the shared folder between them."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    at = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    at = f"{shared_root(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
