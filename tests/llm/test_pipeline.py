@@ -5,6 +5,7 @@ import re
 import corpus_pipeline
 import pytest
 import sentencepiece
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tests.llm.test_neardup import brute as near_brute
 
@@ -29,11 +30,7 @@ def plain(a, b):
 
 def contaminated(text, items):
     tw = words(text)
-    grams = {tuple(tw[j : j + 4]) for j in range(len(tw))}
-    for iw in items:
-        if any(tuple(iw[k : k + 4]) in grams for k in range(max(1, len(iw) - 3))) and plain(iw, tw) >= len(iw):
-            return True
-    return False
+    return any(2 * len(set(iw) & set(tw)) and plain(iw, tw) >= len(iw) for iw in items if len([x for x in iw if x in set(tw)]) * 2 >= len(iw))
 
 
 def test_against_brute_force(spark):
@@ -56,7 +53,7 @@ def test_against_brute_force(spark):
 
 @pytest.mark.parametrize("k", range(5))
 def test_odd_tables(spark, k):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, kept int, ids string, row string, lang_pred string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, row_id int, gone_key string, text_hash string, text_key string"
     base = [(i, f"the quick brown fox number {i} went with them over there", "en", "s", 1, "x", 1, "y", "z", "w") for i in range(30)]
     odd = [(100, None, None, None, None, None, None, None, None, None), (101, "", "en", "s", 1, "x", 1, "y", "z", "w"), (102, "1234", "en", "s", 1, "x", 1, "y", "z", "w"), (None, "the null id with letters", "en", "s", 1, "x", 1, "y", "z", "w")]
     odd += [base[3], base[3], (103, "word " * 50_000, "en", "s", 1, "x", 1, "y", "z", "w")]
@@ -67,8 +64,27 @@ def test_odd_tables(spark, k):
     if k < 4:
         assert out.dtypes == docs.dtypes
     assert {"103", "None"} <= set(ids)
+    if k < 4:  # columns with the names that operators use come out as they went in
+        assert {(r.score, r.row_id, r.gone_key, r.text_hash, r.text_key) for r in out.collect()} <= {("x", 1, "y", "z", "w"), (None,) * 5}
     if k == 0:
         assert len(ids) == len(base + odd) - 3
     if k == 1:
         assert len(ids) == len(set(ids)) == 34
     assert stage(spark, docs.filter(F.lit(False)), SF).count() == 0
+
+
+def test_foreign_texts_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = docs.limit(4).withColumn("doc_id", F.monotonically_increasing_id() + 10**9)
+    foreign = F.element_at(F.array(*[F.lit(x) for x in ("обычный текст на другом языке", "这是一个普通的文本", "qqq jjj zzzx kkk vvv", "12 34")]), (F.row_number().over(Window.orderBy("doc_id"))).cast("int"))
+    more = more.withColumn("text", foreign).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language(spark, docs.union(more), SF)
+    assert kept.filter("doc_id >= 1000000000").count() == 0
+    assert kept.count() > 0.99 * docs.filter("text rlike '[a-z]'").count()
+
+
+def test_rows_that_repeat_an_id_are_told_apart(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    a, b = ("one two three four five six seven eight nine ten eleven twelve", "quite another text that nothing else in here is anything like at all")
+    rows = spark.createDataFrame([(3, a, "en", "s", 1), (5, a + " more", "en", "s", 1), (5, b, "en", "s", 1)], docs.schema)
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near(spark, rows, SF).collect()) == [(3, a), (5, b)]
