@@ -6,10 +6,12 @@ Adam with the ascent step of the method whenever the second part is negative. ``
 own half of the unlabelled sample, are averaged.
 
 Features are the lower-cased words and the beginnings of words (``PREFIXES`` bytes long), by their counts (1+log n). The
-``FEATURES`` used are chosen by how much more often they occur in positive than in unlabelled documents of the sample,
-counted by Spark. Texts are read whole, as hashes. The fit is on a bounded sample: at most ``POSITIVE`` positive and
-``UNLABELLED`` unlabelled documents, those with the smallest hashes of doc_id; ids of the sample are broadcast (7,000
-numbers at most), so no text is shuffled.
+``FEATURES`` used are chosen by how much more often they occur in positive than in unlabelled documents, counted by Spark
+over all training rows and whole texts (added up within a task before anything is shuffled); of positive documents that
+are copies of each other one counts, or else all words of a much copied document would pass for toxic ones. The gradient fit alone is on
+a bounded sample: at most ``POSITIVE`` positive and ``UNLABELLED`` unlabelled documents, those with the smallest hashes
+of doc_id; their ids are broadcast (7,000 numbers at most). Ids of positive rows are broadcast where there are ``SENT`` or
+fewer, else texts and labels are joined by a shuffle.
 
 The class prior is the share of toxic rows among all labelled training rows unless it is given.
 
@@ -33,8 +35,9 @@ from quernstone.llm import wordhash, worker
 from quernstone.llm.sampling import smallest_hashes
 from quernstone.session import cut
 
-POSITIVE, UNLABELLED, FEATURES, MEMBERS = 3000, 4000, 600, 3
-EVIDENCE = 3.0  # half the G statistic that a feature must reach
+POSITIVE, UNLABELLED, FEATURES, MEMBERS = 3000, 4000, 10_000, 3
+SENT, FLUSH = 1_000_000, 600_000
+EVIDENCE = 6.0  # half the G statistic that a feature must reach (by chance one feature in two thousand does)
 PREFIXES = (3, 4, 5, 6, 7, 8, 9, 10)
 
 
@@ -74,20 +77,50 @@ def occurrences(text: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return cell // width, cell % width, n
 
 
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest hash of each text's runs of four words, which copies have in common, edited or not."""
+    worker.release()
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            least = [s[:1] if len(s) else np.zeros(1, np.uint64) for s in wordhash.shingle_sets(batch.column("text"), 4)]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(np.concatenate([np.zeros(0, np.uint64), *least]).view(np.int64))], ["doc_id", "signature"])
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document counts of each feature among positive rows and among all."""
     worker.release()
-    """Document counts of each feature among positive and unlabelled rows."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def added() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hashes, inverse = np.unique(np.concatenate([h for h, _, _ in held]), return_inverse=True)
+        return hashes, *(np.bincount(inverse, np.concatenate([h[k] for h in held]), minlength=len(hashes)).astype(np.int64) for k in (1, 2))
+
+    def rows(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(found[0]), 100_000):
+            h, p, u = (x[at : at + 100_000] for x in found)
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(p), pa.array(u)], ["feature", "p", "u"])
+
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             batch = whole.slice(at, 500)
             families, bounds = _features(batch.column("text"))
-            marks = [np.array(batch.column(c).to_pylist(), bool) for c in ("p", "u")]
+            positive = np.array(batch.column("p").to_pylist(), bool)
             seen = [np.unique(np.concatenate([h[a:b] for h in families])) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             every = np.concatenate(seen)
-            doc = np.repeat(np.arange(len(seen)), [len(x) for x in seen])
             hashes, inverse = np.unique(every, return_inverse=True)
-            n = [np.bincount(inverse, m[doc], minlength=len(hashes)).astype(np.int64) for m in marks]
-            yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(n[0]), pa.array(n[1])], ["feature", "p", "u"])
+            marked = positive[np.repeat(np.arange(len(seen)), [len(x) for x in seen])]
+            held.append((hashes, np.bincount(inverse, marked, minlength=len(hashes)), np.bincount(inverse, minlength=len(hashes))))
+            size += len(hashes)
+            if size > 2 * FLUSH:
+                held = [added()]
+                size = len(held[0][0])
+                if size > FLUSH:
+                    yield from rows(held[0])
+                    held, size = [], 0
+    if held:
+        yield from rows(added())
 
 
 def _vectors(known: np.ndarray):
@@ -107,24 +140,55 @@ def _vectors(known: np.ndarray):
     return run
 
 
-def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, steps: int = 1000, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+@dataclass
+class Rows:
+    """Sparse rows: the cells of row k are those from start[k] to start[k+1]."""
+
+    start: np.ndarray
+    cols: np.ndarray
+    values: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def __getitem__(self, rows: np.ndarray) -> Rows:
+        n = self.start[rows + 1] - self.start[rows]
+        end = np.cumsum(n)
+        cells = np.repeat(self.start[rows] - (end - n), n) + np.arange(int(n.sum()))
+        return Rows(np.append(0, end), self.cols[cells], self.values[cells])
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(np.repeat(np.arange(len(self)), np.diff(self.start)), w[self.cols] * self.values, minlength=len(self))
+
+    def weighted(self, d: np.ndarray, width: int) -> np.ndarray:
+        """The sum of the rows, each times its weight."""
+        return np.bincount(self.cols, np.repeat(d, np.diff(self.start)) * self.values, minlength=width)
+
+
+def risk(w: np.ndarray, xp: Rows, xu: Rows, prior: float) -> tuple[float, bool, np.ndarray]:
+    """(risk, whether its second part is clipped, gradient to follow): the ascent step on that part where it is negative."""
+    gp, gu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
+    sp, su = 1 / (1 + np.exp(-np.clip(gp, -40, 40))), 1 / (1 + np.exp(-np.clip(gu, -40, 40)))
+    negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    clipped = bool(negative < 0)
+    if clipped:
+        dp, du = prior * sp / len(xp), -su / len(xu)
+    else:
+        dp, du = prior * (sp - 1) / len(xp) - prior * sp / len(xp), su / len(xu)
+    grad = np.append(xp.weighted(dp, len(w) - 1) + xu.weighted(du, len(w) - 1), dp.sum() + du.sum())
+    return float(prior * np.logaddexp(0, -gp).mean() + max(0.0, negative)), clipped, grad
+
+
+def nnpu(xp: Rows, xu: Rows, width: int, prior: float, seed: int, steps: int = 1000, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Linear classifier minimising the non-negative PU risk."""
     rng = np.random.default_rng(seed)
-    w = np.zeros(xp.shape[1] + 1)
+    w = np.zeros(width + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         p, u = xp[rng.integers(0, len(xp), min(len(xp), 512))], xu[rng.integers(0, len(xu), min(len(xu), 1024))]
-        gp, gu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-        sp, su = 1 / (1 + np.exp(-np.clip(gp, -40, 40))), 1 / (1 + np.exp(-np.clip(gu, -40, 40)))
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        grad = np.zeros_like(w)
-        if negative >= 0:
-            dp, du = prior * (sp - 1) / len(p) - prior * sp / len(p), su / len(u)
-        else:
-            dp, du = prior * sp / len(p), -su / len(u)
-        grad[:-1] = dp @ p + du @ u + decay * w[:-1]
-        grad[-1] = dp.sum() + du.sum()
+        grad = risk(w, p, u, prior)[2]
+        grad[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -143,18 +207,19 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, prior: float | None =
     none = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -40.0)
     if not prior:
         return none
-    prior = min(max(prior, 1e-3), 0.5)
-    positive = set(smallest_hashes(known.filter("toxic = 1"), POSITIVE, 9))
+    prior = min(max(prior, 1e-6), 1 - 1e-6)
+    toxic = known.filter("toxic = 1").select("doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(train & F.col("doc_id").isNotNull())
-    unlabelled = set(smallest_hashes(texts, UNLABELLED, 9))
-    rows = [(i, i in positive, i in unlabelled) for i in sorted(positive | unlabelled)]
-    wanted = docs.sparkSession.createDataFrame(rows, "doc_id long, p boolean, u boolean")
-    sample = cut(texts.join(F.broadcast(wanted), "doc_id").select("text", "p", "u"))
-    a, b = (max(1, x or 0) for x in sample.agg(F.sum(F.col("p").cast("int")), F.sum(F.col("u").cast("int"))).first())
+    few = toxic.count() <= SENT
+    small = lambda ids: F.broadcast(ids) if few else ids
+    signed = texts.join(small(toxic), "doc_id").mapInArrow(_signatures, "doc_id bigint, signature bigint")
+    flags = cut(signed.groupBy("signature").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("p")))
+    flagged = texts.join(small(flags), "doc_id", "left").select("text", F.coalesce("p", F.lit(False)).alias("p"))
+    a, b = (max(1, x or 0) for x in flagged.agg(F.sum(F.col("p").cast("int")), F.count(F.lit(1))).first())
     pool = (F.col("p") + F.col("u")) / (a + b)
-    gain = F.col("p") * F.log(F.col("p") / a / pool) + F.when(F.col("u") > 0, F.col("u") * F.log(F.col("u") / b / pool)).otherwise(0)
+    gain = F.col("p") * F.log(F.col("p") / a / pool) + F.col("u") * F.log(F.col("u") / b / pool)
     best = (
-        sample.mapInArrow(_frequencies, "feature bigint, p bigint, u bigint")
+        flagged.mapInArrow(_frequencies, "feature bigint, p bigint, u bigint")
         .groupBy("feature")
         .agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
         .filter((F.col("feature") != 0) & (F.col("p") >= 5) & (F.col("p") / a > F.col("u") / b) & (gain >= EVIDENCE))
@@ -163,15 +228,20 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, prior: float | None =
         .select("feature")
         .collect()
     )
+    positive, unlabelled = set(smallest_hashes(toxic, POSITIVE, 9)), set(smallest_hashes(texts, UNLABELLED, 9))
+    wanted = docs.sparkSession.createDataFrame([(i, i in positive, i in unlabelled) for i in sorted(positive | unlabelled)], "doc_id long, p boolean, u boolean")
+    # of rows that repeat an id one stands for all, so that no more than the bound reaches the driver
+    sample = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("p").alias("p"), F.max("u").alias("u")).select("text", "p", "u")
     chosen = np.sort(np.array([r[0] for r in best], np.int64).view(np.uint64))
     vectors = sample.mapInArrow(_vectors(chosen), "p boolean, u boolean, cols binary, n binary").collect()
-    x = np.zeros((len(vectors), len(chosen)), np.float32)
-    for k, r in enumerate(vectors):
-        x[k, np.frombuffer(r.cols, np.uint16)] = 1 + np.log(np.frombuffer(r.n, np.float32))
-    xp, xu = x[[r.p for r in vectors]], x[[r.u for r in vectors]]
+    cols, n = [np.frombuffer(r.cols, np.uint16) for r in vectors], [np.frombuffer(r.n, np.float32) for r in vectors]
+    flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (cols, n)]
+    every = Rows(np.cumsum([0, *map(len, cols)]), flat[0].astype(np.int64), 1 + np.log(flat[1]))
+    xp, xu = (every[np.flatnonzero([r[k] for r in vectors])] for k in ("p", "u"))
     if not len(xp) or not len(xu):
         return none
-    fits = [nnpu(xp, xu[k % 2 :: 2] if len(xu) > 1 else xu, prior, k) for k in range(MEMBERS)]
+    half = [xu[np.arange(k % 2, len(xu), 2)] if len(xu) > 1 else xu for k in range(MEMBERS)]
+    fits = [nnpu(xp, own, len(chosen), prior, k) for k, own in enumerate(half)]
     return ToxicityModel(chosen, np.mean([f[0] for f in fits], axis=0), float(np.mean([f[1] for f in fits])))
 
 
