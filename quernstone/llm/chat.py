@@ -1,7 +1,10 @@
 """Chat formatting with Spark expressions only.
 
-Turns of one conversation are collected as structs and sorted, adjacent turns of one role are merged by array
-aggregation, and the pieces of the template are concatenated. Nothing here leaves the JVM.
+Turns of one conversation are collected as structs and sorted, adjacent turns of one role are merged, and the pieces of
+the template are concatenated; array aggregation adds up where each piece begins. A turn is merged with its neighbours by
+looking at their roles in the sorted array, and places are added up in runs of about the square root of the number of
+pieces, so that no array is copied once per turn and a conversation of very many turns takes no quadratic time. Nothing
+here leaves the JVM.
 
 Template (``role`` groups in order)::
 
@@ -36,44 +39,48 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\[])\\(\\*)" + _FAMILY, r"$1$2$3")
 
 
-def _merge(turns: Column) -> Column:
-    """array<(role, text)> -> array<(role, texts)> with adjacent equal roles in one element."""
+def _pieces(turns: Column) -> Column:
+    """Sorted array<(role, text)> -> array<(s, loss)> in template order, neighbours of one role in one group."""
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        same = (F.size(acc) > 0) & (last["role"] == x["role"])
-        grown = F.struct(x["role"].alias("role"), F.concat(last["texts"], F.array(x["text"])).alias("texts"))
-        fresh = F.struct(x["role"].alias("role"), F.array(x["text"]).alias("texts"))
-        return F.when(same, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(
-            F.concat(acc, F.array(fresh))
+    def mark(s: Column) -> Column:
+        return F.struct(s.alias("s"), F.lit(False).alias("loss"))
+
+    def piece(t: Column, i: Column) -> Column:
+        role = t["role"]
+        begins = F.coalesce(F.get(turns, i - 1)["role"] != role, F.lit(True))
+        ends = F.coalesce(F.get(turns, i + 1)["role"] != role, F.lit(True))
+        opening = (
+            F.when(role == "user", F.lit(USER_OPEN))
+            .when(role == "assistant", F.lit(""))
+            .otherwise(F.concat(F.lit(ROLE_OPEN), escape(role), F.lit(ROLE_TEXT)))
+        )
+        closing = F.when(role == "user", F.lit(USER_CLOSE)).when(role == "assistant", F.lit(END)).otherwise(F.lit(ROLE_CLOSE))
+        return F.array(
+            mark(F.when(begins, opening).otherwise(F.lit(SEP))),
+            F.struct(escape(t["text"]).alias("s"), (role == "assistant").alias("loss")),
+            mark(F.when(ends, closing).otherwise(F.lit(""))),
         )
 
-    return F.aggregate(turns, F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)"), step)
+    return F.flatten(F.transform(turns, piece))
 
 
-def _pieces(group: Column) -> Column:
-    """One merged group -> array<(s, loss)> in template order."""
+def _spans(pieces: Column) -> Column:
+    """array<(start, end)> of the pieces under the loss mask."""
+    start = F.expr("cast(named_struct('at', 0L, 'spans', array()) as struct<at:bigint,spans:array<struct<start:bigint,end:bigint>>>)")
 
-    def mark(s: Column | str) -> Column:
-        return F.struct((F.lit(s) if isinstance(s, str) else s).alias("s"), F.lit(False).alias("loss"))
+    def walk(acc: Column, p: Column) -> Column:
+        end = acc["at"] + F.length(p["s"])
+        span = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    role, texts = group["role"], group["texts"]
-    opening = (
-        F.when(role == "user", F.lit(USER_OPEN))
-        .when(role == "assistant", F.lit(""))
-        .otherwise(F.concat(F.lit(ROLE_OPEN), escape(role), F.lit(ROLE_TEXT)))
-    )
-    closing = F.when(role == "user", F.lit(USER_CLOSE)).when(role == "assistant", F.lit(END)).otherwise(F.lit(ROLE_CLOSE))
-    inner = F.flatten(
-        F.transform(
-            texts,
-            lambda t, i: F.array(
-                mark(F.when(i == 0, F.lit("")).otherwise(F.lit(SEP))),
-                F.struct(escape(t).alias("s"), (role == "assistant").alias("loss")),
-            ),
-        )
-    )
-    return F.concat(F.array(mark(opening)), inner, F.array(mark(closing)))
+    def join(acc: Column, run: Column) -> Column:
+        moved = F.transform(run["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end")))
+        return F.struct((acc["at"] + run["at"]).alias("at"), F.concat(acc["spans"], moved).alias("spans"))
+
+    size = F.ceil(F.sqrt(F.size(pieces))).cast("int")
+    first = F.sequence(F.lit(1), F.size(pieces), size)
+    runs = F.transform(first, lambda k: F.aggregate(F.slice(pieces, k, size), start, walk))
+    return F.aggregate(runs, start, join, lambda acc: acc["spans"])
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -82,21 +89,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     turns = conversations.select("conv_id", F.struct(F.col("turn"), role.alias("role"), text.alias("text")).alias("t"))
     sorted_ = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    pieces = sorted_.select(
-        "conv_id", F.flatten(F.transform(_merge(F.transform("turns", lambda t: F.struct(t["role"], t["text"]))), _pieces)).alias("pieces")
-    )
-    start = F.expr("cast(named_struct('at', 0L, 'spans', array()) as struct<at:bigint,spans:array<struct<start:bigint,end:bigint>>>)")
-
-    def walk(acc: Column, p: Column) -> Column:
-        end = acc["at"] + F.length(p["s"])
-        span = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return pieces.select(
-        "conv_id",
-        F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"),
-        F.aggregate("pieces", start, walk, lambda acc: acc["spans"]).alias("loss_spans"),
-    )
+    pieces = sorted_.select("conv_id", _pieces(F.col("turns")).alias("pieces"))
+    return pieces.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), _spans(F.col("pieces")).alias("loss_spans"))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
