@@ -8,9 +8,10 @@ The global rank needs no sort of the table by one task. Rows are counted per (ce
 these counts (at most ``2**(bits*dims) * salts`` rows, whatever the table's size) gives each small group its offset, and
 a window per (cell, salt) gives the rest. A cell that holds a third of all rows is split by the salt.
 
-Defined results: null text has no bytes (size 16, crc 0); null metadata go to the lowest cell; null doc_ids share a salt;
-repeated rows take neighbouring slots; an empty table gives an empty table; more columns are kept by
-:func:`assign_shards` unless a column of the result has the same name, which then wins.
+Defined results: null text has no bytes (size 16, crc 0); null metadata go to the lowest cell; rows of one cell are in an
+order that all their columns decide (salt and ties by a hash of the row), so null and repeated ids have fixed slots, and
+only rows equal in all columns may change places; an empty table gives an empty table; more columns are kept by
+:func:`assign_shards`, whatever their names, unless a column of the result has the same name, which then wins.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.llm.names import spare
+
 BITS, SALTS = 4, 64
 
 
@@ -87,41 +90,42 @@ def _number(df: DataFrame, name: str) -> Column:
 
 
 def quantise(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
-    """Adds ``_cell0``, ``_cell1``, ...: a cell per dimension, cut at approximate quantiles (2**bits-1 numbers each).
+    """Adds one column of cells per dimension after all others, cut at approximate quantiles (2**bits-1 numbers each).
 
     The numbers are projected once, below the comparisons, so that no string is converted for each cut anew.
     """
+    number, cell = (spare(df, *[f"{stem}{k}" for k in range(len(dims))]) for stem in ("number", "cell"))
     share = [k / (1 << bits) for k in range(1, 1 << bits)]
     cuts = df.select([_number(df, d).alias(d) for d in dims]).agg(*[F.percentile_approx(d, share, 2000).alias(d) for d in dims]).first()
-    numbers = df.select("*", *[_number(df, d).alias(f"_number{k}") for k, d in enumerate(dims)])
+    numbers = df.select("*", *[_number(df, d).alias(number[k]) for k, d in enumerate(dims)])
     cells = []
     for k, d in enumerate(dims):
         bounds = sorted(set(cuts[d] or []))
         at = F.lit(0)
         for n, b in enumerate(bounds):  # the first that holds wins, so from the highest cut down
-            at = F.when(F.col(f"_number{k}") >= F.lit(b), n + 1).otherwise(at) if n else F.when(F.col(f"_number{k}") >= F.lit(b), 1).otherwise(0)
-        cells.append(at.cast("int").alias(f"_cell{k}"))
-    return numbers.select(*df.columns, *cells)
+            at = F.when(F.col(number[k]) >= F.lit(b), n + 1).otherwise(at) if n else F.when(F.col(number[k]) >= F.lit(b), 1).otherwise(0)
+        cells.append(at.cast("int").alias(cell[k]))
+    return numbers.select(*[F.col(f"`{c}`") for c in df.columns], *cells)
 
 
 def assign_shards(docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = ("lang", "source", "n_chars"), bits: int = BITS, salts: int = SALTS) -> DataFrame:
     """Adds ``curve`` (Hilbert index), ``shard`` and ``slot`` (gapless from 0); row counts differ by one at most."""
-    kept = [c for c in docs.columns if c not in ("curve", "shard", "slot", "_salt")]
-    placed = quantise(docs, list(dims), bits).select(
-        *kept,
-        hilbert_index([F.col(f"_cell{k}") for k in range(len(dims))], bits).alias("curve"),
-        F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(salts)).cast("int").alias("_salt"),
-    )
-    every = Window.orderBy("curve", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy("curve", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    total = F.sum("_n").over(Window.partitionBy())
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("curve", "shard", "slot")]
+    salt, tie, before, all_, place, of = spare([*docs.columns, "curve", "shard", "slot"], "salt", "tie", "before", "all", "place", "of")
+    celled = quantise(docs, list(dims), bits)
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t])
+    placed = celled.select(*kept, hilbert_index([F.col(c) for c in celled.columns[len(docs.columns) :]], bits).alias("curve"), whole.alias(tie))
+    placed = placed.withColumn(salt, F.pmod(F.col(tie), F.lit(salts)).cast("int"))
+    every = Window.orderBy("curve", salt).rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("curve", salt).agg(F.count(F.lit(1)).alias(of))
+    total = F.sum(of).over(Window.partitionBy())
     # At most 2**(bits*dims) * salts rows (262,144 by default), however large the table: safe to window in one task and to broadcast.
-    offsets = counts.select("curve", "_salt", F.coalesce(F.sum("_n").over(every), F.lit(0)).alias("_before"), total.alias("_total"))
-    inside = Window.partitionBy("curve", "_salt").orderBy("doc_id")
-    ranked = placed.withColumn("_rank", F.row_number().over(inside) - 1).join(F.broadcast(offsets), ["curve", "_salt"])
-    rank = F.col("_before") + F.col("_rank")
+    offsets = counts.select("curve", salt, F.coalesce(F.sum(of).over(every), F.lit(0)).alias(before), total.alias(all_))
+    inside = Window.partitionBy("curve", salt).orderBy("doc_id", tie)
+    ranked = placed.withColumn(place, F.row_number().over(inside) - 1).join(F.broadcast(offsets), ["curve", salt])
+    rank = F.col(before) + F.col(place)
     # the first (total mod shards) shards hold one row more
-    base, extra = F.floor(F.col("_total") / shards), F.col("_total") % shards
+    base, extra = F.floor(F.col(all_) / shards), F.col(all_) % shards
     big = extra * (base + 1)
     shard = F.when(rank < big, F.floor(rank / (base + 1))).otherwise(extra + F.floor((rank - big) / F.greatest(base, F.lit(1))))
     begins = F.when(F.col("shard") < extra, F.col("shard") * (base + 1)).otherwise(big + (F.col("shard") - extra) * base)

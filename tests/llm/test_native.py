@@ -89,3 +89,24 @@ def test_shards_small_and_clash(spark):
     assert shard_digest(spark.createDataFrame([], DOC)).count() == 0
     got = assign_shards(spark.createDataFrame([(1, "a", "en", "s", 1, "clash", 3)], DOC)).first()
     assert (got.shard, got.slot, got.size) == (0, 0, 3)
+
+
+def test_shards_with_the_operators_names_and_repeated_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, salt int, tie string, before int, `all` int, place int, `of` int, number0 int, cell0 int, Cell1 string"
+    rows = [(i % 7 if i % 5 else None, f"t{i}", "en", f"s{i % 3}", i, 1, "t", 2, 3, 4, 5, 6, 7, "c") for i in range(200)]
+    df = spark.createDataFrame(rows, schema)
+    got = [{(r.text, r.shard, r.slot) for r in assign_shards(df.repartition(n), 9).collect()} for n in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) == 200
+    out = assign_shards(df, 9)
+    assert out.columns == [*df.columns, "curve", "shard", "slot"]
+    assert {(r.salt, r.tie, r["of"], r.cell0, r.Cell1) for r in out.collect()} == {(1, "t", 5, 7, "c")}
+
+
+def test_chat_of_very_many_turns(spark):
+    n = 10_000
+    turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") % 5 < 2, "user").otherwise("assistant").alias("role"), F.concat(F.lit("[SEP]"), "id").alias("text"))
+    r = chat_digest(turns.withColumn("score", F.lit(1))).first()
+    roles = ["user" if k % 5 < 2 else "assistant" for k in range(n)]
+    assert r.n_turns == n
+    assert r.turns_sha256 == sha("".join(f"{role}\n[SEP]{k}\n" for k, role in enumerate(roles)))
+    assert r.loss_sha256 == sha("".join(f"[SEP]{k}" for k, role in enumerate(roles) if role == "assistant"))
