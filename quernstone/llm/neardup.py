@@ -41,7 +41,7 @@ from quernstone.llm.names import spare
 from quernstone.session import cut
 
 PERMS, PER_BAND, CHUNK = 135, 3, 256
-RARITY = 1 << 20
+RARITY = 1 << 18
 _RNG = np.random.default_rng(7)
 _A = (_RNG.integers(0, 2**31, PERMS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _RNG.integers(0, 2**32, PERMS, dtype=np.uint32)
@@ -186,10 +186,10 @@ def _rarest(k: int, percent: int, often: np.ndarray):
 def _residual(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(leader, member) of the (rep, n, comp) given: in different components, of fitting sizes, and with a rare shingle in common."""
     with_text = cut(open_.join(texts, "rep"))
-    often = np.zeros(RARITY, np.int64)
+    often = np.zeros(RARITY, np.int32)
     counted = with_text.select("text").mapInArrow(_shingle_counts(k), "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
-    for r in counted.collect():  # at most RARITY rows
-        often[r.value] = r.n
+    told = counted.toArrow()  # at most RARITY rows, 4 MB
+    often[told.column("value").to_numpy()] = np.minimum(told.column("n").to_numpy(), np.iinfo(np.int32).max)
     rare = with_text.mapInArrow(_rarest(k, percent, often), "shingle bigint, rep bigint, n bigint, comp bigint")
     several = rare.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("shingle")
     met = cut(rare.join(several, "shingle"))
