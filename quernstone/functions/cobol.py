@@ -32,10 +32,29 @@ def is_fixed(records: list[str]) -> bool:
     return long * 4 <= len(head) and not any("*>" in r[:7] for r in head)
 
 
+def code_end(records: list[str]) -> int:
+    """The right margin (E2): 72, unless most records are of one odd width whose last eight columns repeat a mark."""
+    widths: dict[int, int] = defaultdict(int)
+    full = [r.rstrip() for r in records if r.strip()]
+    for r in full:
+        widths[len(r)] += 1
+    if not widths:
+        return 72
+    width = max(widths, key=lambda w: (widths[w], w))
+    if width <= 72 or width == 80:
+        return 72
+    tails: dict[str, int] = defaultdict(int)
+    same = [r for r in full if len(r) == width]
+    for r in same:
+        tails[r[width - 8 : width - 4]] += 1
+    return max(min(72, width - 8), 8) if max(tails.values()) * 5 >= len(same) * 3 else 72
+
+
 def logical_lines(text: str) -> list[tuple[int, str]]:
     """(line number, code) without comments, continuations joined to their first line."""
     records = text.splitlines()
     fixed = is_fixed(records)
+    margin = code_end(records) if fixed else 0
     out: list[tuple[int, str]] = []
     for no, r in enumerate(records, 1):
         if not fixed:
@@ -43,13 +62,13 @@ def logical_lines(text: str) -> list[tuple[int, str]]:
             if code.strip():
                 out.append((no, code))
             continue
-        mark, code = r[6:7], r[7:72]
+        mark, code = r[6:7], r[7:margin]
         if mark in ("*", "/", "D", "d") or not code.strip() and mark != "-":
             continue
         if mark == "-" and out:
             before, more = out[-1][1].rstrip(), code.lstrip()
             if more[:1] in "'\"" and before.count(more[0]) % 2:
-                out[-1] = (out[-1][0], out[-1][1].ljust(65) + more[1:])
+                out[-1] = (out[-1][0], out[-1][1].ljust(margin - 7) + more[1:])
             else:
                 out[-1] = (out[-1][0], before + more)
             continue
@@ -209,13 +228,23 @@ def _is_literal(w: str) -> bool:
     return w[:1] in "'\"" or bool(re.fullmatch(r"[+-]?\d+(\.\d+)?", w)) or w.upper() in _FIGURATIVE
 
 
+class Name(str):
+    """A name with the groups that qualify it, innermost first, joined by slashes."""
+
+    of: str = ""
+
+
 def _operands(words: list[str]) -> list[tuple[str, str]]:
-    """(name or literal, subscript or reference modification) of an operand list; OF/IN qualifiers are dropped."""
+    """(name or literal, subscript or reference modification) of an operand list; a name knows its OF/IN qualifiers."""
     out: list[tuple[str, str]] = []
     k = 0
     while k < len(words):
         w = words[k]
-        if w.upper() in ("OF", "IN") and out:
+        if w.upper() in ("OF", "IN") and out and k + 1 < len(words):
+            name = Name(out[-1][0])
+            before = getattr(out[-1][0], "of", "")
+            name.of = f"{before}/{words[k + 1].upper()}" if before else words[k + 1].upper()
+            out[-1] = (name, out[-1][1])
             k += 2
             continue
         if w == "(" and out:
@@ -248,6 +277,7 @@ def parse_program(text: str, copybooks: dict[str, str] | None = None) -> dict[st
     files: dict[str, str] = {}
     record_of: dict[str, str] = {}
     current_fd = ""
+    cursors: dict[str, tuple[list[str], list[str]]] = {}
     for line, s in sentences([(at, code) for at, code, _, _ in runs]):
         upper = s.upper()
         if m := re.match(r"(IDENTIFICATION|ID|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION", upper):
@@ -278,11 +308,12 @@ def parse_program(text: str, copybooks: dict[str, str] | None = None) -> dict[st
                 current_fd = m[2]
                 continue
             if m := re.match(r"EXEC\s+SQL\s+(.*)END-EXEC", s, re.I | re.S):
-                _sql(facts, m[1], line, "")
+                _sql(facts, m[1], line, cursors)
                 continue
             item = parse_entry(s, line, section)
             if item:
                 items.append(item)
+                item.fd = current_fd if section == "FILE" else ""
                 if section == "FILE" and item.level == 1 and current_fd:
                     record_of[item.name] = current_fd
                 if item.value is not None and item.level != 88:
@@ -293,7 +324,7 @@ def parse_program(text: str, copybooks: dict[str, str] | None = None) -> dict[st
             continue
         blocks, s = _sql_blocks(s)
         for block in blocks:
-            _sql(facts, block, line, "")
+            _sql(facts, block, line, cursors)
         words = _TOKEN.findall(s)
         if len(words) == 1 and words[0].upper() not in _VERBS or len(words) == 2 and words[1].upper() == "SECTION":
             para = {"name": words[0].upper(), "line": line, "kind": "section" if len(words) == 2 else "paragraph", "ordinal": len(paragraphs), "last": ""}
@@ -311,14 +342,27 @@ def parse_program(text: str, copybooks: dict[str, str] | None = None) -> dict[st
             for name, lo, _, _ in item.values:
                 literal_map.setdefault(name, set()).add(lo)
     for dli in facts.get("dli_call", ()):
+        if dli["func"]:
+            continue
         known = sorted(x.strip() for x in literal_map.get(dli["func_var"], ()) if x.strip())
         dli["func"] = known[0] if len(known) == 1 else unquote(dli["func_var"]).strip() if dli["func_var"][:1] in "'\"" else ""
         if not dli["func"]:
             facts["unresolved"].append({"kind": "dli_function", "detail": dli["func_var"], "line": dli["line"]})
+    for op in facts.get("cics_op", ()):
+        if op["via_var"]:
+            found = sorted(x.strip() for x in literal_map.get(op["via_var"], ()) if x.strip())
+            op["resource"] = found[0] if len(found) == 1 else ""
+            if len(found) != 1:  # several candidates end a walk
+                facts["unresolved"].append({"kind": "cics_resource", "detail": op["via_var"], "line": op["line"]})
+    queues = sorted({x.strip() for name, known in literal_map.items() if name.endswith("OBJECTNAME") for x in known if x.strip()})
+    for mq in facts.get("mq_call", ()):
+        mq["queue"] = queues[0] if len(queues) == 1 else ""
+        if len(queues) != 1:
+            facts["unresolved"].append({"kind": "mq_queue", "detail": mq["verb"], "line": mq["line"]})
     for call, variable in calls:
         if variable:
             found = sorted(x for x in literal_map.get(variable, ()) if x)
-            call["resolved"] = found[:40]
+            call["resolved"] = found
             call["resolution"] = "literal_map" if found else "unresolved"
             if not found:
                 facts["unresolved"].append({"kind": "dynamic_call", "detail": variable, "line": call["line"]})
@@ -336,9 +380,12 @@ def parse_program(text: str, copybooks: dict[str, str] | None = None) -> dict[st
 def _fields(facts: dict[str, list[dict]], roots: list[Item], warnings: list[str]) -> None:
     ordinal = 0
     for root in roots:
+        path = {id(root): root.name}
         for item in root.walk():
+            if item.parent is not None:
+                path[id(item)] = f"{path[id(item.parent)]}/{item.name}"
             facts["field"].append(
-                {"ordinal": ordinal, "root": root.name, "parent": item.parent.name if item.parent else "", "level": item.level, "name": item.name, "pic": item.pic or "", "usage": item.usage or "", "occurs": item.occurs,
+                {"ordinal": ordinal, "path": path[id(item)], "fd": root.fd, "value": item.value or "", "root": root.name, "parent": item.parent.name if item.parent else "", "level": item.level, "name": item.name, "pic": item.pic or "", "usage": item.usage or "", "occurs": item.occurs,
                  "odo_on": item.odo or "", "redefines": item.redefines or "", "offset": item.offset, "length": item.length, "extent": item.extent, "is_group": bool(item.children), "section": item.section, "line": item.line}
             )
             ordinal += 1
@@ -350,12 +397,12 @@ def _fields(facts: dict[str, list[dict]], roots: list[Item], warnings: list[str]
 
 def _ref(facts: dict[str, list[dict]], name: str, mode: str, stmt: str, line: int) -> None:
     if not _is_literal(name) and re.fullmatch(_NAME, name):
-        facts["field_ref"].append({"name": name, "mode": mode, "stmt": stmt, "line": line})
+        facts["field_ref"].append({"name": name, "of": getattr(name, "of", ""), "mode": mode, "stmt": stmt, "line": line})
 
 
 def _flow(facts, verb, src, dst, line, guard):
     literal = _is_literal(src[0])
-    facts["data_flow"].append({"verb": verb, "src": "" if literal else src[0], "src_lit": unquote(src[0]) if literal else "", "src_sub": src[1], "dst": dst[0], "dst_sub": dst[1], "line": line, "guard": " AND ".join(guard)})
+    facts["data_flow"].append({"verb": verb, "src": "" if literal else src[0], "src_of": getattr(src[0], "of", ""), "src_lit": unquote(src[0]) if literal else "", "src_sub": src[1], "dst": dst[0], "dst_of": getattr(dst[0], "of", ""), "dst_sub": dst[1], "line": line, "guard": " AND ".join(guard)})
 
 
 def _phrase(facts, p, line, para, files, record_of, literal_map, calls, guard) -> None:
@@ -387,7 +434,7 @@ def _phrase(facts, p, line, para, files, record_of, literal_map, calls, guard) -
         if literal and target in ("CBLTDLI", "AIBTDLI", "CEETDLI") and len(args) >= 2:
             facts["dli_call"].append({"func": "", "func_var": args[0], "pcb": args[1], "area": args[2] if len(args) > 2 else "", "ssas": args[3:], "line": line})
         elif literal and target in ("MQOPEN", "MQPUT", "MQPUT1", "MQGET", "MQCLOSE"):
-            facts["mq_call"].append({"verb": target, "args": args, "line": line})
+            facts["mq_call"].append({"verb": target, "args": args, "queue": "", "area": args[-3] if target in ("MQPUT", "MQPUT1") and len(args) > 4 else args[-4] if target == "MQGET" and len(args) > 5 else "", "line": line})
         for pos, a in enumerate(args, 1):
             facts["call_arg"].append({"target": target if literal else "", "pos": pos, "arg": a, "line": line})
     elif verb == "PERFORM" and rest and up[0] not in ("UNTIL", "VARYING", "TIMES", "WITH", "TEST") and not up[0].isdigit():
@@ -435,8 +482,49 @@ def _phrase(facts, p, line, para, files, record_of, literal_map, calls, guard) -
                 _flow(facts, f"{verb} FROM", src[0], (up[0], ""), line, guard)
     elif verb == "SET" and "TO" in up:
         at = up.index("TO")
+        if "ADDRESS" in up:  # SET ADDRESS OF item TO pointer, SET pointer TO ADDRESS OF item
+            ends = [[w for w in _operands([x for x in side if x.upper() != "ADDRESS"]) if w[0] != "OF"] for side in (rest[:at], rest[at + 1 :])]
+            for a in ends[0]:
+                for b in ends[1]:
+                    if "ADDRESS" in up[:at]:
+                        _flow(facts, "ADDRESS TO", b, a, line, guard)
+                    else:
+                        _flow(facts, "ADDRESS OF", b, a, line, guard)
+            return
         for n, _ in _operands(rest[:at]):
             _ref(facts, n, "write", "SET", line)
+            if up[at + 1 :] == ["TRUE"]:
+                facts["literal_ref"].append({"literal": str(n), "context": "set_true", "field": str(n), "line": line})
+    elif verb == "INITIALIZE":
+        end = up.index("REPLACING") if "REPLACING" in up else len(rest)
+        for d in _operands(rest[:end]):
+            _ref(facts, d[0], "write", verb, line)
+            _flow(facts, verb, ("SPACES", ""), d, line, guard)
+    elif verb == "UNSTRING" and "INTO" in up:
+        src = _operands(rest[:1] + (rest[1:4] if len(rest) > 1 and up[1] in ("OF", "IN") else []))
+        end = next((k for k, w in enumerate(up) if k > up.index("INTO") and w in ("WITH", "POINTER", "TALLYING", "ON", "OVERFLOW", "NOT")), len(rest))
+        into, skip = [], False
+        for d in _operands(rest[up.index("INTO") + 1 : end]):
+            if skip or d[0] in ("DELIMITER", "COUNT"):
+                skip = d[0] in ("DELIMITER", "COUNT")
+                continue
+            into.append(d)
+        for d in into:
+            _ref(facts, d[0], "write", verb, line)
+            _flow(facts, verb, src[0], d, line, guard)
+        _ref(facts, src[0][0], "read", verb, line)
+    elif verb == "INSPECT" and rest:
+        own = _operands(rest[: 1 + 2 * sum(w in ("OF", "IN") for w in up[1:4:2])])[:1]
+        changes = "REPLACING" in up or "CONVERTING" in up
+        for d in own:
+            _ref(facts, d[0], "write" if changes else "read", verb, line)
+        if changes and own:
+            for k, w in enumerate(up):
+                if w in ("BY", "TO") and k + 1 < len(rest):
+                    for x in _operands(rest[k + 1 : k + 2]):
+                        _flow(facts, verb, x, own[0], line, guard)
+        if "TALLYING" in up and up.index("TALLYING") + 1 < len(up):
+            _ref(facts, up[up.index("TALLYING") + 1], "write", verb, line)
     elif verb == "DISPLAY":
         parts = _operands(rest)
         for w, _ in parts:
@@ -479,8 +567,60 @@ def _phrase(facts, p, line, para, files, record_of, literal_map, calls, guard) -
                 call = {"kind": f"cics_{m[1].lower()}", "target": unquote(m[2]).upper() if literal else "", "via_var": "" if literal else m[2].upper(), "resolved": [unquote(m[2]).upper()] if literal else [], "resolution": "literal" if literal else "", "using_args": re.findall(r"COMMAREA\s*\(\s*(\S+)\s*\)", body.upper()), "line": line, "para": para["name"]}
                 facts["call_edge"].append(call)
                 calls.append((call, None if literal else m[2].upper()))
-            if m := re.search(r"^CICS\s+(READ|WRITE|REWRITE|DELETE|STARTBR|READNEXT|READPREV)\b.*?(?:FILE|DATASET)\s*\(\s*(\S+)\s*\)", body, re.I):
-                facts["io_op"].append({"verb": m[1].upper(), "target": unquote(m[2]).upper(), "dd": "", "kind": "cics", "line": line})
+            _cics(facts, body, line, guard)
+        elif up[0] == "DLI":
+            _exec_dli(facts, body, line)
+
+
+_AREA = r"\b{}\s*\(\s*([^)\s]+)(?:\s*\([^)]*\))?\s*\)"
+
+
+def _argument(body: str, *words: str) -> str:
+    """The argument of the first of these options that the command has."""
+    for w in words:
+        if m := re.search(_AREA.format(w), body, re.I):
+            return m[1].upper() if m[1][:1] not in "'\"" else unquote(m[1]).upper()
+    return ""
+
+
+def _cics(facts, body: str, line: int, guard: list[str]) -> None:
+    """Online commands (E18): (verb, kind of resource, resource or the variable that names it, area, direction)."""
+    m = re.match(r"CICS\s+([A-Z]+)(?:\s+([A-Z]+))?", body, re.I)
+    if not m:
+        return
+    verb, second = m[1].upper(), (m[2] or "").upper()
+    kinds = {
+        "READ": ("file", ("FILE", "DATASET"), "in"), "READNEXT": ("file", ("FILE", "DATASET"), "in"), "READPREV": ("file", ("FILE", "DATASET"), "in"), "STARTBR": ("file", ("FILE", "DATASET"), ""),
+        "WRITE": ("file", ("FILE", "DATASET"), "out"), "REWRITE": ("file", ("FILE", "DATASET"), "out"), "DELETE": ("file", ("FILE", "DATASET"), ""), "ENDBR": ("file", ("FILE", "DATASET"), ""),
+        "SEND": ("map", ("MAP",), "out"), "RECEIVE": ("map", ("MAP",), "in"), "WRITEQ": ("queue", ("QUEUE", "QNAME"), "out"), "READQ": ("queue", ("QUEUE", "QNAME"), "in"), "DELETEQ": ("queue", ("QUEUE", "QNAME"), ""),
+        "PUT": ("container", ("CONTAINER",), "out"), "GET": ("container", ("CONTAINER",), "in"), "START": ("transaction", ("TRANSID",), "out"), "RETURN": ("transaction", ("TRANSID",), "out"), "RETRIEVE": ("start_data", (), "in"),
+    }
+    if verb not in kinds:
+        return
+    kind, names, direction = kinds[verb]
+    if kind == "queue":
+        kind = "td_queue" if second == "TD" else "ts_queue"
+    literal = any(re.search(rf"\b{w}\s*\(\s*['\"]", body, re.I) for w in names)
+    resource = _argument(body, *names)
+    if not resource and verb in ("SEND", "RECEIVE", "RETURN", "PUT", "GET", "START"):
+        return
+    area = _argument(body, "INTO", "FROM", "COMMAREA", "SET")
+    facts["cics_op"].append({"verb": verb, "kind": kind, "resource": resource if literal or not names else "", "via_var": "" if literal or not names else resource, "area": area, "direction": direction, "line": line})
+    if kind == "file":
+        facts["io_op"].append({"verb": verb, "target": resource, "dd": "", "kind": "cics", "line": line})
+    if area:
+        _ref(facts, area, "write" if direction == "in" else "read", f"CICS {verb}", line)
+
+
+def _exec_dli(facts, body: str, line: int) -> None:
+    """EXEC DLI: function, PCB number, segments and areas."""
+    m = re.match(r"DLI\s+(GU|GHU|GN|GHN|GNP|GHNP|ISRT|REPL|DLET|CHKP|SCHD|TERM|(?:GET\s+(?:UNIQUE|NEXT(?:\s+IN\s+PARENT)?))|INSERT|REPLACE|DELETE)\b", body, re.I)
+    if not m:
+        return
+    short = {"GET UNIQUE": "GU", "GET NEXT": "GN", "GET NEXT IN PARENT": "GNP", "INSERT": "ISRT", "REPLACE": "REPL", "DELETE": "DLET"}
+    verb = " ".join(m[1].upper().split())
+    segments = re.findall(r"\bSEGMENT\s*\(\s*([^)\s]+)", body, re.I)
+    facts["dli_call"].append({"func": short.get(verb, verb), "func_var": "", "pcb": _argument(body, "PCB"), "area": _argument(body, "INTO", "FROM"), "ssas": [x.upper() for x in segments], "line": line})
 
 
 def _split_top(s: str) -> list[str]:
@@ -493,8 +633,8 @@ def _split_top(s: str) -> list[str]:
     return [x for x in [*out, s[start:].strip()] if x]
 
 
-def _sql(facts, body: str, line: int, guard: str) -> None:
-    """Statement, tables, and column <-> host variable pairs by position."""
+def _sql(facts, body: str, line: int, cursors: dict[str, tuple[list[str], list[str]]]) -> None:
+    """Statement, tables, and column <-> host variable pairs by position (E15-E17); a FETCH by its cursor's select list."""
     text = " ".join(body.replace(" :", " :").split())
     text = re.sub(r"\s*([(),])\s*", r"\1", text)
     upper = text.upper()
@@ -504,15 +644,28 @@ def _sql(facts, body: str, line: int, guard: str) -> None:
         text, upper = text[cursor.start(2) :], cursor[2]
     tables = [t for m in re.finditer(r"\b(?:FROM|JOIN|INTO|UPDATE)\s+(?!:)([A-Z0-9_.]+)", upper) for t in [m[1]] if not (verb == "FETCH" or m[0].startswith("INTO") and verb == "SELECT")]
     facts["sql_stmt"].append({"verb": "DECLARE" if cursor else verb, "tables": tables, "cursor": cursor[1] if cursor else "", "is_dynamic": verb in ("EXECUTE", "PREPARE"), "line": line})
+    if cursor and (m := re.match(r"SELECT (?:DISTINCT )?(.*?) FROM ", upper)):
+        cursors[cursor[1]] = (_split_top(m[1]), tables)
+    fetch = re.match(r"FETCH (?:NEXT |FROM )*(\S+) INTO (.*)", upper)
+    if fetch and fetch[1] in cursors:
+        tables = cursors[fetch[1]][1]
+    alias = {m[2]: m[1] for m in re.finditer(r"\b(?:FROM|JOIN|,)\s*([A-Z0-9_.]+)\s+(?:AS\s+)?(?!WHERE\b|ON\b|JOIN\b|INNER\b|LEFT\b|ORDER\b|GROUP\b|FOR\b|SET\b|WITH\b)([A-Z][A-Z0-9_]*)\b", upper)}
     one = tables[0] if len(set(tables)) == 1 else "?"
 
     def add(col: str, host: str, mode: str) -> None:
-        table = one if "." not in col else next((t for t in tables if t.split(".")[-1] == col.split(".")[0]), one)
+        owner = col.rpartition(".")[0]
+        table = one if not owner else alias.get(owner) or next((t for t in tables if t == owner or t.split(".")[-1] == owner), one)
         facts["sql_col_ref"].append({"tbl": table, "base_tbl": table.split(".")[-1], "col": col.split(".")[-1], "host_var": host.lstrip(":").split(".")[-1], "mode": mode, "line": line})
 
     if m := re.match(r"SELECT (.*?) INTO (.*?) FROM ", upper):
         for c, h in zip(_split_top(m[1]), _split_top(m[2])):
             add(c, h, "read")
+    if fetch:
+        if fetch[1] in cursors:
+            for c, h in zip(cursors[fetch[1]][0], _split_top(fetch[2])):
+                add(re.sub(r"\s+AS\s+\S+$", "", c), h.strip(), "read")
+        else:
+            facts["unresolved"].append({"kind": "unknown_cursor", "detail": fetch[1], "line": line})
     if m := re.match(r"INSERT INTO \S+?\((.*?)\)\s*VALUES\s*\((.*)\)", upper):
         for c, h in zip(_split_top(m[1]), _split_top(m[2])):
             if h.startswith(":"):

@@ -55,6 +55,8 @@ class Item:
     name: str
     line: int
     section: str = ""
+    fd: str = ""
+    sync: bool = False
     pic: str | None = None
     usage: str | None = None
     separate: bool | None = None
@@ -89,7 +91,7 @@ def parse_entry(text: str, line: int, section: str = "") -> Item | None:
         return None
     words = _WORD.findall(text.strip()[m.end() :])
     level, at = int(m[1]), 0
-    clauses = {"PIC", "PICTURE", "USAGE", "OCCURS", "REDEFINES", "VALUE", "VALUES", "SIGN", "SYNC", "JUSTIFIED", "BLANK", *_USAGES}
+    clauses = {"PIC", "PICTURE", "USAGE", "OCCURS", "REDEFINES", "VALUE", "VALUES", "SIGN", "SYNC", "SYNCHRONIZED", "JUSTIFIED", "BLANK", *_USAGES}
     name = "FILLER"
     if words and words[0].upper() not in clauses:
         name, at = words[0].upper(), 1
@@ -127,6 +129,8 @@ def parse_entry(text: str, line: int, section: str = "") -> Item | None:
                 break
             item.value = unquote(rest[0]) if rest else None
             at += 1
+        elif w in ("SYNC", "SYNCHRONIZED"):
+            item.sync = True
         elif w == "SEPARATE":
             item.separate = True
         elif w in _USAGES and w != "INDEX" or w == "INDEX" and upper[at - 1] in ("USAGE", "IS"):
@@ -143,13 +147,17 @@ def build_trees(items: list[Item]) -> tuple[list[Item], list[str]]:
     """Roots with offsets set, and warnings. Fragments (no 01) hang under a root of their own."""
     roots: list[Item] = []
     stack: list[Item] = []
+    warnings: list[str] = []
     for item in items:
         if item.level == 88:
             if stack:
                 stack[-1].values += item.values
             continue
         if item.level == 66:
+            warnings.append(f"{item.name} renames other items (level 66) and has no bytes of its own")
             continue
+        if item.sync:
+            warnings.append(f"{item.name} is SYNCHRONIZED: slack bytes before it are not counted")
         if item.level in (1, 77):
             stack = [item]
             roots.append(item)
@@ -166,7 +174,6 @@ def build_trees(items: list[Item]) -> tuple[list[Item], list[str]]:
         item.parent = stack[-1]
         stack[-1].children.append(item)
         stack.append(item)
-    warnings: list[str] = []
     for root in roots:
         _place(root, 0, "DISPLAY", False, warnings)
     return roots, warnings

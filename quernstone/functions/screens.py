@@ -94,3 +94,39 @@ def parse_stage1(text: str) -> dict[str, list[dict]]:
             for code in ops.get("CODE", "").strip("()").split(","):
                 facts["transaction_def"].append({"code": code, "program": psb, "psb": psb, "line": line})
     return dict(facts)
+
+
+def parse_mfs(text: str) -> dict[str, list[dict]]:
+    """Message and device formats (S17): fields of MSG in their order with running offsets, of FMT at their positions.
+
+    ``DO n`` to ``ENDDO`` repeats the fields between; a field without a length has that of the device field it names.
+    """
+    facts, owner, kind, width = defaultdict(list), "", "", {}
+    pending: list[tuple[str, str, dict, int]] = []
+    stack: list[tuple[int, int]] = []
+    for line, label, op, ops in macros(text):
+        if op in ("MSG", "FMT"):
+            owner, kind = label, op
+            pending.append((owner, op, ops, line))
+        elif op == "DO":
+            stack.append((int(re.sub(r"\D.*", "", ops.get("#0", "1")) or 1), len(pending)))
+        elif op == "ENDDO" and stack:
+            times, at = stack.pop()
+            body = pending[at:]
+            pending += [(f"{n}#{k}" if n else n, o, p, at_line) for k in range(2, times + 1) for n, o, p, at_line in body]
+        elif op in ("DFLD", "MFLD"):
+            name = label or (ops.get("#0", "").strip("()").split(",")[0])
+            if op == "DFLD" and ops.get("LTH", "").isdigit():
+                width[label] = int(ops["LTH"])
+            pending.append((name, op, ops, line))
+    offset = 0
+    for name, op, ops, line in pending:
+        if op in ("MSG", "FMT"):
+            owner, kind, offset = name, op, 0
+            facts["screen"].append({"map": name, "size": ops.get("TYPE", ""), "line": line})
+            continue
+        row, _, col = ops.get("POS", "(0,0)").strip("()").partition(",")
+        length = int(ops["LTH"]) if ops.get("LTH", "").isdigit() else width.get(name.split("#")[0], 0)
+        facts["screen_field"].append({"map": owner, "name": name, "row": int(re.sub(r"\D.*", "", row) or 0), "col": int(re.sub(r"\D.*", "", col) or 0) if kind == "FMT" else offset, "length": length, "initial": ops.get("#0", "").strip("'") if ops.get("#0", "").startswith("'") else "", "line": line})
+        offset += length
+    return dict(facts)

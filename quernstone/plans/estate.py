@@ -1,22 +1,24 @@
 """Facts of a source estate as tables, and the questions asked of them (Q1-Q37).
 
-``build`` parses every member once, on the executors, into tagged fact rows partitioned by fact; an ``Estate`` reads one
-fact table at a time, and every question is joins over these. What could not be resolved stays beside each answer in the
-``unresolved`` facts.
+``build`` parses every member once, on the executors, into typed facts: one folder per fact, in which one struct column
+holds the fact's own columns, so that a question reads the columns it names and filters reach the files. Every question
+is joins over these. What could not be resolved stays beside each answer in the ``unresolved`` facts.
 """
 
 from __future__ import annotations
 
-import json
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quernstone.operators import graph, interval, relational, text
 from quernstone.session import cut
-from quernstone.sources.members import scan
+from quernstone.sources.members import apply_manifest, scan
 
 #: Columns of each fact table, besides member_id and name (the member's).
 FACTS = {
@@ -26,12 +28,13 @@ FACTS = {
     "call_edge": "kind string, target string, via_var string, resolved array<string>, resolution string, using_args array<string>, line int, para string",
     "call_arg": "target string, pos int, arg string, line int",
     "dli_call": "func string, func_var string, pcb string, area string, ssas array<string>, line int",
-    "mq_call": "verb string, args array<string>, line int",
+    "mq_call": "verb string, args array<string>, queue string, area string, line int",
+    "cics_op": "verb string, kind string, resource string, via_var string, area string, direction string, line int",
     "copy_use": "copybook string, library string, line int, resolved boolean",
-    "field": "ordinal int, root string, parent string, level int, name string, pic string, usage string, occurs int, odo_on string, redefines string, offset int, length int, extent int, is_group boolean, section string, line int",
+    "field": "ordinal int, path string, fd string, value string, root string, parent string, level int, name string, pic string, usage string, occurs int, odo_on string, redefines string, offset int, length int, extent int, is_group boolean, section string, line int",
     "cond88": "field string, name string, lo string, hi string, line int",
-    "field_ref": "name string, mode string, stmt string, line int",
-    "data_flow": "verb string, src string, src_lit string, src_sub string, dst string, dst_sub string, line int, guard string",
+    "field_ref": "name string, of string, mode string, stmt string, line int",
+    "data_flow": "verb string, src string, src_of string, src_lit string, src_sub string, dst string, dst_of string, dst_sub string, line int, guard string",
     "literal_ref": "literal string, context string, field string, line int",
     "file_decl": "select string, assign_dd string, line int",
     "io_op": "verb string, target string, dd string, kind string, line int",
@@ -40,7 +43,14 @@ FACTS = {
     "job": "job string, line int",
     "proc_def": "proc string, line int, symbolics map<string,string>",
     "proc_call": "job string, proc string, step string, line int",
-    "step": "job string, step string, pgm string, effective string, how string, from_proc string, psb string, line int, ordinal int",
+    "step": "job string, step string, pgm string, effective string, how string, from_proc string, psb string, line int, ordinal int, guard string",
+    "job_library": "job string, position int, library string, line int",
+    "card_member": "job string, step string, dd string, member_name string, line int",
+    "idcams_op": "job string, step string, op string, dsn string, line int",
+    "dataset_attribute": "job string, step string, dsn string, kind string, average int, largest int, key_length int, key_offset int, generations int, line int",
+    "db2_utility": "job string, step string, op string, tbl string, dd string, line int",
+    "report_field": "job string, step string, file string, name string, pos int, length int, kind string, line int",
+    "card_parameter": "job string, step string, name string, value string, line int",
     "dd": "job string, step string, dd string, concat int, dsn string, gdg string, disp string, mode string, mode_source string, temp boolean, line int",
     "card_field": "job string, step string, card string, pos int, length int, fmt string, line int",
     "screen": "map string, size string, line int",
@@ -56,66 +66,93 @@ FACTS = {
 }
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(member_id, kind, text, parts) -> (member_id, fact, payload); a member that fails leaves one unresolved row."""
+_OWNER = ["member_id", "member", "system", "fact"]
+
+
+@functools.lru_cache(maxsize=1)
+def _structs() -> dict[str, StructType]:
+    """Only the driver can read the column lists; executors import this module too."""
+    return {fact: StructType.fromDDL(columns) for fact, columns in FACTS.items()}
+
+
+def fact_row() -> StructType:
+    return StructType([StructField(c, LongType() if c == "member_id" else StringType()) for c in _OWNER] + [StructField(f, t) for f, t in _structs().items()])
+
+
+def facts_of(kind: str, source: str, parts: list[dict]) -> dict[str, list[dict]]:
+    """All facts of one member, by table name."""
     from quernstone.functions import cobol, jcl, layout, screens
 
-    macro = {"bms": screens.parse_bms, "dbd": screens.parse_dbd, "psb": screens.parse_psb, "csd": screens.parse_csd, "stage1": screens.parse_stage1}
-    for batch in batches:
-        rows = []
-        for member, kind, source, parts in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            known = {p["name"]: p["text"] for p in parts or []}
-            try:
-                if kind == "program":
-                    facts = cobol.parse_program(source, known)
-                elif kind == "copybook":
-                    entries = [e for at, s in cobol.sentences(cobol.logical_lines(source)) if (e := layout.parse_entry(s, at))]
-                    facts = {}
-                    roots, warnings = layout.build_trees(entries)
-                    out = cobol.defaultdict(list)
-                    cobol._fields(out, roots, warnings)
-                    facts = dict(out) | {"copy_use": [{"copybook": n, "library": lib, "line": at, "resolved": n in known} for n, lib, at in cobol.copy_names(source)]}
-                elif kind in ("jcl", "proc"):
-                    facts = jcl.parse_jcl(source, known)
-                elif kind in macro:
-                    facts = macro[kind](source)
-                else:
-                    facts = {}
-            except Exception as error:  # one bad member must not end the build
-                facts = {"unresolved": [{"kind": "parse_error", "detail": f"{type(error).__name__}: {error}", "line": 0}]}
-            rows += [(member, fact, json.dumps(row)) for fact, own in facts.items() for row in own]
-        yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["member_id", "fact", "payload"])
+    macro = {"bms": screens.parse_bms, "mfs": screens.parse_mfs, "dbd": screens.parse_dbd, "psb": screens.parse_psb, "csd": screens.parse_csd, "stage1": screens.parse_stage1}
+    known = {p["name"]: p["text"] for p in parts or []}
+    if kind == "program":
+        return cobol.parse_program(source, known)
+    if kind == "copybook":
+        entries = [e for at, s in cobol.sentences(cobol.logical_lines(source)) if (e := layout.parse_entry(s, at))]
+        roots, warnings = layout.build_trees(entries)
+        out = cobol.defaultdict(list)
+        cobol._fields(out, roots, warnings)
+        return dict(out) | {"copy_use": [{"copybook": n, "library": lib, "line": at, "resolved": n in known} for n, lib, at in cobol.copy_names(source)]}
+    if kind in ("jcl", "proc"):
+        return jcl.parse_jcl(source, known)
+    return macro[kind](source) if kind in macro else {}
+
+
+def _parser():
+    """(member_id, member, system, kind, text, parts) -> fact rows; a member that fails leaves one unresolved row."""
+    types = {f: to_arrow_type(t) for f, t in _structs().items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners: dict[str, list[tuple]] = {}
+            rows: dict[str, list[dict]] = {}
+            for member_id, member, system, kind, source, parts in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                try:
+                    facts = facts_of(kind, source, parts)
+                except Exception as error:  # one bad member must not end the build
+                    facts = {"unresolved": [{"kind": "parse_error", "detail": f"{type(error).__name__}: {error}", "line": 0}]}
+                for fact, own in facts.items():
+                    if fact in types:
+                        owners.setdefault(fact, []).extend([(member_id, member, system)] * len(own))
+                        rows.setdefault(fact, []).extend({k: list(v.items()) if isinstance(v, dict) else v for k, v in r.items()} for r in own)
+            for fact, own in rows.items():
+                n = len(own)
+                head = [pa.array([o[k] for o in owners[fact]], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+                values = [pa.array(own, t) if f == fact else pa.nulls(n, t) for f, t in types.items()]
+                yield pa.RecordBatch.from_arrays([*head, pa.array([fact] * n, pa.string()), *values], [*_OWNER, *types])
+
+    return run
 
 
 def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(member_id, kind, text) -> (member_id, part): names of copybooks and procedures that a member calls for."""
-    import re
-
+    """(member_id, kind, text) -> (member_id, part): names of copybooks, procedures, includes and control members that a member calls for."""
     from quernstone.functions.cobol import copy_names
+    from quernstone.functions.jcl import part_names
 
     for batch in batches:
         rows = []
         for member, kind, source in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if kind in ("program", "copybook"):
-                rows += sorted({(member, n) for n, _, _ in copy_names(source)})
-            elif kind in ("jcl", "proc"):
-                rows += sorted({(member, m[1]) for m in re.finditer(r"(?m)^//\S*\s+EXEC\s+(?:PROC=)?([A-Z0-9@#$]+)(?=[,\s]|$)", source)})
+            names = {n for n, _, _ in copy_names(source)} if kind in ("program", "copybook") else part_names(source)
+            rows += [(member, n) for n in sorted(names)]
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["member_id", "part"])
 
 
-def parts_of(members: DataFrame, depth: int = 12) -> DataFrame:
-    """(member_id, parts array<(name, text)>, ambiguous): the copybooks and procedures each member needs, all levels.
+PARTS = ("copybook", "proc", "include", "ctlcard")
+
+
+def parts_of(members: DataFrame, limit: int = 100) -> DataFrame:
+    """(member_id, parts array<(name, text)>, ambiguous): the copybooks, procedures and cards each member needs, all levels.
 
     Level by level by joins, so no text is broadcast. Of several parts of one name one is chosen by precedence: the
-    first by path of the same system, else the first of all (E8); both are aggregates with one row per name, so a name
-    that every system holds does not multiply. A recursion ends because a name is taken once per member.
+    first by path of the same system, else the first of an authoritative library, else the first of all (E8); all are
+    aggregates with one row per name, so a name that every system holds does not multiply. A recursion ends because a
+    name is taken once per member; more than ``limit`` levels raise.
     """
-    usable = members.filter(F.col("kind").isin("program", "copybook", "jcl", "proc"))
+    usable = members.filter(F.col("kind").isin("program", "copybook", "jcl", "proc", "include"))
     uses = cut(usable.select("member_id", "kind", "text").mapInArrow(_uses, "member_id bigint, part string"))
-    library = members.filter(F.col("kind").isin("copybook", "proc")).select(F.col("name").alias("part"), "system", "path", "member_id", "norm_sha")
-    first = F.min(F.struct("path", "member_id"))
-    own = library.groupBy("part", "system").agg(first.alias("own"))
-    any_ = library.groupBy("part").agg(first.alias("any"), (F.min("norm_sha") != F.max("norm_sha")).alias("ambiguous"))
+    library = members.filter(F.col("kind").isin(*PARTS)).select(F.col("name").alias("part"), "system", "path", "member_id", "norm_sha", (~F.col("authoritative")).alias("later"))
+    own = library.groupBy("part", "system").agg(F.min(F.struct("path", "member_id")).alias("own"))
+    any_ = library.groupBy("part").agg(F.min(F.struct("later", "path", "member_id")).alias("any"), (F.min("norm_sha") != F.max("norm_sha")).alias("ambiguous"))
 
     def resolved(need: DataFrame) -> DataFrame:
         both = need.join(any_, "part").join(own, ["part", "system"], "left")
@@ -124,32 +161,42 @@ def parts_of(members: DataFrame, depth: int = 12) -> DataFrame:
     inner = uses.select(F.col("member_id").alias("part_id"), F.col("part").alias("next"))
     frontier = cut(resolved(usable.select("member_id", "system").join(uses, "member_id")))
     seen = frontier
-    for _ in range(depth):
+    for _ in range(limit):
         below = frontier.join(inner, "part_id").select("member_id", "system", F.col("next").alias("part")).distinct()
         frontier = cut(resolved(below.join(seen.select("member_id", "part"), ["member_id", "part"], "left_anti")))
-        if not frontier.limit(1).count():
+        if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    texts = members.select(F.col("member_id").alias("part_id"), F.col("text").alias("part_text"))
+        seen = seen.unionByName(frontier)
+    else:
+        raise RuntimeError(f"parts nest more than {limit} levels deep")
+    texts = members.filter(F.col("kind").isin(*PARTS)).select(F.col("member_id").alias("part_id"), F.col("text").alias("part_text"))
     chosen = seen.join(texts, "part_id")
     return chosen.groupBy("member_id").agg(F.collect_list(F.struct(F.col("part").alias("name"), F.col("part_text").alias("text"))).alias("parts"), F.max("ambiguous").alias("ambiguous"))
 
 
+def _parsed(members: DataFrame) -> DataFrame:
+    return members.select("member_id", F.col("name").alias("member"), "system", "kind", "text", "parts").mapInArrow(_parser(), fact_row())
+
+
 def parse(members: DataFrame) -> DataFrame:
-    whole = members.join(parts_of(members), "member_id", "left")
-    return whole.select("member_id", "kind", "text", "parts").mapInArrow(_parse, "member_id bigint, fact string, payload string")
+    return _parsed(members.join(parts_of(members), "member_id", "left"))
 
 
-def build(spark: SparkSession, root: str, out: str) -> Estate:
+def build(spark: SparkSession, root: str, out: str, manifest: dict | None = None) -> Estate:
     """Scan, parse and store: ``out/members`` and ``out/facts`` (one folder per fact)."""
-    return store(scan(spark, root), out)
+    members = scan(spark, root)
+    return store(apply_manifest(members, manifest, root) if manifest else members, out)
+
+
+def _write_facts(rows: DataFrame, out: str) -> None:
+    rows.write.mode("overwrite").partitionBy("fact").parquet(f"{out}/facts")
 
 
 def store(members: DataFrame, out: str) -> Estate:
     spark = members.sparkSession
     members.write.mode("overwrite").parquet(f"{out}/members")
     members = spark.read.parquet(f"{out}/members")
-    parse(members).write.mode("overwrite").partitionBy("fact").parquet(f"{out}/facts")
+    _write_facts(parse(members), out)
     return Estate(spark, out)
 
 
@@ -161,15 +208,14 @@ def refresh(spark: SparkSession, root: str, old: str, new: str) -> Estate:
     changed = joined.filter(~F.col("sha256").eqNullSafe(F.col("old_sha"))).select("member_id")
     gone_names = spark.read.parquet(f"{old}/members").select("member_id", "name").join(changed, "member_id", "left_semi").select("name")
     names = now.join(changed, "member_id", "left_semi").select("name").union(gone_names).distinct()
-    users = parts_of(now).select("member_id", F.explode("parts.name").alias("name"))
-    missing = Estate(spark, old).fact("unresolved").filter(F.col("kind").isin("missing_copybook", "missing_proc")).select("member_id", F.col("detail").alias("name"))
+    parts = cut(parts_of(now))
+    users = parts.select("member_id", F.explode("parts.name").alias("name"))
+    missing = Estate(spark, old).fact("unresolved").filter(F.col("kind").isin("missing_copybook", "missing_proc", "missing_include", "missing_control_member")).select("member_id", F.col("detail").alias("name"))
     forced = users.unionByName(missing).join(names, "name", "left_semi").select("member_id")
-    stale = changed.union(forced).distinct()
-    kept = spark.read.parquet(f"{old}/facts").join(now.select("member_id"), "member_id", "left_semi").join(stale, "member_id", "left_anti")
-    todo = now.join(stale, "member_id", "left_semi")
-    parts = now.join(parts_of(now), "member_id", "left").join(todo.select("member_id"), "member_id", "left_semi")
-    fresh = parts.select("member_id", "kind", "text", "parts").mapInArrow(_parse, "member_id bigint, fact string, payload string")
-    kept.select("member_id", "fact", "payload").unionByName(fresh).write.mode("overwrite").partitionBy("fact").parquet(f"{new}/facts")
+    stale = cut(changed.union(forced).distinct())
+    kept = spark.read.schema(fact_row()).parquet(f"{old}/facts").join(now.select("member_id"), "member_id", "left_semi").join(stale, "member_id", "left_anti")
+    fresh = _parsed(now.join(stale, "member_id", "left_semi").join(parts, "member_id", "left"))
+    _write_facts(kept.select(*fact_row().names).unionByName(fresh), new)
     return Estate(spark, new)
 
 
@@ -178,17 +224,16 @@ class Estate:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
+        self._tables: dict[str, DataFrame] = {}
 
     @property
     def members(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/members")
 
     def fact(self, name: str) -> DataFrame:
-        """One fact table: member_id, member (name), system, and its columns."""
-        rows = self.spark.read.parquet(f"{self.path}/facts").filter(F.col("fact") == name)
-        rows = rows.select("member_id", F.from_json("payload", FACTS[name]).alias("f"))
-        owner = self.members.select("member_id", F.col("name").alias("member"), "system")
-        return rows.join(owner, "member_id").select("member_id", "member", "system", "f.*")
+        """One fact table: member_id, member (name), system, and its columns; only the columns used are read."""
+        rows = self.spark.read.schema(fact_row()).parquet(f"{self.path}/facts").filter(F.col("fact") == name)
+        return rows.select("member_id", "member", "system", f"{name}.*")
 
     # -- programs ----------------------------------------------------------------------------------------------------
 
@@ -245,6 +290,57 @@ class Estate:
         reach = graph.closure(steps.select("src", "dst"), roots)
         return paras.join(reach, paras["name"] == reach["node"], "left").select("name", "kind", "ordinal", "start_line", "end_line", "depth")
 
+    def walk(self, program: str | None = None) -> DataFrame:
+        """(program_id, place, name, how, depth): paragraphs in reading order, place null where nothing leads (G2, W10); of one program or all."""
+        own = self.fact("program").select("member_id", "program_id")
+        if program:
+            own = own.filter(F.col("program_id") == program.upper())
+        paras = self.fact("paragraph").select("member_id", "name", "ordinal").join(own, "member_id")
+        edges = self.fact("perform_edge").select("member_id", "from_para", "to_para", "thru_para", "kind", "line").join(own.select("member_id"), "member_id", "left_semi")
+
+        def order(p, e):
+            import pandas as pd
+
+            from quernstone.functions.walk import reading_order
+
+            p = p.sort_values("ordinal")
+            found, never = reading_order(p["name"].tolist(), list(e[["from_para", "to_para", "thru_para", "kind", "line"]].itertuples(index=False, name=None)))
+            program_id = p["program_id"].iloc[0] if len(p) else None
+            rows = [(program_id, *r) for r in found] + [(program_id, None, n, "never", None) for n in never]
+            return pd.DataFrame(rows, columns=["program_id", "place", "name", "how", "depth"]).astype({"place": "Int32", "depth": "Int32"})
+
+        read = paras.groupBy("member_id").cogroup(edges.groupBy("member_id")).applyInPandas(order, "program_id string, place int, name string, how string, depth int")
+        return read.filter("place is not null") if program else read
+
+    def data_used(self) -> DataFrame:
+        """(program_id, root, used, total): items that the code names, of all items of each 01."""
+        programs = self.fact("program").select("member_id", "program_id")
+        refs = self.fact("field_ref").join(programs, "member_id").select("program_id", "name", "of").distinct()
+        items = self._kept("items", self.items)
+        pattern = F.concat(F.lit("(^|/)"), F.array_join(F.reverse(F.split("of", "/")), "(/.*)?/"), F.lit("(/.*)?/"), "name", F.lit("$"))
+        named = items.join(refs, ["program_id", "name"]).filter((F.col("of") == "") | F.rlike("path", pattern)).select("program_id", "path").distinct()
+        flagged = items.join(named.withColumn("hit", F.lit(1)), ["program_id", "path"], "left")
+        return flagged.groupBy("program_id", "root").agg(F.count("hit").alias("used"), F.count(F.lit(1)).alias("total"))
+
+    def version_items(self, old: str, new: str) -> DataFrame:
+        """(name, level, item, change, delta): items of every member that two groups of systems hold, as :meth:`diff` has them for two members."""
+        m = self.members.select("name", "kind", "system")
+        held = m.filter(F.col("system").startswith(old)).select("name", "kind").distinct().join(m.filter(F.col("system").startswith(new)).select("name", "kind").distinct(), ["name", "kind"]).select(F.col("name").alias("member")).distinct()
+
+        def side(prefix: str, label: str) -> DataFrame:
+            rows = self.fact("field").filter(F.col("system").startswith(prefix)).join(held, "member", "left_semi")
+            return rows.select("member", "level", F.col("name").alias("item"), F.struct("pic", "length").alias(f"{label}_shape"), F.col("offset").alias(f"{label}_at"))
+
+        both = side(old, "old").join(side(new, "new"), ["member", "level", "item"], "full_outer")
+        return both.select(F.col("member").alias("name"), "level", "item", self._change().alias("change"), (F.col("new_at") - F.col("old_at")).alias("delta"))
+
+    @staticmethod
+    def _change() -> Column:
+        return (
+            F.when(F.col("old_shape").isNull(), "added").when(F.col("new_shape").isNull(), "removed").when(F.col("old_shape") != F.col("new_shape"), "changed")
+            .when(F.col("old_at") != F.col("new_at"), "shifted").otherwise("same")
+        )
+
     def paragraph(self, program: str, name: str) -> dict[str, DataFrame]:
         """Who leads to a paragraph, and what it does (Q-paragraph, G3)."""
         own = self.fact("program").filter(F.col("program_id") == program.upper()).select("member_id")
@@ -433,11 +529,7 @@ class Estate:
         """Items of two versions: added, removed, changed, or moved by how much."""
         side = lambda i, p: self.fact("field").filter(F.col("member_id") == i).select("level", "name", F.struct("pic", "length").alias(f"{p}_shape"), F.col("offset").alias(f"{p}_at"))
         both = side(old_member, "old").join(side(new_member, "new"), ["level", "name"], "full_outer")
-        kind = (
-            F.when(F.col("old_shape").isNull(), "added").when(F.col("new_shape").isNull(), "removed").when(F.col("old_shape") != F.col("new_shape"), "changed")
-            .when(F.col("old_at") != F.col("new_at"), "shifted").otherwise("same")
-        )
-        return both.select("level", "name", kind.alias("change"), (F.col("new_at") - F.col("old_at")).alias("delta"))
+        return both.select("level", "name", self._change().alias("change"), (F.col("new_at") - F.col("old_at")).alias("delta"))
 
     def interfaces(self) -> DataFrame:
         """Facts at the estate's border: transfers, online files, data sets that only one side touches (Q22)."""
@@ -479,66 +571,193 @@ class Estate:
 
     # -- value flow --------------------------------------------------------------------------------------------------
 
-    def _flow_edges(self, items: DataFrame, up: bool) -> DataFrame:
-        """(program_id, src, d_program, d_root, d_lo, d_hi, d_pic, how, line): moves, arguments and columns.
+    def _kept(self, name: str, make) -> DataFrame:
+        """A table of this estate that several hops or questions use, cut once."""
+        if name not in self._tables:
+            self._tables[name] = cut(make())
+        return self._tables[name]
+
+    def items(self) -> DataFrame:
+        """Items with bytes: (program_id, root, name, path, lo, hi, length, pic, is_group, plain) of every program."""
+        programs = self.fact("program").select("member_id", "program_id")
+        rows = self.fact("field").filter("extent > 0").join(programs, "member_id")
+        plain = (F.col("redefines") == "") & (F.col("occurs") == 1) & (F.col("name") != "FILLER")
+        return rows.select("program_id", "root", "name", "path", F.col("offset").cast("long").alias("lo"), (F.col("offset") + F.col("extent")).cast("long").alias("hi"), F.col("length").cast("long").alias("length"), "pic", "is_group", plain.alias("plain"))
+
+    def _links(self) -> DataFrame:
+        """(a_program, a, a_of, a_sub, b_program, b, b_of, b_sub, how, line): names from which bytes go to names.
 
-        One row leads from a named item of a program to a byte range; upwards the two ends change places. Names that
-        several items of a program share are left out, as they cannot be resolved.
+        Moves and other statements, pointers, arguments and parameters, columns, database segments, queues, containers,
+        transactions and message queues (G15, G17, G20, G22-G26).
         """
-        programs = self.fact("program").select("member_id", "program_id", "linkage")
+        programs = self._kept("programs", lambda: self.fact("program").select("member_id", "program_id", "linkage"))
         ids = programs.select("member_id", "program_id")
-        unique = items.join(items.groupBy("program_id", "name").count().filter("count = 1").drop("count"), ["program_id", "name"])
-        moves = self.fact("data_flow").filter("src <> ''").join(ids, "member_id").select(F.col("program_id").alias("a_program"), F.col("src").alias("a"), F.col("program_id").alias("b_program"), F.col("dst").alias("b"), F.col("verb").alias("how"), "line")
-        args = self.fact("call_edge").join(ids, "member_id").select(F.col("program_id").alias("a_program"), F.explode("resolved").alias("b_program"), "line", "using_args").select("a_program", "b_program", "line", F.posexplode("using_args").alias("pos", "a"))
+        none = F.lit("")
+
+        def named(df: DataFrame, a: str, b: str, how: Column, a_program: str = "a_program", b_program: str = "b_program") -> DataFrame:
+            return df.select(F.col(a_program).alias("a_program"), F.col(a).alias("a"), none.alias("a_of"), none.alias("a_sub"), F.col(b_program).alias("b_program"), F.col(b).alias("b"), none.alias("b_of"), none.alias("b_sub"), how.alias("how"), "line")
+
+        def met(put: DataFrame, get: DataFrame, on: list[str], how: Column) -> DataFrame:
+            """What one program puts under a key and another, or the same, gets under it."""
+            a = put.select(*on, F.col("program_id").alias("a_program"), F.col("area").alias("a"), "line")
+            b = get.select(*on, F.col("program_id").alias("b_program"), F.col("area").alias("b")).distinct()
+            return named(a.join(b, on), "a", "b", how)
+
+        flows = self._kept("flows", lambda: self.fact("data_flow").join(ids, "member_id").drop("member_id", "member", "system"))
+        moves = flows.filter("src <> '' and verb not like 'ADDRESS%'").select(F.col("program_id").alias("a_program"), F.col("src").alias("a"), F.col("src_of").alias("a_of"), F.col("src_sub").alias("a_sub"), F.col("program_id").alias("b_program"), F.col("dst").alias("b"), F.col("dst_of").alias("b_of"), F.col("dst_sub").alias("b_sub"), F.col("verb").alias("how"), "line")
+        taken = flows.filter("verb = 'ADDRESS OF'").select("program_id", F.col("dst").alias("pointer"), F.col("src").alias("a"))
+        given = flows.filter("verb = 'ADDRESS TO'").select("program_id", F.col("src").alias("pointer"), F.col("dst").alias("b"), "line")
+        pointers = named(taken.join(given, ["program_id", "pointer"]), "a", "b", F.lit("POINTER"), "program_id", "program_id")
+        args = self.fact("call_edge").join(ids, "member_id").select(F.col("program_id").alias("a_program"), "kind", F.explode("resolved").alias("b_program"), "line", "using_args")
+        each = args.select("a_program", "kind", "b_program", "line", F.posexplode("using_args").alias("pos", "a"))
         params = programs.select(F.col("program_id").alias("b_program"), F.posexplode("linkage").alias("pos", "b"))
-        calls = args.join(params, ["b_program", "pos"]).select("a_program", "a", "b_program", "b", F.lit("CALL").alias("how"), "line")
-        columns = self.fact("sql_col_ref").filter("tbl <> '?'").join(ids, "member_id").select("program_id", "base_tbl", "col", "host_var", "mode", "line")
-        put = columns.filter("mode = 'write'").select("base_tbl", "col", F.col("program_id").alias("a_program"), F.col("host_var").alias("a"), "line")
-        get = columns.filter("mode = 'read'").select("base_tbl", "col", F.col("program_id").alias("b_program"), F.col("host_var").alias("b"))
-        tables = put.join(get, ["base_tbl", "col"]).select("a_program", "a", "b_program", "b", F.concat(F.lit("column "), "base_tbl", F.lit("."), "col").alias("how"), "line")
-        every = moves.unionByName(calls).unionByName(tables)
-        near, far = ("b", "a") if up else ("a", "b")
-        ends = unique.select(F.col("program_id").alias(f"{far}_program"), F.col("name").alias(far), F.col("root").alias("d_root"), F.col("lo").alias("d_lo"), F.col("hi").alias("d_hi"), F.col("pic").alias("d_pic"))
-        return every.join(ends, [f"{far}_program", far]).select(F.col(f"{near}_program").alias("program_id"), F.col(near).alias("src"), F.col(f"{far}_program").alias("d_program"), "d_root", "d_lo", "d_hi", "d_pic", "how", "line")
+        calls = named(each.filter("kind not like 'cics%'").join(params, ["b_program", "pos"]), "a", "b", F.lit("CALL"))
+        areas = named(each.filter("kind like 'cics%'").withColumn("b", F.lit("DFHCOMMAREA")), "a", "b", F.lit("COMMAREA"))
+        columns = self.fact("sql_col_ref").filter("tbl <> '?'").join(ids, "member_id").withColumnRenamed("host_var", "area")
+        tables = met(columns.filter("mode = 'write'"), columns.filter("mode = 'read'"), ["base_tbl", "col"], F.concat(F.lit("column "), "base_tbl", F.lit("."), "col"))
+        dli = self.database_calls().filter("dbd is not null and area <> ''")
+        segments = met(dli.filter(F.col("func").isin("ISRT", "REPL")), dli.filter(F.col("func").isin("GU", "GN", "GNP", "GHU", "GHN", "GHNP")), ["dbd"], F.concat(F.lit("database "), "dbd"))
+        online = self._kept("online", lambda: self.fact("cics_op").join(ids, "member_id").filter("area <> ''").drop("member_id", "member", "system"))
+        held = online.filter("resource <> '' and kind <> 'transaction' and kind <> 'map'")
+        queues = met(held.filter("direction = 'out'"), held.filter("direction = 'in'"), ["kind", "resource"], F.concat("kind", F.lit(" "), "resource"))
+        routes = self.fact("transaction_def").select(F.col("code").alias("resource"), F.col("program").alias("b_program")).distinct()
+        sent = online.filter("kind = 'transaction' and resource <> ''").join(routes, "resource").select(F.col("program_id").alias("a_program"), F.col("area").alias("a"), "b_program", "verb", "resource", "line")
+        start = online.filter("kind = 'start_data'").select(F.col("program_id").alias("b_program"), F.col("area").alias("b"))
+        how = F.concat(F.lit("transaction "), "resource")
+        started = named(sent.filter("verb = 'START'").join(start, "b_program"), "a", "b", how)
+        returned = named(sent.filter("verb = 'RETURN'").withColumn("b", F.lit("DFHCOMMAREA")), "a", "b", how)
+        mq = self.fact("mq_call").join(ids, "member_id").filter("queue <> '' and area <> ''")
+        messages = met(mq.filter("verb like 'MQPUT%'"), mq.filter("verb = 'MQGET'"), ["queue"], F.concat(F.lit("message queue "), "queue"))
+        out = moves
+        for more in (pointers, calls, areas, tables, segments, queues, started, returned, messages):
+            out = out.unionByName(more)
+        return out
+
+    def _resolved_names(self) -> DataFrame:
+        """(program_id, name, of, n, item): each name used, with its OF/IN groups, and how many items of the program it fits.
+
+        With exactly one, that is the item; the rest are the residue of :meth:`unresolved_names`.
+        """
+        links = self._kept("links", self._links)
+        ends = [links.select(F.col(f"{e}_program").alias("program_id"), F.col(e).alias("name"), F.col(f"{e}_of").alias("of")) for e in "ab"]
+        used = ends[0].union(ends[1]).distinct()
+        items = self._kept("items", self.items)
+        groups = F.reverse(F.split("of", "/"))
+        pattern = F.concat(F.lit("(^|/)"), F.array_join(groups, "(/.*)?/"), F.lit("(/.*)?/"), "name", F.lit("$"))
+        fits = used.join(items, ["program_id", "name"], "left").filter((F.col("of") == "") | F.col("path").isNull() | F.rlike("path", pattern))
+        found = fits.groupBy("program_id", "name", "of").agg(F.count("path").alias("n"), F.min(F.struct("root", "path", "lo", "hi", "length", "pic", "is_group")).alias("item"))
+        return used.join(found, ["program_id", "name", "of"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+    def unresolved_names(self) -> DataFrame:
+        """(program_id, name, of, kind): names in the flow that fit no item of their program, or several."""
+        names = self._kept("names", self._resolved_names)
+        held = self.fact("program").select("program_id").distinct()
+        return names.filter("n <> 1").join(held, "program_id", "left_semi").select("program_id", "name", "of", F.when(F.col("n") == 0, "unknown_field").otherwise("ambiguous_field").alias("kind"))
+
+    @staticmethod
+    def _part(side: str) -> tuple[Column, Column]:
+        """First and last byte of an item named with a subscript or a reference modification, both as numbers."""
+        sub, lo, hi, length = (F.col(f"{side}_{c}") for c in ("sub", "lo", "hi", "length"))
+        begin, size = (F.nullif(F.regexp_extract(sub, r"^\s*(\d+)\s*:\s*(\d*)", k), F.lit("")).cast("long") for k in (1, 2))
+        element = F.nullif(F.regexp_extract(sub, r"^\s*(\d+)\s*$", 1), F.lit("")).cast("long")
+        first = F.when(begin.isNotNull(), lo + begin - 1).when(element.isNotNull() & (lo + element * length <= hi), lo + (element - 1) * length).otherwise(lo)
+        last = F.when(begin.isNotNull(), F.coalesce(F.least(lo + begin - 1 + size, hi), hi)).when(element.isNotNull() & (lo + element * length <= hi), lo + element * length).otherwise(hi)
+        return first, last
+
+    def flow_edges(self) -> DataFrame:
+        """Edges between byte ranges: (a_program, a_root, a_lo, a_hi, a_pic, b_program, b_root, b_lo, b_hi, b_pic, how, line).
+
+        MOVE CORRESPONDING is one edge for each pair of elementary items of the same name and place in both groups (G16);
+        FILLER, REDEFINES and OCCURS take no part.
+        """
+        names = self._kept("names", self._resolved_names).filter("n = 1")
 
-    def flow(self, field: str, program: str, hops: int = 3, up: bool = False) -> DataFrame:
-        """Where the bytes of a field go, or come from: (hop, program_id, root, lo, hi, how, line).
+        def end(side: str) -> DataFrame:
+            own = names.select(F.col("program_id").alias(f"{side}_program"), F.col("name").alias(side), F.col("of").alias(f"{side}_of"), *[F.col(f"item.{c}").alias(f"{side}_{c}") for c in ("root", "path", "lo", "hi", "length", "pic")])
+            return own
+
+        both = self._kept("links", self._links).join(end("a"), ["a_program", "a", "a_of"]).join(end("b"), ["b_program", "b", "b_of"])
+        (a_lo, a_hi), (b_lo, b_hi) = self._part("a"), self._part("b")
+        plain = both.filter("how <> 'MOVE CORR'").select("a_program", "a_root", a_lo.alias("a_lo"), a_hi.alias("a_hi"), "a_pic", "b_program", "b_root", b_lo.alias("b_lo"), b_hi.alias("b_hi"), "b_pic", "how", "line")
+        small = self._kept("items", self.items).filter("plain and not is_group")
+        parts = F.split("path", "/")
+        under = small.select("program_id", "root", "lo", "hi", "pic", "path", F.explode(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))).alias("k"), parts.alias("p"))
+        under = under.filter(F.size("p") > F.col("k")).select("program_id", "root", "lo", "hi", "pic", F.array_join(F.slice("p", 1, F.col("k")), "/").alias("group"), F.array_join(F.slice("p", F.col("k") + 1, F.size("p")), "/").alias("rest"))
+        corr = both.filter("how = 'MOVE CORR'").select("a_program", "a_path", "b_program", "b_path", "how", "line")
+
+        def below(side: str) -> DataFrame:
+            return under.select(F.col("program_id").alias(f"{side}_program"), F.col("group").alias(f"{side}_path"), "rest", *[F.col(c).alias(f"{side}_{c}") for c in ("root", "lo", "hi", "pic")])
 
-        A node is a byte range of a root item of one program. Each hop joins the frontier with the items that overlap it,
-        takes the edges of these, and records written to data sets that other programs read; a range inside one that was
-        seen ends there. The walk ignores the order of statements.
+        pairs = corr.join(below("a"), ["a_program", "a_path"]).join(below("b"), ["b_program", "b_path", "rest"]).select(*plain.columns)
+        return plain.unionByName(pairs)
+
+    def copied_data_sets(self, rounds: int = 20) -> DataFrame:
+        """(dsn, copy): data sets whose records a plain sort or copy step, or a chain of them, puts into another.
+
+        Steps that rebuild records (INREC, OUTREC, OUTFIL BUILD, JOINKEYS) end a chain.
         """
+        step = ["member_id", "job", "step"]
+        rebuilt = self.fact("card_field").filter(F.col("card").isin("INREC", "OUTREC", "OUTFIL", "JOINKEYS")).select(*step)
+        plain = self._as_run("step").filter(F.col("how").isin("SORT", "COPY")).select(*step).distinct().join(rebuilt, step, "left_anti")
+        dds = self._as_run("dd").filter("dsn <> '' and not temp").join(plain, step, "left_semi").filter(~F.col("dd").isin("STEPLIB", "JOBLIB", "SYSIN"))
+        reads, writes = dds.filter(F.col("dd").isin("SORTIN", "SYSUT1")), dds.filter(F.col("dd").isin("SORTOUT", "SYSUT2"))
+        pairs = reads.select(*step, "dsn").join(writes.select(*step, F.col("dsn").alias("copy")), step).select("dsn", "copy").filter("dsn <> copy").distinct()
+        direct = cut(pairs)
+        seen = frontier = direct
+        for _ in range(rounds):
+            longer = frontier.join(direct.select(F.col("dsn").alias("copy"), F.col("copy").alias("next")), "copy").select("dsn", F.col("next").alias("copy")).distinct()
+            frontier = cut(longer.join(seen, ["dsn", "copy"], "left_anti"))
+            if frontier.isEmpty():
+                return seen
+            seen = seen.unionByName(frontier)
+        raise RuntimeError(f"copies chain more than {rounds} steps")
+
+    def file_edges(self) -> DataFrame:
+        """(program_id, root, other, d_root, dsn): records written by one program that another reads, directly or as a copy."""
         programs = self.fact("program").select("member_id", "program_id")
-        items = cut(self.fact("field").filter("extent > 0").join(programs, "member_id").select("program_id", "root", "name", F.col("offset").cast("long").alias("lo"), (F.col("offset") + F.col("extent")).cast("long").alias("hi"), "pic", "is_group"))
-        edges = cut(self._flow_edges(items, up))
         ios = self.fact("io_op").join(programs, "member_id").filter("dd <> ''").select("program_id", "dd", "target").distinct()
-        sets = self.dataset_flow().filter("not temp").select("program_id", "dd", "dsn", "mode").distinct().join(ios, ["program_id", "dd"]).join(self._records(items, programs), ["program_id", "target"])
-        writes, reads = ("input", "output") if up else ("output", "input")
-        out = sets.filter(F.col("mode").isin(writes, "both")).select("program_id", "root", "dsn")
-        into = sets.filter(F.col("mode").isin(reads, "both")).select(F.col("program_id").alias("other"), F.col("root").alias("d_root"), "dsn")
-        files = cut(out.join(into, "dsn").filter("program_id <> other"))
+        sets = self.dataset_flow().filter("not temp").select("program_id", "dd", "dsn", "mode").distinct().join(ios, ["program_id", "dd"]).join(self.record_areas(), ["program_id", "target"])
+        out = sets.filter(F.col("mode").isin("output", "both")).select("program_id", "root", "dsn")
+        copies = self.copied_data_sets().select("dsn", F.col("copy").alias("at"))
+        out = out.withColumn("at", F.col("dsn")).unionByName(out.join(copies, "dsn").select("program_id", "root", "dsn", "at"))
+        into = sets.filter(F.col("mode").isin("input", "both")).select(F.col("program_id").alias("other"), F.col("root").alias("d_root"), F.col("dsn").alias("at"))
+        return out.join(into, "at").filter("program_id <> other").select("program_id", "root", "other", "d_root", F.col("at").alias("dsn")).distinct()
+
+    def flow(self, field: str, program: str, hops: int = 3, up: bool = False) -> DataFrame:
+        """Where the bytes of a field go, or come from: (hop, program_id, root, lo, hi, how, line).
+
+        A node is a byte range of a root item of one program. Each hop joins the frontier with the edges whose range it
+        overlaps, and with the records it is written in; a range inside one that was seen ends there. Names that fit no
+        item, or several, are in :meth:`unresolved_names`. The walk ignores the order of statements.
+        """
+        items = self._kept("items", self.items)
+        edges = self._kept("edges", self.flow_edges)
+        files = self._kept("files", self.file_edges)
+        near, far = ("b", "a") if up else ("a", "b")
+        steps = edges.select(F.col(f"{near}_program").alias("program_id"), F.col(f"{near}_root").alias("root"), F.col(f"{near}_lo").alias("lo"), F.col(f"{near}_hi").alias("hi"), F.col(f"{near}_pic").alias("pic"), F.col(f"{far}_program").alias("d_program"), F.col(f"{far}_root").alias("d_root"), F.col(f"{far}_lo").alias("d_lo"), F.col(f"{far}_hi").alias("d_hi"), F.col(f"{far}_pic").alias("d_pic"), "how", "line")
+        records = files.select(F.col("other").alias("program_id"), F.col("d_root").alias("root"), F.col("program_id").alias("other"), F.col("root").alias("d_root"), "dsn") if up else files
         start = items.filter((F.col("name") == field.upper()) & (F.col("program_id") == program.upper()))
         frontier = cut(start.select(F.lit(0).alias("hop"), "program_id", "root", "lo", "hi", F.lit("start").alias("how"), F.lit(0).alias("line")))
         seen = frontier
         for hop in range(1, hops + 1):
-            near = interval.overlap_join(frontier.select("program_id", "root", "lo", "hi"), items.select("program_id", "root", "lo", "hi", "name", "pic"), ["program_id", "root"], "lo", "hi", 256)
-            near = near.select("program_id", "lo", "hi", F.col("r_name").alias("src"), F.col("r_lo").alias("s_lo"), F.col("r_hi").alias("s_hi"), F.col("r_pic").alias("s_pic"))
-            begin = F.greatest("lo", "s_lo") - F.col("s_lo")
-            size = F.least("hi", "s_hi") - F.greatest("lo", "s_lo")
+            at = interval.overlap_join(frontier.select("program_id", "root", "lo", "hi"), steps, ["program_id", "root"], "lo", "hi", 256)
+            begin = F.greatest("lo", "r_lo") - F.col("r_lo")
+            size = F.least("hi", "r_hi") - F.greatest("lo", "r_lo")
             # left-justified bytes, cut at the other end's last; the whole of it where a move converts the picture
-            numeric = F.col("s_pic").rlike("^S?9") | F.col("d_pic").rlike("^S?9")
-            whole = (F.col("how") != "CALL") & (F.col("s_pic") != F.col("d_pic")) & numeric
-            lo = F.when(whole, F.col("d_lo")).otherwise(F.col("d_lo") + begin)
-            hi = F.when(whole, F.col("d_hi")).otherwise(F.least(F.col("d_hi"), F.col("d_lo") + begin + size))
-            moved = near.join(edges, ["program_id", "src"]).select(F.col("d_program").alias("program_id"), F.col("d_root").alias("root"), lo.alias("lo"), hi.alias("hi"), "how", "line")
-            written = frontier.select("program_id", "root", "lo", "hi").join(files, ["program_id", "root"]).select(F.col("other").alias("program_id"), F.col("d_root").alias("root"), "lo", "hi", F.concat(F.lit("file "), "dsn").alias("how"), F.lit(0).alias("line"))
+            numeric = F.col("r_pic").rlike("^S?9") | F.col("r_d_pic").rlike("^S?9")
+            shared = F.col("r_how").isin("CALL", "COMMAREA", "POINTER")
+            whole = ~shared & (F.col("r_pic") != F.col("r_d_pic")) & numeric
+            lo = F.when(whole, F.col("r_d_lo")).otherwise(F.col("r_d_lo") + begin)
+            hi = F.when(whole, F.col("r_d_hi")).otherwise(F.least(F.col("r_d_hi"), F.col("r_d_lo") + begin + size))
+            moved = at.select(F.col("r_d_program").alias("program_id"), F.col("r_d_root").alias("root"), lo.alias("lo"), hi.alias("hi"), F.col("r_how").alias("how"), F.col("r_line").alias("line"))
+            written = frontier.select("program_id", "root", "lo", "hi").join(records, ["program_id", "root"]).select(F.col("other").alias("program_id"), F.col("d_root").alias("root"), "lo", "hi", F.concat(F.lit("file "), "dsn").alias("how"), F.lit(0).alias("line"))
             new = moved.unionByName(written).filter("lo < hi").distinct()
             inside = seen.select("program_id", "root", F.col("lo").alias("v_lo"), F.col("hi").alias("v_hi"))
             fresh = new.join(inside, (new["program_id"] == inside["program_id"]) & (new["root"] == inside["root"]) & (inside["v_lo"] <= new["lo"]) & (new["hi"] <= inside["v_hi"]), "left_anti")
             frontier = cut(fresh.select(F.lit(hop).alias("hop"), "program_id", "root", "lo", "hi", "how", "line"))
-            if not frontier.limit(1).count():
+            seen = seen.unionByName(frontier)
+            if frontier.isEmpty():
                 break
-            seen = cut(seen.unionByName(frontier))
         return seen
 
     def origins(self, field: str, program: str, hops: int = 3) -> DataFrame:
@@ -569,9 +788,8 @@ class Estate:
         """Programs whose calls go through a PCB that is sensitive to a segment (Q15)."""
         return self.database_calls().filter(F.array_contains("senseg", name.upper())).groupBy("program_id", "dbd").agg(relational.ordered_list("func").alias("functions"), F.min("line").alias("first_line"))
 
-    def _records(self, items: DataFrame, programs: DataFrame) -> DataFrame:
-        """(program_id, target, root): the record areas of each file, taken as the FILE SECTION roots between its FD and the next."""
-        decl = self.fact("file_decl").join(programs.select("member_id", "program_id"), "member_id").select("program_id", F.col("select").alias("target"))
-        flows = self.fact("field").filter("section = 'FILE' and level = 1").join(programs.select("member_id", "program_id"), "member_id").select("program_id", "root", "line")
-        one = decl.groupBy("program_id").agg(F.count(F.lit(1)).alias("files"), F.min("target").alias("target")).filter("files = 1").select("program_id", "target")
-        return one.join(flows, "program_id").select("program_id", "target", "root").distinct()
+    def record_areas(self) -> DataFrame:
+        """(program_id, target, root): the record areas of each file, the 01 items of its own FD."""
+        programs = self.fact("program").select("member_id", "program_id")
+        areas = self.fact("field").filter("section = 'FILE' and level = 1 and fd <> ''")
+        return areas.join(programs, "member_id").select("program_id", F.col("fd").alias("target"), "root").distinct()

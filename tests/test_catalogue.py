@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__
 from quernstone.operators import graph, interval, relational, text
-from quernstone.plans import catalogue
+from quernstone.plans import catalogue, estate_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
