@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.session import cut
@@ -59,3 +59,24 @@ def ancestors(tree: DataFrame, limit: int = 50) -> DataFrame:
             return pairs
         n = now
     raise ValueError("the hierarchy has a cycle")
+
+
+def numbered_tree(tree: DataFrame, width: int, hops: int) -> DataFrame:
+    """(node, number, depth, more): a tree (node, parent, rank) as a numbered outline.
+
+    At most ``width`` children of a node are shown, by rank, and ``more`` says how many of its children are not; nodes
+    deeper than ``hops`` are not shown. A level is one join; what was shown once is not shown again.
+    """
+    w = Window.partitionBy("parent").orderBy("rank", "node")
+    kids = cut(tree.withColumn("place", F.row_number().over(w)).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("parent"))))
+    per = kids.groupBy(F.col("parent").alias("node")).agg(F.greatest(F.max("of") - width, F.lit(0)).alias("more"))
+    level = cut(kids.filter(F.col("parent").isNull() & (F.col("place") <= width)).select("node", F.col("place").cast("string").alias("number"), F.lit(0).alias("depth")))
+    shown = level
+    for depth in range(1, hops + 1):
+        below = level.select(F.col("node").alias("parent"), F.col("number").alias("above")).join(kids.filter(F.col("place") <= width), "parent")
+        fresh = below.select("node", F.concat("above", F.lit("."), F.col("place").cast("string")).alias("number"), F.lit(depth).alias("depth"))
+        level = cut(fresh.join(shown.select("node"), "node", "left_anti"))
+        if level.isEmpty():
+            break
+        shown = shown.unionByName(level)
+    return shown.join(per, "node", "left").select("node", "number", "depth", F.coalesce("more", F.lit(0)).alias("more"))

@@ -57,18 +57,132 @@ def is_copybook(text: str) -> bool:
     return bool(rows) and shaped >= 0.98 * len(rows) and code > 0
 
 
+_RULER = re.compile(r"-{4}\+-\*A-1-B")
+_NUMBERED = re.compile(r"\s{0,4}(\d{4,6})(?:[ \t]{0,2}([A-Z+*]{1,2}))?(?=\s|$)")
+_TABLES = re.compile(r"DATA DIVISION MAP|CROSS.REFERENCE|DEFINED\s+REFERENCES|\* Statistics for COBOL", re.I)
+
+
+def listing_records(listing: str) -> list[tuple[str, str]]:
+    """(flag, source record) of the numbered lines of a compiler listing, up to the tables after the source.
+
+    Records begin at the column of the ruler; without one at that which puts a division header in area A.
+    """
+    rows = listing.splitlines()
+    column = next((m.start() for r in rows if (m := _RULER.search(r))), None)
+    if column is None:
+        header = next(((r.upper().find("DIVISION"), r) for r in rows if _NUMBERED.match(r) and "DIVISION" in r.upper()), None)
+        if header is None:
+            return []
+        column = max(re.search(r"(IDENTIFICATION|ID|PROCEDURE|ENVIRONMENT|DATA)\s+DIVISION", header[1].upper()).start() - 7, 0)
+    out = []
+    for r in rows:
+        m = _NUMBERED.match(r)
+        if m and m.end() <= column + 1:
+            out.append(((m[2] or "").replace("*", ""), r[column : column + 80].rstrip()))
+        elif len(out) >= 5 and _TABLES.search(r):
+            break
+    return out
+
+
+def listed_blocks(listing: str) -> list[tuple[str, str, bool]]:
+    """(copybook, text, trusted): the flagged lines after each COPY of a compiler listing (C1); unknown flags spoil a block."""
+    out: list[tuple[str, list[str], bool]] = []
+    name, statement, inside = "", "", False
+    for flag, record in listing_records(listing):
+        code = record[7:72]
+        if flag in ("C", "+"):
+            if not inside and name:
+                out.append((name, [], True))
+                inside = True
+            if inside:
+                out[-1][1].append(record[:72].rstrip())
+            continue
+        if flag:
+            if inside:
+                out[-1] = (*out[-1][:2], False)
+            continue
+        if not code.strip() or record[6:7] in ("*", "/"):
+            continue
+        statement = f"{statement} {code.strip()}" if statement else code
+        m = re.search(r"\b(?:COPY|INCLUDE)\s+([A-Z0-9@#$-]+)", statement, re.I)
+        name, inside = (m[1].upper(), False) if m else ("", False)
+        closed = "." in code or "END-EXEC" in code.upper()
+        statement = "" if closed or not re.search(r"\b(?:COPY|EXEC\s+SQL)\b", statement, re.I) else statement
+    return [(name, "\n".join(rows), trusted) for name, rows, trusted in out]
+
+
+def copy_sources(listing: str) -> list[tuple[str, str, str]]:
+    """(copybook, DD, data set) of the table in which a listing says where its copybooks came from."""
+    row = re.compile(r"^[01+ -]?\s*([A-Z@#$][A-Z0-9@#$]{0,7})\s+([A-Z@#$][A-Z0-9@#$]{0,7})\s+([A-Z@#$][A-Z0-9@#$]{0,7}(?:\.[A-Z0-9@#$]{1,8})+)(?:\s|$)")
+    return [m.groups() for r in listing.splitlines() if (m := row.match(r))]
+
+
+def listing_is_current(listing: str, original: str | None) -> tuple[bool | None, int | None]:
+    """(current, match in percent): whether a listing's own lines are those of the member (C8); never 100 unless equal."""
+    from quernstone.functions.cobol import logical_lines
+
+    own = "\n".join(record for flag, record in listing_records(listing) if not flag)
+    if original is None or not own:
+        return None, None
+    a, b = ([code.rstrip() for _, code in logical_lines(t)] for t in (original, own))
+    return (True, 100) if a == b else (False, min(99, int(difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() * 100)))
+
+
+def recovered_blocks(original: str, expanded: str) -> list[tuple[str, str, bool, str]]:
+    """(copybook, text, trusted, method): by listing flags, alignment, or names in columns 73-80, the first that gives any (C4)."""
+    ways = (("listing", lambda: listed_blocks(expanded)), ("alignment", lambda: aligned_blocks(original, expanded)), ("marks", lambda: marked_blocks(expanded)))
+    for how, find in ways:
+        found = [b for b in find() if is_copybook(b[1])]
+        if found:
+            return [(*b, how) for b in found]
+    return []
+
+
+def missing_parts(uses: DataFrame, held: DataFrame) -> DataFrame:
+    """(name, state, users): parts that nobody holds, and parts that arrived after their users were parsed.
+
+    uses: (user, name, resolved); held: (name). Links that say resolved though nothing is held any more are stale.
+    """
+    there = held.select("name").distinct().withColumn("held", F.lit(True))
+    both = uses.join(there, "name", "left")
+    state = F.when(F.col("held").isNull() & F.col("resolved"), "stale_link").when(F.col("held").isNull(), "missing").when(~F.col("resolved"), "arrived")
+    return both.withColumn("state", state).filter("state is not null").groupBy("name", "state").agg(ordered_list("user").alias("users"))
+
+
+def same_named(missing: DataFrame, members: DataFrame) -> DataFrame:
+    """(name, note): what else has the name of a missing part: members of other kinds, with their libraries."""
+    others = members.groupBy("name").agg(F.array_sort(F.collect_set(F.concat("kind", F.lit(" in "), "library"))).alias("others"))
+    return missing.select("name").distinct().join(others, "name", "left").select("name", F.coalesce(F.array_join("others", "; "), F.lit("no member of this name")).alias("note"))
+
+
+def refile(members: DataFrame, changes: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members with new kinds, members to parse again): those re-typed and those that use them (M5). changes: (member_id, kind); uses: (member_id, name)."""
+    new = changes.select("member_id", F.col("kind").alias("new_kind"))
+    typed = members.join(new, "member_id", "left").withColumn("kind", F.coalesce("new_kind", "kind")).drop("new_kind")
+    names = members.join(new.select("member_id"), "member_id", "left_semi").select("name").distinct()
+    pending = uses.join(names, "name", "left_semi").select("member_id").union(new.select("member_id")).distinct()
+    return typed, pending
+
+
+def appended_sections(sections: DataFrame, more: DataFrame, key: str, first: int = 1001) -> DataFrame:
+    """Sections of documents with texts read from their pictures after them, numbered from 1001 (M6). more: (key, at, text)."""
+    w = Window.partitionBy(key).orderBy("at", "text")
+    read = more.filter(F.trim("text") != "").select(key, (F.row_number().over(w) + first - 1).cast("long").alias("section"), "text")
+    return sections.select(key, F.col("section").cast("long").alias("section"), "text").unionByName(read)
+
+
 def recover(pairs: DataFrame) -> DataFrame:
-    """(source, copybook, text, trusted) of (source, original, expanded) rows; each pair is one task's small work."""
+    """(source, copybook, text, trusted, method) of (source, original, expanded) rows (C1-C4); each pair is one task's small work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for source, original, expanded in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                found = aligned_blocks(original or "", expanded or "") or marked_blocks(expanded or "")
-                rows += [(source, *f) for f in found if is_copybook(f[1])]
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.bool_()))], ["source", "copybook", "text", "trusted"])
+                rows += [(source, *f) for f in recovered_blocks(original or "", expanded or "")]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string())
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["source", "copybook", "text", "trusted", "method"])
 
-    return pairs.select("source", "original", "expanded").mapInArrow(run, "source string, copybook string, text string, trusted boolean")
+    return pairs.select("source", "original", "expanded").mapInArrow(run, "source string, copybook string, text string, trusted boolean, method string")
 
 
 def choose(blocks: DataFrame) -> DataFrame:

@@ -65,3 +65,52 @@ def with_residue(result: DataFrame, residue: DataFrame, keys: list[str]) -> Data
     """A result with, beside it, the number of facts about its keys that could not be resolved."""
     counts = residue.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_unresolved"))
     return result.join(counts, keys, "left").withColumn("n_unresolved", F.coalesce("n_unresolved", F.lit(0)))
+
+
+def column_aliases(name: str) -> Column:
+    """Column names that a COBOL name may stand for (P4): with underscores, and without the prefix of its section."""
+    under = F.replace(F.upper(name), F.lit("-"), F.lit("_"))
+    return F.array_distinct(F.array(under, F.regexp_replace(under, "^(WS|LK|WK|W|IN|OUT)_", "")))
+
+
+def section_numbers(spec: str) -> Column:
+    """``2,7,9-12`` -> the sorted numbers it names (P9); what is no number or range names none."""
+    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p.rlike(r"^\d{1,6}(\s*-\s*\d{1,6})?$"))
+    ends = F.transform(parts, lambda p: F.transform(F.split(p, "-"), lambda x: F.trim(x).cast("int")))
+    ranges = F.transform(ends, lambda e: F.when(F.element_at(e, -1) >= e[0], F.sequence(e[0], F.element_at(e, -1))).otherwise(F.array().cast("array<int>")))
+    return F.sort_array(F.array_distinct(F.flatten(ranges)))
+
+
+def dd_matches(assigns: DataFrame, dds: DataFrame) -> DataFrame:
+    """(assign, dd): names of files and of DDs that mean each other (P10): equal, or one's part after a ``.`` or ``-`` is the other.
+
+    Both sides are exploded to the suffixes they may be known by, so the test is an equi-join.
+    """
+
+    def suffixes(c: str) -> Column:
+        parts = F.split(F.replace(F.upper(c), F.lit("."), F.lit("-")), "-")
+        return F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "-")))
+
+    a = assigns.select("assign").distinct()
+    d = dds.select("dd").distinct()
+    by_assign = a.select("assign", suffixes("assign").alias("s")).join(d.select("dd", F.replace(F.upper("dd"), F.lit("."), F.lit("-")).alias("s")), "s")
+    by_dd = d.select("dd", suffixes("dd").alias("s")).join(a.select("assign", F.replace(F.upper("assign"), F.lit("."), F.lit("-")).alias("s")), "s")
+    return by_assign.select("assign", "dd").union(by_dd.select("assign", "dd")).distinct()
+
+
+def next_sibling(df: DataFrame, parent: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Each row with the value of the next one under the same parent."""
+    return df.withColumn(name, F.lead(value).over(Window.partitionBy(*parent).orderBy(*order)))
+
+
+def deepest_first_cut(df: DataFrame, keys: list[str], depth: str, size: str, budget: int) -> DataFrame:
+    """Whole levels of each key from the top down, as many as the budget holds (L5): the deepest are cut first."""
+    levels = df.groupBy(*keys, depth).agg(F.sum(size).alias("_level"))
+    running = F.sum("_level").over(Window.partitionBy(*keys).orderBy(depth).rowsBetween(Window.unboundedPreceding, 0))
+    kept = levels.withColumn("_running", running).filter(F.col("_running") <= budget).select(*keys, depth)
+    return df.join(kept, [*keys, depth], "left_semi")
+
+
+def nulls_last(*columns: str) -> list[Column]:
+    """Sort keys with nulls after all values (L1)."""
+    return [F.col(c).asc_nulls_last() for c in columns]

@@ -108,8 +108,13 @@ def html_links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 def html_text(html: str | Column) -> Column:
     """Text of a page: comments, script and style go with their content, tags leave a space, common entities are read."""
     x = F.col(html) if isinstance(html, str) else html
-    for pattern in ("(?s)<!--.*?-->", "(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>", "<[^>]*>"):
-        x = F.regexp_replace(x, pattern, " ")
+    # a block that is never closed would be looked for from each of its openings: from the last closing tag on none is
+    for opening, closing in (("<!--", "-->"), ("<script", "</script>"), ("<style", "</style>")):
+        tail = r"<!--.*?-->" if opening == "<!--" else f"{opening}[^>]*>.*?{closing}"
+        last = F.length(x) - F.locate(closing[::-1], F.reverse(F.lower(x))) + 1
+        end = F.when(F.instr(F.lower(x), closing) > 0, last).otherwise(F.lit(0))
+        x = F.concat(F.regexp_replace(F.substring(x, F.lit(1), end), f"(?is){tail}", " "), F.substring(x, end + 1, F.length(x)))
+    x = F.regexp_replace(x, "<[^>]*>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         x = F.replace(x, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(x, "[ \t\r\n]+", " "))
@@ -140,6 +145,25 @@ def snap(pieces: DataFrame, vocabulary: DataFrame, most: int = 2) -> DataFrame:
     return ranked.filter((F.col("_r") == 1) & (F.col("_next").isNull() | (F.col("_next") > F.col("distance")))).select("piece", "word", "distance")
 
 
+def snap_folded(pieces: DataFrame, vocabulary: DataFrame, least: float = 0.75, margin: float = 0.05) -> DataFrame:
+    """(piece, word, likeness): as :func:`snap`, over names with look-alike characters folded, by likeness ``1 - distance / longer`` (C14).
+
+    A word is taken if its likeness is ``least`` or more and no other is within ``margin`` of it.
+    """
+    from quernstone.operators.recovery import fold_glyphs
+
+    ends = lambda c: F.array(F.concat(F.lit("f"), F.substring(c, 1, 1)), F.concat(F.lit("l"), F.substring(c, -1, 1)))
+    left = pieces.select("piece").distinct().withColumn("a", fold_glyphs("piece"))
+    left = left.select("piece", "a", F.explode(ends("a")).alias("c")).select("piece", "a", "c", F.explode(F.array(*[F.length("a") + d for d in (-1, 0, 1)])).alias("n"))
+    right = vocabulary.select("word").distinct().withColumn("b", fold_glyphs("word"))
+    right = right.select("word", "b", F.explode(ends("b")).alias("c"), F.length("b").alias("n"))
+    like = F.lit(1.0) - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
+    near = left.join(right, ["c", "n"]).select("piece", "word", like.alias("likeness")).distinct().filter(F.col("likeness") >= least)
+    w = Window.partitionBy("piece").orderBy(F.desc("likeness"), "word")
+    ranked = near.withColumns({"place": F.row_number().over(w), "next": F.lead("likeness").over(w)})
+    return ranked.filter((F.col("place") == 1) & (F.col("next").isNull() | (F.col("likeness") - F.col("next") >= margin))).select("piece", "word", "likeness")
+
+
 def nearly_same(a: str | Column, b: str | Column) -> Column:
     """Whether two texts differ by at most max(6, 1 %) characters (C16); the bounded search stops early."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (a, b))

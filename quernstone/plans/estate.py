@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quernstone.operators import graph, interval, relational, text
+from quernstone.operators import graph, interval, recovery, relational, text
 from quernstone.session import cut
 from quernstone.sources.members import apply_manifest, scan
 
@@ -547,6 +547,87 @@ class Estate:
         change = F.when(F.col("old_sha").isNull(), "added").when(F.col("new_sha").isNull(), "removed").when(F.col("old_sha") != F.col("new_sha"), "changed").otherwise("same")
         return both.select("name", "kind", change.alias("change"), "old_id", "new_id")
 
+    def condition_names(self, name: str) -> DataFrame:
+        """(value, hi, conditions): which condition names a value of a field has (Q7); numbers compare as numbers (P5)."""
+        norm = lambda c: F.when(F.col(c).rlike(r"^[+-]?\d{1,38}$"), F.col(c).cast("decimal(38,0)").cast("string")).otherwise(F.col(c))
+        own = self.fact("cond88").filter(F.col("field") == name.upper()).select(norm("lo").alias("value"), norm("hi").alias("hi"), "name")
+        return own.groupBy("value", "hi").agg(relational.ordered_list("name").alias("conditions"))
+
+    def message_texts(self) -> DataFrame:
+        """(member, name, value, next_name, next_value): initial values with that of the next item under the same parent, as a code stands beside its text."""
+        rows = self.fact("field").filter("not is_group and level > 1")
+        beside = relational.next_sibling(relational.next_sibling(rows, ["member_id", "root", "parent"], ["ordinal"], "value", "next_value"), ["member_id", "root", "parent"], ["ordinal"], "name", "next_name")
+        return beside.select("member", "root", "name", "value", "next_name", "next_value")
+
+    def record_ends(self) -> DataFrame:
+        """(member, root, line, next_line): where each 01 begins, and where the next does (W2); null after the last."""
+        roots = self.fact("field").filter("level in (1, 77)").select("member_id", "member", F.col("name").alias("root"), "line", "ordinal")
+        return relational.next_sibling(roots, ["member_id"], ["ordinal"], "line", "next_line").select("member", "root", "line", "next_line")
+
+    def moves_by_line(self) -> DataFrame:
+        """(program_id, line, src, dst): moves put together from lines that read one name and write one (G31), for facts without data flow."""
+        programs = self.fact("program").select("member_id", "program_id")
+        refs = self.fact("field_ref").filter("stmt = 'MOVE'").join(programs, "member_id")
+        reads, writes = F.col("mode") == "read", F.col("mode") == "write"
+        one = refs.groupBy("program_id", "line").agg(F.count_if(reads).alias("r"), F.count_if(writes).alias("w"), F.max(F.when(reads, F.col("name"))).alias("src"), F.max(F.when(writes, F.col("name"))).alias("dst"))
+        return one.filter("r = 1 and w = 1").select("program_id", "line", "src", "dst")
+
+    def changed_targets(self, changed: DataFrame) -> DataFrame:
+        """(program_id, name): items set by statements that touch changed lines (G32). changed: (program_id, line).
+
+        A statement reaches from its first line to the line before the next statement's, so a change in its middle counts.
+        """
+        programs = self.fact("program").select("member_id", "program_id")
+        writes = self.fact("field_ref").filter("mode = 'write'").join(programs, "member_id").select("program_id", "name", "line")
+        starts = None
+        for fact in ("field_ref", "call_edge", "io_op", "sql_stmt", "perform_edge"):
+            own = self.fact(fact).join(programs, "member_id").select("program_id", "line")
+            starts = own if starts is None else starts.union(own)
+        paras = self.fact("paragraph").join(programs, "member_id").select("program_id", F.col("start_line").alias("line"))
+        w = Window.partitionBy("program_id").orderBy("line")
+        spans = starts.union(paras).distinct().withColumn("hi", F.coalesce(F.lead("line").over(w), F.col("line") + 200)).select("program_id", F.col("line").alias("lo"), "hi")
+        touched = interval.point_join(changed.select("program_id", F.col("line").alias("at")), spans, ["program_id"], "at", "lo", "hi", 64).select("program_id", F.col("lo").alias("line")).distinct()
+        return writes.join(touched, ["program_id", "line"]).select("program_id", "name").distinct()
+
+    def missing_parts(self) -> DataFrame:
+        """(name, state, users): copybooks and procedures that nobody holds, that arrived since, or whose link is stale."""
+        programs = self.fact("copy_use").select(F.col("member").alias("user"), F.col("copybook").alias("name"), "resolved")
+        kinds = ("missing_proc", "missing_include", "missing_control_member")
+        jobs = self.fact("unresolved").filter(F.col("kind").isin(*kinds)).select(F.col("member").alias("user"), F.col("detail").alias("name"), F.lit(False).alias("resolved"))
+        return recovery.missing_parts(programs.unionByName(jobs), self.members.filter(F.col("kind").isin(*PARTS)).select("name"))
+
+    def header(self) -> DataFrame:
+        """(n_members, n_programs, n_unresolved): what this version holds (Q36)."""
+        m = self.members.agg(F.count(F.lit(1)).alias("n_members"), F.count_if(F.col("kind") == "program").alias("n_programs"))
+        return m.join(self.fact("unresolved").agg(F.count(F.lit(1)).alias("n_unresolved")))
+
+    def _documents(self) -> DataFrame:
+        return self.members.filter(F.col("kind").isin("document", "html")).select("member_id", F.col("name").alias("member"), "text")
+
+    def document_list(self, pattern: str = "%") -> DataFrame:
+        """(member, sections, chars): documents with their number of sections (Q34)."""
+        docs = self._documents().filter(F.col("member").like(pattern.upper()))
+        parts = text.chunks(docs.select("member_id", "text"), "member_id").groupBy("member_id").agg(F.count(F.lit(1)).alias("sections"), F.sum(F.length("chunk")).alias("chars"))
+        return docs.select("member_id", "member").join(parts, "member_id").select("member", "sections", "chars")
+
+    def document_sections(self, name: str, spec: str = "", grep: str = "", budget: int = 0) -> DataFrame:
+        """(part, chunk): sections of a document by number (``2,7,9-12``) or by a text they hold, within a budget of characters."""
+        docs = self._documents().filter(F.col("member") == name.upper())
+        parts = text.chunks(docs.select("member_id", "text"), "member_id")
+        if spec:
+            wanted = self.spark.createDataFrame([(spec,)], "spec string").select(F.explode(relational.section_numbers("spec")).alias("part"))
+            parts = parts.join(wanted, "part", "left_semi")
+        if grep:
+            parts = parts.filter(F.contains(F.lower("chunk"), F.lit(grep.lower())))
+        if budget:
+            running = F.sum(F.length("chunk")).over(Window.partitionBy("member_id").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+            parts = parts.withColumn("running", running).filter(F.col("running") <= budget)
+        return parts.select("part", "chunk").orderBy("part")
+
+    def pictures(self, sections: DataFrame) -> DataFrame:
+        """(member, pictures, with_text): of (member, section, text) rows, how many sections from 1001 on were read from pictures and hold text (Q35)."""
+        return sections.filter("section >= 1001").groupBy("member").agg(F.count(F.lit(1)).alias("pictures"), F.count_if(F.trim("text") != "").alias("with_text"))
+
     def documents(self, term: str) -> DataFrame:
         """(member, part, excerpt): documents that mention a term (Q33)."""
         docs = self.members.filter(F.col("kind").isin("document", "html")).select("member_id", F.col("name").alias("member"), "text")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.operators import relational
 from quernstone.plans.catalogue import query
 from quernstone.plans.estate import Estate, store
 from quernstone.sources import derived
@@ -68,7 +69,7 @@ _FIELDS = f"""{_S}, f as (select s.p, s.n, s.r, f.* from s, lateral (values (1,
     select 'program' as kind, 'R' || n_regionkey as system, count(*) as n from supplier join nation on s_nationkey = n_nationkey group by 2
     union all select 'copybook', 'R' || r, count(*) from n group by 2 union all select 'copybook', 'TEST', count(*) from n where n_nationkey % 2 = 0
     union all select 'csd', 'R' || r, count(*) from n group by 2
-    union all select kind, 'R' || r_regionkey, 1 from region, (values ('proc'), ('include'), ('ctlcard'), ('dbd'), ('psb'), ('bms')) k(kind)
+    union all select kind, 'R' || r_regionkey, 1 from region, (values ('proc'), ('include'), ('ctlcard'), ('dbd'), ('psb'), ('bms'), ('document')) k(kind)
     union all select 'jcl', 'R' || coalesce(j.r, u.r), coalesce(n_jobs, 0) + 1 from (select r_regionkey as r from region) u
       left join (select n_regionkey as r, count(*) as n_jobs from customer join nation on c_nationkey = n_nationkey group by 1) j on j.r = u.r""")
 def estate_members(spark, sf_dir):
@@ -557,3 +558,192 @@ def estate_interfaces(spark, sf_dir):
 def estate_online_commands(spark, sf_dir):
     """Online commands with what they name and the area they use."""
     return estate(spark, sf_dir).fact("cics_op").select("member", "verb", "kind", "resource", "area", "direction")
+
+
+@query("""select x.* from (values ('O', 'O', 'STATE-ODD'), ('E', 'E', 'STATE-EVEN')) x(value, hi, conditions) where exists (select 1 from supplier)""")
+def estate_condition_names(spark, sf_dir):
+    """Condition names of each value of a field (Q7)."""
+    return estate(spark, sf_dir).condition_names("WS-STATE")
+
+
+@query(f"""with {_S} select p as member, x.* from s, (values ('IN-REC', 'IN-KEY', 'IN-AMT'), ('IN-REC', 'IN-AMT', null), ('OUT-REC', 'NAT-KEY', 'NAT-NAME'), ('OUT-REC', 'NAT-NAME', 'NAT-ALT'), ('OUT-REC', 'NAT-ALT', 'NAT-CNT'), ('OUT-REC', 'NAT-CNT', 'NAT-AMT'), ('OUT-REC', 'NAT-AMT', null),
+    ('WS-AREA', 'WS-KEY', 'WS-AMT'), ('WS-AREA', 'WS-AMT', 'WS-STATE'), ('WS-AREA', 'WS-STATE', null), ('WS-COPY', 'IN-KEY', 'WS-ROW'), ('WS-COPY', 'WS-ROW', null)) x(root, name, next_name)""")
+def estate_next_siblings(spark, sf_dir):
+    """Each item with the next under the same parent."""
+    return estate(spark, sf_dir).message_texts().filter("member like 'P%'").select("member", "root", "name", "next_name")
+
+
+@query(f"""with {_S} select p as member, x.root, x.line::bigint as line, x.next_line::bigint as next_line from s, (values ('IN-REC', 11, 15), ('OUT-REC', 15, 18), ('WS-AREA', 18, 24), ('WS-PGM', 24, 25), ('HV-BAL', 25, 26), ('WS-COPY', 26, 30), ('LK-KEY', 30, 31), ('LK-BAL', 31, 0)) x(root, line, next_line)""")
+def estate_record_ends(spark, sf_dir):
+    """Where each record begins and the next does."""
+    return _long(estate(spark, sf_dir).record_ends().withColumn("next_line", F.coalesce("next_line", F.lit(0))), "line", "next_line")
+
+
+@query(f"""with {_S} select p as program_id, x.* from s, (values ('IN-KEY', 'NAT-KEY'), ('IN-REC', 'WS-COPY'), ('LK-KEY', 'WS-ROW'), ('WS-AMT', 'IN-AMT'), ('IN-KEY', 'WS-KEY')) x(src, dst)""")
+def estate_moves_by_line(spark, sf_dir):
+    """Moves put together from lines with one read and one write."""
+    return estate(spark, sf_dir).moves_by_line().select("program_id", "src", "dst")
+
+
+@query(f"""with {_S} select p as program_id, 'WS-STATE' as name from s""")
+def estate_changed_targets(spark, sf_dir):
+    """Items set by the statements that hold a changed line (G32); changed is the line of the first MOVE of every program."""
+    e = estate(spark, sf_dir)
+    changed = e.fact("program").select("program_id", F.lit(37).alias("line"))
+    return e.changed_targets(changed)
+
+
+@query("""select 'NOPROC' || r_regionkey as name, 'missing' as state, 'UTIL' || r_regionkey as users from region""")
+def estate_missing_parts(spark, sf_dir):
+    """Parts that nobody holds, and who asks for them."""
+    return estate(spark, sf_dir).missing_parts()
+
+
+@query("""
+    select (select count(*) from supplier) + (select count(*) from customer) + (select 2 * count(*) + count(*) filter (n_nationkey % 2 = 0) from nation) + 8 * (select count(*) from region) as n_members,
+      (select count(*) from supplier) as n_programs, (select count(*) from region) as n_unresolved""")
+def estate_header(spark, sf_dir):
+    """What this version of the estate holds (Q36)."""
+    return estate(spark, sf_dir).header()
+
+
+@query("""select 'GUIDE' || r_regionkey as member, 1::bigint as sections, length('Region 0 writes PROD.MASTER0 each night.  See the reports of region 0. ')::bigint as chars from region""")
+def estate_document_list(spark, sf_dir):
+    """Documents with their sections (Q34)."""
+    return _long(estate(spark, sf_dir).document_list("GUIDE%"), "sections", "chars")
+
+
+@query("""select 'GUIDE' || r_regionkey as member, 1::bigint as part from region where r_regionkey = 3""")
+def estate_documents(spark, sf_dir):
+    """Documents that mention a term (Q33)."""
+    return _long(estate(spark, sf_dir).documents("prod.master3").select("member", "part"), "part")
+
+
+@query("""select 1::bigint as part, 'Region 1 writes PROD.MASTER1 each night.' || chr(10) || chr(10) || 'See the reports of region 1.' || chr(10) as chunk from region where r_regionkey = 1""")
+def estate_document_sections(spark, sf_dir):
+    """Sections of a document by number and by what they hold."""
+    return _long(estate(spark, sf_dir).document_sections("GUIDE1", "1,3-4", "reports", 4000), "part")
+
+
+@query(f"""
+    with {_S}, i(name) as (values ('IN-KEY'), ('IN-AMT'), ('NAT-KEY'), ('NAT-NAME'), ('NAT-ALT'), ('NAT-CNT'), ('NAT-AMT'), ('WS-KEY'), ('WS-AMT'), ('WS-STATE'), ('WS-ROW'), ('WS-PGM'), ('HV-BAL'), ('LK-KEY'), ('LK-BAL'), ('WS-COPY'), ('WS-AREA'), ('IN-REC'), ('OUT-REC'))
+    select name, replace(name, '-', '_') as alias from i where exists (select 1 from s) union select name, regexp_replace(replace(name, '-', '_'), '^(WS|LK|WK|W|IN|OUT)_', '') from i where exists (select 1 from s)""")
+def estate_column_aliases(spark, sf_dir):
+    """Column names that item names may stand for."""
+    names = estate(spark, sf_dir).fact("field").filter("member like 'P%'").select("name").distinct()
+    return names.select("name", F.explode(relational.column_aliases("name")).alias("alias"))
+
+
+@query("""
+    with x as (select r_regionkey || ',' || (r_regionkey + 4) || '-' || (r_regionkey + 6) || ', ' || (r_regionkey + 5) || ',x' as spec, r_regionkey as r from region)
+    select spec, n::bigint as n from x, lateral (values (r), (r + 4), (r + 5), (r + 6)) v(n)""")
+def section_numbers(spark, sf_dir):
+    """Numbers that a list of numbers and ranges names."""
+    from quernstone.session import table
+
+    spec = table(spark, sf_dir, "region").select(F.format_string("%d,%d-%d, %d,x", "r_regionkey", F.col("r_regionkey") + 4, F.col("r_regionkey") + 6, F.col("r_regionkey") + 5).alias("spec"))
+    return _long(spec.select("spec", F.explode(relational.section_numbers("spec")).alias("n")), "n")
+
+
+@query("""
+    with a as (select distinct 'UT-S-' || upper(left(c_mktsegment, 6)) as assign from customer), d as (select distinct upper(left(c_mktsegment, 6)) as dd from customer union select distinct 'S.' || upper(left(c_mktsegment, 6)) from customer)
+    select assign, dd from a join d on upper(replace(dd, '.', '-')) = assign or assign like '%-' || upper(replace(dd, '.', '-')) or upper(replace(dd, '.', '-')) like '%-' || assign""")
+def dd_matches(spark, sf_dir):
+    """Names in ASSIGN and DD names that mean each other (P10)."""
+    from quernstone.session import table
+
+    segment = table(spark, sf_dir, "customer").select(F.upper(F.substring("c_mktsegment", 1, 6)).alias("s")).distinct()
+    return relational.dd_matches(segment.select(F.concat(F.lit("UT-S-"), "s").alias("assign")), segment.select(F.col("s").alias("dd")).union(segment.select(F.concat(F.lit("S."), "s"))))
+
+
+@query("""
+    with t as (select s_suppkey as node, s_nationkey as k, s_suppkey % 7 as depth, (1 + s_suppkey % 5) as size from supplier), l as (select k, depth, sum(size) as level from t group by 1, 2),
+    r as (select k, depth, sum(level) over (partition by k order by depth rows between unbounded preceding and current row) as running from l)
+    select t.node, t.k, t.depth::bigint as depth from t join r on t.k = r.k and t.depth = r.depth where running <= 12""")
+def deepest_first_cut(spark, sf_dir):
+    """Whole levels within a budget, the deepest cut first."""
+    from quernstone.session import table
+
+    t = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("k"), (F.col("s_suppkey") % 7).alias("depth"), (F.col("s_suppkey") % 5 + 1).alias("size"))
+    return relational.deepest_first_cut(t, ["k"], "depth", "size", 12).select("node", "k", "depth")
+
+
+@query("""
+    with x as (select c_custkey, c_nationkey, min(o_totalprice) as least from customer left join orders on c_custkey = o_custkey group by 1, 2)
+    select c_custkey, row_number() over (partition by c_nationkey order by least asc nulls last, c_custkey) as place from x""")
+def nulls_last_order(spark, sf_dir):
+    """A sort with nulls after all values, ties by key (L1)."""
+    from pyspark.sql import Window
+
+    from quernstone.session import table
+
+    least = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_totalprice").alias("least"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(least, "c_custkey", "left")
+    w = Window.partitionBy("c_nationkey").orderBy(*relational.nulls_last("least", "c_custkey"))
+    return rows.select("c_custkey", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("""select s_suppkey, (select count(*) from lineitem where l_suppkey = s_suppkey and l_returnflag = 'R') as n, (select max(l_partkey) from lineitem where l_suppkey = s_suppkey) as top from supplier""")
+def scalar_subqueries(spark, sf_dir):
+    """Correlated scalar subqueries, which the optimizer turns into one aggregate and a left join."""
+    from quernstone.session import table
+
+    s, li = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem")
+    return spark.sql(
+        "select s_suppkey, (select count(*) from {li} where l_suppkey = s_suppkey and l_returnflag = 'R') as n, (select max(l_partkey) from {li} where l_suppkey = s_suppkey) as top from {s}", s=s, li=li
+    )
+
+
+@query("""
+    with recursive t as (select s_suppkey as node, case when s_suppkey = 0 then null else (s_suppkey - 1) // 4 end as parent, (s_suppkey * 7) % 10 as rank from supplier),
+    k as (select *, row_number() over (partition by parent order by rank, node) as place, count(*) over (partition by parent) as kids from t),
+    w(node, number, depth) as (select node, place::varchar, 0 from k where parent is null union all select k.node, w.number || '.' || k.place, w.depth + 1 from w join k on k.parent = w.node where k.place <= 3 and w.depth < 4)
+    select w.node, w.number, w.depth::bigint as depth, coalesce((select max(greatest(kids - 3, 0)) from k where k.parent = w.node), 0)::bigint as more from w""")
+def numbered_tree(spark, sf_dir):
+    """A tree as a numbered outline with caps on width and depth, and what they leave out."""
+    from quernstone.operators import graph
+    from quernstone.session import table
+
+    n = F.col("s_suppkey")
+    tree = table(spark, sf_dir, "supplier").select(n.alias("node"), F.when(n > 0, F.floor((n - 1) / 4)).alias("parent"), (n * 7 % 10).alias("rank"))
+    return _long(graph.numbered_tree(tree, 3, 4), "depth", "more")
+
+
+@query("""
+    with b as (select page_id, 1 as section, url as text from pages), m as (select item_id % (select count(*) from pages) as page_id, item_id, text from benchmark where trim(text) <> '')
+    select page_id, section::bigint as section, text from b union all select page_id, 1000 + row_number() over (partition by page_id order by item_id, text), text from m""")
+def appended_sections(spark, sf_dir):
+    """Texts read from pictures as sections from 1001 on, after those of the document (M6)."""
+    from quernstone.operators import recovery
+    from quernstone.session import table
+
+    pages = table(spark, sf_dir, "pages")
+    base = pages.select("page_id", F.lit(1).alias("section"), F.col("url").alias("text"))
+    more = table(spark, sf_dir, "benchmark").select((F.col("item_id") % pages.count()).alias("page_id"), F.col("item_id").alias("at"), "text")
+    return recovery.appended_sections(base, more, "page_id")
+
+
+@query("""
+    with m as (select p_partkey as member_id, p_name as name, case when p_size > 40 then 'copybook' else p_type end as kind from part), g as (select distinct p_name as name from part where p_size > 40)
+    select m.member_id, m.kind, (m.member_id in (select p_partkey from part where p_size > 40) or m.member_id in (select l_partkey from lineitem join part on l_suppkey = p_partkey where p_name in (select name from g))) as pending from m""")
+def refiled(spark, sf_dir):
+    """Members typed anew, and those to parse again because they use one (M5)."""
+    from quernstone.operators import recovery
+    from quernstone.session import table
+
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("member_id"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), "p_size")
+    uses = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("member_id"), F.col("l_suppkey").alias("k")).join(part.select(F.col("member_id").alias("k"), "name"), "k").select("member_id", "name").distinct()
+    typed, pending = recovery.refile(part, part.filter("p_size > 40").select("member_id", F.lit("copybook").alias("kind")), uses)
+    return typed.select("member_id", "kind").join(pending.withColumn("p", F.lit(True)), "member_id", "left").select("member_id", "kind", F.coalesce("p", F.lit(False)).alias("pending"))
+
+
+@query("""
+    with s as (select s_suppkey % 9 as k, s_name from supplier) select 'NAT' || lpad(n_nationkey::varchar, 2, '0') as name, 'copybook in R' || n_regionkey || '/COPYLIB' || case when n_nationkey % 2 = 0 then '; copybook in TEST/COPYLIB' else '' end as note from nation
+    union all select 'NOPROC' || r_regionkey, 'no member of this name' from region""")
+def estate_same_named(spark, sf_dir):
+    """What else has the name of a part."""
+    from quernstone.operators import recovery
+
+    e = estate(spark, sf_dir)
+    names = e.members.filter("name like 'NAT%'").select("name").union(e.missing_parts().select("name"))
+    return recovery.same_named(names, e.members)

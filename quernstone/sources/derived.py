@@ -175,6 +175,7 @@ MAPS{r}    DFHMSD TYPE=MAP
 MAP{r}     DFHMDI SIZE=(24,80)
 WS-KEY   DFHMDF POS=({row},10),LENGTH=10
 """
+GUIDE = "Region {r} writes PROD.MASTER{r} each night.\n\nSee the reports of region {r}.\n"
 TRANSACTION = "DEFINE TRANSACTION(T{nn}) GROUP(G) PROGRAM({p})\n"
 
 
@@ -229,6 +230,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         member(region, in_region("JCLLIB"), F.concat(F.lit("UTIL"), "r"), "jcl", _filled(UTILITIES, r=F.col("r"), key=F.col("r") + 8, most=F.col("r") + 100, limit=F.col("r") + 3)),
         member(region, in_region("DBDLIB"), F.concat(F.lit("DB"), "r"), "dbd", _filled(DATABASE, r=F.col("r"))),
         member(region, in_region("PSBLIB"), F.concat(F.lit("PSB"), "r"), "psb", _filled(VIEW, r=F.col("r"), cmpat=F.when(F.col("r") % 2 == 0, "YES").otherwise("NO"))),
+        member(region, in_region("DOCS"), F.concat(F.lit("GUIDE"), "r"), "txt", _filled(GUIDE, r=F.col("r"))),
         member(region, in_region("MAPS"), F.concat(F.lit("MAP"), "r"), "bms", _filled(MAP, r=F.col("r"), row=F.col("r") + 1)),
     ]
     # data sets of a step: lines of status O are read, the others written; in a fixed order

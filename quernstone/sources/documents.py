@@ -70,6 +70,9 @@ def xlsx(data: bytes) -> list[Section]:
             for row in (x for x in ET.fromstring(z.read(part)).iter() if _name(x.tag) == "row") if part in names else ():
                 cells = []
                 for c in row:
+                    letters = re.match(r"[A-Z]+", _attr(c, "r") or "")
+                    at = sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(letters[0]))) - 1 if letters else len(cells)
+                    cells += [""] * (min(at, 16_384) - len(cells))  # cells that are empty are not written
                     value = next((x.text or "" for x in c if _name(x.tag) == "v"), "")
                     cells.append(shared[int(value)] if _attr(c, "t") == "s" and value else _texts(c) if _attr(c, "t") == "inlineStr" else value)
                 if any(cells):

@@ -150,7 +150,7 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 def libraries(spark: SparkSession, root: str) -> DataFrame:
     """(dataset, folder, expected, present, complete, missing): what the host listed against what arrived, from the markers."""
     told = F.from_json("text", "dataset string, expected int, present int, complete boolean, missing array<string>").alias("t")
-    return _files(spark, root, LIBRARY_MARKER).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.decode("content", F.lit("UTF-8")).alias("text")).select("folder", told).select("t.dataset", "folder", "t.expected", "t.present", F.coalesce("t.complete", F.lit(False)).alias("complete"), "t.missing")
+    return _files(spark, root, LIBRARY_MARKER).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.decode("content", "UTF-8").alias("text")).select("folder", told).select("t.dataset", "folder", "t.expected", "t.present", F.coalesce("t.complete", F.lit(False)).alias("complete"), "t.missing")
 
 
 def apply_manifest(members: DataFrame, manifest: dict, root: str = "") -> DataFrame:

@@ -195,3 +195,122 @@ def test_flow_upwards_and_through_columns(estate):
 def test_database_calls(estate):
     assert rows(estate.database_calls(), "program_id", "func", "position", "psb", "dbd", "procopt") == [("CUSTUPD", "GU", 2, "CUSTPSB", "CUSTDB", "A")]
     assert rows(estate.segment("cust"), "program_id", "functions") == [("CUSTUPD", "GU")]
+
+
+def test_listing_blocks_and_their_age():
+    from quernstone.operators import recovery
+
+    source = ["       IDENTIFICATION DIVISION.", "       DATA DIVISION.", "       01 A.", "       COPY ONE.", "       01 B."]
+    copied = ["          05 X PIC X(3).", "          05 Y PIC 9."]
+    rows = [f"  00000{n}  {' ':<6}{r}" for n, r in enumerate(source[:4], 1)] + [f"  00000{n}C {' ':<6}{r}" for n, r in enumerate(copied, 5)] + [f"  000007  {' ':<6}{source[4]}"]
+    listing = "PP 5655-EC6 IBM Enterprise COBOL for z/OS\n  LineID  PL SL ----+-*A-1-B--+----2\n" + "\n".join(rows) + "\n ONE      SYSLIB   PROD.COPYLIB        2020-01-01\nDATA DIVISION MAP\n  000009C                 01 ZZ.\n"
+    assert recovery.listed_blocks(listing) == [("ONE", "\n".join(copied), True)]
+    assert recovery.copy_sources(listing) == [("ONE", "SYSLIB", "PROD.COPYLIB")]
+    assert recovery.listing_is_current(listing, "\n".join(source)) == (True, 100)
+    current, match = recovery.listing_is_current(listing, "\n".join([*source, "       01 C."]))
+    assert current is False and 50 < match < 100
+    assert recovery.listing_is_current(listing, None) == (None, None)
+    assert recovery.recovered_blocks("\n".join(source), listing) == [("ONE", "\n".join(copied), True, "listing")]
+
+
+def test_overrides_includes_and_guards():
+    text = """\
+//J        JOB
+//         SET WHAT=ONE
+//         INCLUDE MEMBER=&WHAT
+//         IF (A.RC = 0) THEN
+//B        EXEC P,COND=(4,LT)
+//IN1      DD DSN=NEW.FIRST
+//S2.OUT   DD DSN=NEW.OUT,DISP=MOD
+//         DD DSN=MORE
+//         ELSE
+//C        EXEC PGM=X
+//         ENDIF
+//D        EXEC PGM=Y
+//         INCLUDE MEMBER=GONE
+"""
+    proc = "//P PROC\n//S1 EXEC PGM=A\n//IN1 DD DSN=OLD.A,DISP=SHR\n//    DD DSN=OLD.B,DISP=SHR\n//S2 EXEC PGM=B\n//IN1 DD DSN=KEEP\n//OUT DD DSN=OLD.OUT,UNIT=X\n"
+    facts = jcl.parse_jcl(text, {"P": proc, "ONE": "//A EXEC PGM=FIRST\n"})
+    assert [(s["step"], s["effective"], s["guard"]) for s in facts["step"]] == [("A", "FIRST", ""), ("B.S1", "A", "(A.RC = 0) AND COND=(4,LT)"), ("B.S2", "B", "(A.RC = 0) AND COND=(4,LT)"), ("C", "X", "NOT ((A.RC = 0))"), ("D", "Y", "")]
+    assert [(d["step"], d["dd"], d["concat"], d["dsn"], d["disp"]) for d in facts["dd"]] == [("B.S1", "IN1", 0, "NEW.FIRST", "SHR"), ("B.S1", "IN1", 1, "OLD.B", "SHR"), ("B.S2", "IN1", 0, "KEEP", ""), ("B.S2", "OUT", 0, "NEW.OUT", "MOD"), ("B.S2", "OUT", 1, "MORE", "")]
+    assert [(u["kind"], u["detail"]) for u in facts["unresolved"]] == [("missing_include", "GONE")]
+
+
+def test_credentials_and_variables():
+    text = "//J JOB ,USER=ME,PASSWORD=SECRET\n//S EXEC PGM=FTP\n//INPUT DD *\nhost.example.org\nme secret\nGET A\nUSER you\n//T EXEC PGM=X\n//SYSIN DD *\nUSER TABLE\n"
+    out = jcl.redact_credentials(text)
+    assert "SECRET" not in out and "secret" not in out and "host.example.org" in out and "GET A" in out and "USER TABLE" in out and "you" not in out
+    assert jcl.variables("A.D%%ODATE..&LYYMMDD..X") == "A.D<VAR>.<VAR>.X" and jcl.variables("&&TEMP") == "&&TEMP"
+
+
+def test_margin_qualifiers_and_statements():
+    wide = [f"      {'MOVE A TO B.':<66}{'ABCD'}{n:04}" for n in range(30)]
+    wide = [r[:72] + "  " + r[72:] for r in wide]
+    assert cobol.code_end(wide) == 72 and cobol.code_end(["x" * 60] * 5) == 72
+    tagged = [f"{'       MOVE A TO B.':<66}TAGX{n:04}" for n in range(10)]
+    assert cobol.code_end(tagged) == 66
+    body = """\
+       IDENTIFICATION DIVISION.
+       PROGRAM-ID. X.
+       DATA DIVISION.
+       WORKING-STORAGE SECTION.
+       01 A.
+          05 K PIC X(3) SYNC.
+       01 Q PIC X(8) VALUE 'QUE1'.
+       66 R RENAMES A.
+       PROCEDURE DIVISION.
+       P1.
+           UNSTRING K OF A DELIMITED BY ',' INTO Q K IN B.
+           SET P TO ADDRESS OF A.
+           SET ADDRESS OF B TO P.
+           EXEC SQL DECLARE C1 CURSOR FOR SELECT C.ID, NAME
+             FROM APP.CUST C END-EXEC.
+           EXEC SQL FETCH C1 INTO :K, :Q END-EXEC.
+           EXEC CICS WRITEQ TS QUEUE(Q) FROM(A) END-EXEC.
+           EXEC CICS START TRANSID('T001') FROM(B) END-EXEC.
+           EXEC DLI GU USING PCB(1) SEGMENT(CUST) INTO(A) END-EXEC.
+"""
+    f = cobol.parse_program(body)
+    assert {(r["verb"], r["src"], r["src_of"], r["dst"], r["dst_of"]) for r in f["data_flow"]} == {("UNSTRING", "K", "A", "Q", ""), ("UNSTRING", "K", "A", "K", "B"), ("ADDRESS OF", "A", "", "P", ""), ("ADDRESS TO", "P", "", "B", "")}
+    assert [(r["tbl"], r["col"], r["host_var"]) for r in f["sql_col_ref"]] == [("APP.CUST", "ID", "K"), ("APP.CUST", "NAME", "Q")]
+    assert [(r["kind"], r["resource"], r["area"]) for r in f["cics_op"]] == [("ts_queue", "QUE1", "A"), ("transaction", "T001", "B")]
+    assert [(r["func"], r["area"], r["ssas"]) for r in f["dli_call"]] == [("GU", "A", ["CUST"])]
+    assert len([u for u in f["unresolved"] if u["kind"] == "layout"]) == 2
+
+
+def test_formats_and_report_cards():
+    mfs = "MYMSG    MSG   TYPE=INPUT\n         DO    2\n         MFLD  KEY,LTH=4\n         ENDDO\nMYFMT    FMT\nKEY      DFLD  POS=(3,10),LTH=4\n"
+    f = screens.parse_mfs(mfs)
+    assert [(x["map"], x["name"], x["col"], x["length"]) for x in f["screen_field"]] == [("MYMSG", "KEY", 0, 4), ("MYMSG", "KEY#2", 4, 4), ("MYFMT", "KEY", 10, 4)]
+    assert jcl.db2_utility("SELECT A FROM APP.T1 WHERE X IN (SELECT Y FROM APP.T2); DELETE FROM APP.T3", True) == [("DELETE", "APP.T3", ""), ("SELECT", "APP.T1", ""), ("SELECT", "APP.T2", "")]
+    assert jcl.sort_roles("  OUTFIL FNAMES=(A,B)\n  JOINKEYS FILE=F1,FIELDS=(1,2,A)") == {"A": "output", "B": "output", "F1": "input"}
+
+
+def test_manifest_markers_and_scheduler(spark, tmp_path):
+    root = tmp_path / "src"
+    write(root)
+    (root / "OUT").mkdir()
+    (root / "OUT" / members.OUTPUT_MARKER).write_text("x")
+    (root / "OUT" / "COPY.cbl").write_text("       IDENTIFICATION DIVISION.\n")
+    (root / "SALES" / members.LIBRARY_MARKER).write_text('{"dataset": "PROD.SALES", "expected": 5, "present": 4, "complete": false, "missing": ["X"]}')
+    found = members.scan(spark, str(root))
+    assert found.filter("path like '%OUT/COPY%'").count() == 0 and found.count() == len(MEMBERS)
+    assert rows(members.libraries(spark, str(root)), "dataset", "expected", "present", "complete") == [("PROD.SALES", 5, 4, False)]
+    told = members.apply_manifest(found, {"systems": {"NEW": ["SALES/copy"]}, "system_of": {"JCL": "JOBS"}, "authoritative": ["copy"], "kinds": {"docs": "sql"}})
+    got = {(r.name, r.kind): (r.system, r.authoritative) for r in told.filter("system <> 'TEST'").collect()}
+    assert got["ORDREC", "copybook"] == ("NEW", True) and got["NIGHT", "jcl"] == ("JOBS", False) and ("GUIDE", "sql") in got
+    (tmp_path / "s.csv").write_text("kind,depends_on,Job_Name\ntrigger,a,b\n,,c\n")
+    s = members.scheduler(spark, str(tmp_path / "s.csv"))
+    assert rows(s["dependencies"], "job_name", "depends_on", "kind") == [("B", "A", "trigger")] and rows(s["jobs"], "job_name") == [("C",)]
+    (tmp_path / "t.csv").write_text("x,y\n1,2\n")
+    assert members.scheduler(spark, str(tmp_path / "t.csv"))["unresolved"].count() == 1
+    e = members.external_interfaces(spark, {"external_interfaces": [{"kind": "ndm", "peer": "P", "direction": "out", "dataset": "a.b"}, {"kind": "x"}]})
+    assert rows(e, "kind", "target_kind", "target") == [("ndm", "dataset", "A.B")]
+
+
+def test_snap_of_folded_names(spark):
+    from quernstone.operators import text
+
+    pieces = spark.createDataFrame([("0RD-KEY",), ("ORD-KFY",), ("ZZZZ",), ("ABC1",)], "piece string")
+    words = spark.createDataFrame([("ORD-KEY",), ("ABCD",), ("ABCE",)], "word string")
+    assert rows(text.snap_folded(pieces, words), "piece", "word") == [("0RD-KEY", "ORD-KEY"), ("ORD-KFY", "ORD-KEY")]
