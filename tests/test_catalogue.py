@@ -24,7 +24,7 @@ def db():
 
 def plain(df):
     def one(x):
-        if x is None or x is pd.NaT or isinstance(x, float) and math.isnan(x):
+        if x is None or x is pd.NaT or x is pd.NA or isinstance(x, float) and math.isnan(x):
             return "null"
         return f"{float(x):.6g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
@@ -97,3 +97,22 @@ def test_budget_is_the_same_in_parts(spark):
                 break
             want.add((k, i))
     assert got == want
+
+
+def test_stream_without_repeats(spark, tmp_path):
+    from quernstone.streaming import deduplicated
+
+    rows = [(k % 7, f"2024-01-01 00:0{k % 6}:00") for k in range(60)]
+    spark.createDataFrame(rows, "k int, at string").selectExpr("k", "cast(at as timestamp) as at").repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k int, at timestamp").parquet(str(tmp_path / "in"))
+    run = deduplicated(stream, ["k"], "at").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(7))
+
+
+def test_fetch_list(spark):
+    from quernstone.operators import recovery
+
+    needed = spark.createDataFrame([("L1", "A", "P"), ("L1", "B", "P"), ("L1", "B", "Q"), ("L2", "C", "Q")], "dataset string, copybook string, program string")
+    held = spark.createDataFrame([("L2", "C"), ("L1", "A")], "dataset string, copybook string")
+    assert [tuple(r) for r in recovery.fetch_list(needed, held).collect()] == [("L1", "B", "P,Q", 1)]
