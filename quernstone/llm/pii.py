@@ -279,6 +279,35 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
+def likelihood(x: np.ndarray, gold: np.ndarray, there: np.ndarray, w: dict[str, np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
+    """Log of the labels' conditional probability, summed over sentences, and its gradient, by the forward-backward recursions.
+
+    x: features of all places, sentence by sentence; gold and there: (sentences, places), the labels and which places exist.
+    """
+    (n, width), size = gold.shape, w["x"].shape[1]
+    rows, lengths, at = np.arange(n), there.sum(axis=1), np.nonzero(there)
+    e = (x @ w["x"]).reshape(n, width, size).astype(np.float64)
+    alpha, beta = np.zeros((n, width, size)), np.zeros((n, width, size))
+    alpha[:, 0] = e[:, 0] + w["first"]
+    for t in range(1, width):
+        alpha[:, t] = _log_sum(alpha[:, t - 1, :, None] + w["trans"], 1) + e[:, t]
+    for t in range(width - 2, -1, -1):
+        step_back = _log_sum(w["trans"][None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
+        beta[:, t] = np.where(there[:, t + 1, None], step_back, 0)
+    z = _log_sum(alpha[rows, lengths - 1], 1)
+    value = float((np.take_along_axis(e, gold[:, :, None], 2)[:, :, 0] * there).sum() + w["first"][gold[:, 0]].sum() - z.sum())
+    diff = -np.exp(np.minimum(alpha + beta - z[:, None, None], 0)) * there[:, :, None]
+    diff[at[0], at[1], gold[there]] += 1
+    grad = {"x": x.T @ diff.reshape(n * width, size).astype(x.dtype), "first": diff[:, 0].sum(axis=0), "trans": np.zeros((size, size))}
+    for t in range(1, width):
+        live = np.flatnonzero(there[:, t])
+        pair = alpha[live, t - 1, :, None] + w["trans"] + (e[live, t] + beta[live, t])[:, None, :] - z[live, None, None]
+        grad["trans"] -= np.exp(np.minimum(pair, 0)).sum(axis=0)
+        np.add.at(grad["trans"], (gold[live, t - 1], gold[live, t]), 1)
+        value += float(w["trans"][gold[live, t - 1], gold[live, t]].sum())
+    return value, grad
+
+
 @functools.lru_cache(maxsize=1)
 def train(steps: int = 70, rate: float = 0.15, decay: float = 1e-4) -> dict[str, np.ndarray]:
     """CRF weights: emission tables own/before/after, transitions and first-token scores; float32, about 0.4 MB."""
@@ -291,7 +320,6 @@ def train(steps: int = 70, rate: float = 0.15, decay: float = 1e-4) -> dict[str,
         own = Tokens([" ".join(t for t, _ in sentence)])
         features[k, : len(sentence)], there[k, : len(sentence)] = own.features, True
         gold[k, : len(sentence)] = [labels[x] for _, x in sentence]
-    lengths = there.sum(axis=1)
     w = {"own": np.zeros((_TOTAL, size)), "before": np.zeros((_TOTAL, size)), "after": np.zeros((_TOTAL, size)), "trans": np.zeros((size, size)), "first": np.zeros(size)}
     for k, a in enumerate(LABELS):  # I-x only after B-x or I-x
         if a.startswith("I-"):
@@ -299,7 +327,6 @@ def train(steps: int = 70, rate: float = 0.15, decay: float = 1e-4) -> dict[str,
             for j, b in enumerate(LABELS):
                 if b[2:] != a[2:]:
                     w["trans"][j, k] = -20
-    rows = np.arange(n)
     used, spot = np.unique(features[there], return_inverse=True)  # few of the possible values occur
     hot = np.zeros((n, width, len(used)), np.float32)
     at = np.nonzero(there)
@@ -313,23 +340,7 @@ def train(steps: int = 70, rate: float = 0.15, decay: float = 1e-4) -> dict[str,
     small = {"x": np.zeros((x.shape[1], size), np.float32), "trans": w["trans"], "first": w["first"]}
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in small.items()}
     for step in range(1, steps + 1):
-        e = (x @ small["x"]).reshape(n, width, size).astype(np.float64)
-        alpha, beta = np.zeros((n, width, size)), np.zeros((n, width, size))
-        alpha[:, 0] = e[:, 0] + small["first"]
-        for t in range(1, width):
-            alpha[:, t] = _log_sum(alpha[:, t - 1, :, None] + small["trans"], 1) + e[:, t]
-        for t in range(width - 2, -1, -1):
-            step_back = _log_sum(small["trans"][None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where(there[:, t + 1, None], step_back, 0)
-        z = _log_sum(alpha[rows, lengths - 1], 1)
-        diff = -np.exp(np.minimum(alpha + beta - z[:, None, None], 0)) * there[:, :, None]
-        diff[at[0], at[1], gold[there]] += 1
-        grad = {"x": x.T @ diff.reshape(n * width, size).astype(np.float32), "first": diff[:, 0].sum(axis=0), "trans": np.zeros((size, size))}
-        for t in range(1, width):
-            live = np.flatnonzero(there[:, t])
-            pair = alpha[live, t - 1, :, None] + small["trans"] + (e[live, t] + beta[live, t])[:, None, :] - z[live, None, None]
-            grad["trans"] -= np.exp(np.minimum(pair, 0)).sum(axis=0)
-            np.add.at(grad["trans"], (gold[live, t - 1], gold[live, t]), 1)
+        _, grad = likelihood(x, gold, there, small)
         for k, v in small.items():
             g = grad[k] / n - decay * v
             m, u = moment[k]
@@ -411,8 +422,9 @@ def _find(weights: dict[str, np.ndarray]):
                         pa.array([hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found], pa.string()),
                         pa.array([_joined(every) for _, every in found], pa.string()),
                         pa.array([len(every) - len(base) for base, every in found], pa.int64()),
+                        pa.array([len(every) for _, every in found], pa.int64()),
                     ],
-                    ["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans", "n_added"],
+                    ["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans", "n_added", "n_spans"],
                 )
                 at = stop
 
@@ -420,9 +432,9 @@ def _find(weights: dict[str, np.ndarray]):
 
 
 def find_pii(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
-    """doc_id, base counts, digest of the base spans, and all spans as kind:start:end (code points)."""
+    """doc_id, base counts, digest of the base spans, all spans as kind:start:end (code points), how many the CRF added, and how many there are."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
+    schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint, n_spans bigint"
     return narrow.mapInArrow(_find(weights or train()), schema)
 
 

@@ -105,3 +105,49 @@ def test_operator_over_the_table(spark, weights):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, _, _ in base) for k in pii.BASE]
         assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(","))or not base
+
+
+def test_likelihood_and_gradient_against_plain_versions():
+    """All label paths added up, and slopes by small steps."""
+    rng = np.random.default_rng(5)
+    n, width, size, features = 4, 5, 3, 6
+    there = np.arange(width)[None] < np.array([5, 3, 1, 4])[:, None]
+    x, gold = rng.normal(size=(n * width, features)) * there.reshape(-1, 1), rng.integers(0, size, (n, width))
+    w = {"x": rng.normal(size=(features, size)), "trans": rng.normal(size=(size, size)), "first": rng.normal(size=size)}
+
+    def plain_value(w):
+        total = 0.0
+        for k in range(n):
+            e = (x @ w["x"]).reshape(n, width, size)[k, : there[k].sum()]
+            score = lambda p, e=e: w["first"][p[0]] + sum(e[t, y] for t, y in enumerate(p)) + sum(w["trans"][a, b] for a, b in zip(p, p[1:]))
+            total += score(gold[k, : len(e)]) - np.log(sum(np.exp(score(p)) for p in itertools.product(range(size), repeat=len(e))))
+        return total
+
+    value, grad = pii.likelihood(x, gold, there, w)
+    assert abs(value - plain_value(w)) < 1e-8
+    for name, own in w.items():
+        for at in np.ndindex(own.shape):
+            up, down = ({k: v.copy() for k, v in w.items()} for _ in range(2))
+            up[name][at] += 1e-5
+            down[name][at] -= 1e-5
+            assert abs((plain_value(up) - plain_value(down)) / 2e-5 - grad[name][at]) < 1e-5
+
+
+SECRET = re.compile(r"(?:token|secret|password|api_key)\s*=\s*\"?([0-9a-f]{16,})")
+
+
+def test_secrets_of_documents_that_the_table_did_not_write(spark, weights):
+    """Assignments of long hexadecimal values in the given documents, told by a plain pattern."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect() if r.text]
+    found = missed = wrong = clean = 0
+    for text, (base, every) in zip(texts, (r for at in range(0, len(texts), 200) for r in pii.all_spans(texts[at : at + 200], weights))):
+        added = [s for s in every if s not in base]
+        planted = [m.span(1) for m in SECRET.finditer(text)]
+        for a, b in planted:
+            hit = any(x <= a and b <= y for _, x, y in every) or any(x < b and a < y for k, x, y in added if k == "secret")
+            found, missed = found + hit, missed + (not hit)
+        if not planted and not base and not re.search(r"[0-9]{4}|@", text):
+            clean += 1
+            wrong += bool(added)
+    assert found + missed > 100 and found >= 0.95 * (found + missed), (found, missed)
+    assert wrong <= 0.02 * clean, (wrong, clean)
