@@ -36,7 +36,8 @@ from quernstone.llm import worker
 
 REMEMBER, SEGMENT = 280_000, 40
 META = "▁"
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Where the model file lies unless the session names another in ``MODEL_CONF``.
+MODEL, MODEL_CONF = "/opt/tokenizers/piece_bpe_32k.model", "spark.quernstone.pieceModel"
 
 
 @dataclass
@@ -293,6 +294,10 @@ def encoder(model: PieceModel) -> Encoder:
     return worker.keep(f"pieces {model.key}", lambda: Encoder(model))
 
 
+def session_model(df: DataFrame) -> PieceModel:
+    return load_model(df.sparkSession.conf.get(MODEL_CONF, MODEL))
+
+
 def _encode(model: PieceModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model)
@@ -315,7 +320,7 @@ def encode_pieces(docs: DataFrame, model: PieceModel | None = None) -> DataFrame
     """All columns and rows, with ``ids`` array<int>, ``n_ids`` and ``round_trip`` (decoding gave back the text)."""
     docs = docs.drop("ids", "n_ids", "round_trip").withColumn("text", F.col("text").cast("string"))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(_encode(model or load_model()), f"{schema}, ids array<int>, n_ids bigint, round_trip boolean")
+    return docs.mapInArrow(_encode(model or session_model(docs)), f"{schema}, ids array<int>, n_ids bigint, round_trip boolean")
 
 
 def _decode(model: PieceModel):
@@ -332,4 +337,4 @@ def decode_pieces(encoded: DataFrame, model: PieceModel | None = None) -> DataFr
     """All columns and rows, with ``text`` decoded from ``ids`` (a column of that name is replaced)."""
     rest = encoded.drop("text")
     schema = ", ".join(f"`{c}` {t}" for c, t in rest.dtypes)
-    return rest.mapInArrow(_decode(model or load_model()), f"{schema}, text string")
+    return rest.mapInArrow(_decode(model or session_model(encoded)), f"{schema}, text string")
