@@ -76,6 +76,11 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, with a Parquet table in the shared folder between them."""
     at = f"{shared_root(spark)}/pipeline-{uuid.uuid4().hex}"
@@ -85,4 +90,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{at}/{k}")
             docs = spark.read.parquet(f"{at}/{k}")
+            if k:  # whole and written: the table it was made from is needed no more
+                _remove(spark, f"{at}/{k - 1}")
     return docs
