@@ -349,6 +349,8 @@ def _data_sets(facts, job: str, step: str, named: dict[str, list], how: str, lin
                 told[dsn] = "input"
             elif op == "REPRO OUT FILE":
                 told[dsn] = "output"
+        for source, from_dd, target, to_dd in repro_copies(text):
+            facts["dataset_copy"].append({"job": job, "step": step, "source": source, "from_dd": from_dd, "target": target, "to_dd": to_dd, "line": line})
         for row in idcams_attributes(text):
             facts["dataset_attribute"].append({"job": job, "step": step, **row, "line": line})
     elif how in ("DB2UTIL", "DB2SQL"):
@@ -456,6 +458,16 @@ def idcams(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def repro_copies(text: str) -> list[tuple[str, bool, str, bool]]:
+    """(source, whether it is a DD, target, whether it is a DD) of each REPRO."""
+    out = []
+    for block in re.split(r"(?i)\bREPRO\b", _joined(text))[1:]:
+        ends = [next(((m[1].upper(), kind == "FILE") for kind in ("DATASET", "FILE") if (m := re.search(rf"\b{side}{kind}\s*{_AMS_NAME}", block, re.I))), None) for side in ("IN", "OUT")]
+        if all(ends):
+            out.append((*ends[0], *ends[1]))
+    return out
+
+
 def idcams_attributes(text: str) -> list[dict]:
     """Type, record sizes, key and generation limit of what DEFINE cards make."""
     out = []

@@ -47,6 +47,7 @@ FACTS = {
     "job_library": "job string, position int, library string, line int",
     "card_member": "job string, step string, dd string, member_name string, line int",
     "idcams_op": "job string, step string, op string, dsn string, line int",
+    "dataset_copy": "job string, step string, source string, from_dd boolean, target string, to_dd boolean, line int",
     "dataset_attribute": "job string, step string, dsn string, kind string, average int, largest int, key_length int, key_offset int, generations int, line int",
     "db2_utility": "job string, step string, op string, tbl string, dd string, line int",
     "report_field": "job string, step string, file string, name string, pos int, length int, kind string, line int",
@@ -773,7 +774,7 @@ class Estate:
         return plain.unionByName(pairs)
 
     def copied_data_sets(self, rounds: int = 20) -> DataFrame:
-        """(dsn, copy): data sets whose records a plain sort or copy step, or a chain of them, puts into another.
+        """(dsn, copy): data sets whose records a plain sort, copy or REPRO, or a chain of them, puts into another.
 
         Steps that rebuild records (INREC, OUTREC, OUTFIL BUILD, JOINKEYS) end a chain.
         """
@@ -782,8 +783,14 @@ class Estate:
         plain = self._as_run("step").filter(F.col("how").isin("SORT", "COPY")).select(*step).distinct().join(rebuilt, step, "left_anti")
         dds = self._as_run("dd").filter("dsn <> '' and not temp").join(plain, step, "left_semi").filter(~F.col("dd").isin("STEPLIB", "JOBLIB", "SYSIN"))
         reads, writes = dds.filter(F.col("dd").isin("SORTIN", "SYSUT1")), dds.filter(F.col("dd").isin("SORTOUT", "SYSUT2"))
-        pairs = reads.select(*step, "dsn").join(writes.select(*step, F.col("dsn").alias("copy")), step).select("dsn", "copy").filter("dsn <> copy").distinct()
-        direct = cut(pairs)
+        pairs = reads.select(*step, "dsn").join(writes.select(*step, F.col("dsn").alias("copy")), step).select("dsn", "copy")
+        of_dd = self._as_run("dd").filter("dsn <> '' and not temp").select(*step, "dd", "dsn")
+        repro = self.fact("dataset_copy").filter("job <> ''")
+        for name, flag in (("source", "from_dd"), ("target", "to_dd")):
+            own = of_dd.select(*step, F.col("dd").alias(name), F.lit(True).alias(flag), F.col("dsn").alias(f"{name}_dsn"))
+            repro = repro.join(own, [*step, name, flag], "left").withColumn(name, F.when(F.col(flag), F.col(f"{name}_dsn")).otherwise(F.col(name))).drop(f"{name}_dsn")
+        pairs = pairs.unionByName(repro.filter("source is not null and target is not null").select(F.col("source").alias("dsn"), F.col("target").alias("copy")))
+        direct = cut(pairs.filter("dsn <> copy").distinct())
         seen = frontier = direct
         for _ in range(rounds):
             longer = frontier.join(direct.select(F.col("dsn").alias("copy"), F.col("copy").alias("next")), "copy").select("dsn", F.col("next").alias("copy")).distinct()

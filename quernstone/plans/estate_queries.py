@@ -254,7 +254,7 @@ def estate_data_set_attributes(spark, sf_dir):
 
 
 @query("""
-    select 'UTIL' || r_regionkey as job, x.* from region, lateral (values ('idcams', 'DELETE', 'PROD.KSDS' || r_regionkey), ('idcams', 'DEFINE CLUSTER', 'PROD.KSDS' || r_regionkey), ('idcams', 'DEFINE GDG', 'PROD.GDG' || r_regionkey), ('db2', 'LOAD', 'APP.TAB' || r_regionkey),
+    select 'UTIL' || r_regionkey as job, x.* from region, lateral (values ('idcams', 'DELETE', 'PROD.KSDS' || r_regionkey), ('idcams', 'DEFINE CLUSTER', 'PROD.KSDS' || r_regionkey), ('idcams', 'DEFINE GDG', 'PROD.GDG' || r_regionkey), ('idcams', 'REPRO IN', 'PROD.COPIED' || r_regionkey), ('idcams', 'REPRO OUT', 'PROD.REPRO' || r_regionkey), ('idcams', 'REPRO IN', 'PROD.REPRO' || r_regionkey), ('idcams', 'REPRO OUT', 'PROD.LAST' || r_regionkey), ('db2', 'LOAD', 'APP.TAB' || r_regionkey),
       ('report', 'EZTIN', 'REC-KEY'), ('report', 'EZTIN', 'REC-AMT'), ('report', 'EZTIN', ''), ('parameter', 'RUN-MODE', 'R' || r_regionkey), ('cards', 'SYSIN', 'SRT' || r_regionkey), ('library', '0', 'LIB.A' || r_regionkey), ('library', '1', 'LIB.B')) x(what, op, target)""")
 def estate_utility_cards(spark, sf_dir):
     """Cards of utilities and report programs, control members, library order."""
@@ -275,7 +275,7 @@ def estate_credentials(spark, sf_dir):
 
 
 @query("""
-    with recursive e as (select r_regionkey as r, x.* from region, (values ('MASTER', 'SORTED'), ('SORTED', 'COPIED')) x(a, b)), w as (select r, a, b from e union all select w.r, w.a, e.b from w join e on e.a = w.b and e.r = w.r)
+    with recursive e as (select r_regionkey as r, x.* from region, (values ('MASTER', 'SORTED'), ('SORTED', 'COPIED'), ('COPIED', 'REPRO'), ('REPRO', 'LAST')) x(a, b)), w as (select r, a, b from e union all select w.r, w.a, e.b from w join e on e.a = w.b and e.r = w.r)
     select 'PROD.' || a || r as dsn, 'PROD.' || b || r as copy from w""")
 def estate_copied_data_sets(spark, sf_dir):
     """Chains of plain sort and copy steps; a step that rebuilds records ends one."""
@@ -747,3 +747,19 @@ def estate_same_named(spark, sf_dir):
     e = estate(spark, sf_dir)
     names = e.members.filter("name like 'NAT%'").select("name").union(e.missing_parts().select("name"))
     return recovery.same_named(names, e.members)
+
+
+@query(f"""with {_S} select p as program_id, 'WS-STATE' as dst, case when i % 10 = 0 then 'X' when i % 2 = 1 then 'O' else 'E' end as literal, 0::bigint as hop from s where i = 0""")
+def estate_origins(spark, sf_dir):
+    """Literals that reach a field."""
+    return _long(estate(spark, sf_dir).origins("WS-STATE", "P0000000", 1).select("program_id", "dst", "literal", "hop"), "hop")
+
+
+@query(f"""
+    with {_S}, {_D}, w as (select distinct w.p from d w join d g on w.dsn = g.dsn and w.dd = 'DDOUT' and g.dd = 'DDIN' where g.p = 'P0000001' and w.p <> g.p)
+    select 0::bigint as hop, 'P0000001' as program_id, 'IN-REC' as root, 0::bigint as lo, 10::bigint as hi from s where i = 1 union all select 1, p, 'OUT-REC', 0, 10 from w""")
+def estate_flow_up(spark, sf_dir):
+    """Where the bytes of a record come from: the same bytes of what other programs write into the data sets it reads."""
+    e = estate(spark, sf_dir)
+    rows = e.flow("IN-KEY", "P0000001", 1, up=True).filter("root in ('IN-REC', 'OUT-REC') and how not in ('MOVE CORR')")
+    return _long(rows.select("hop", "program_id", "root", "lo", "hi").distinct(), "hop", "lo", "hi")

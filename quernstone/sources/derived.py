@@ -124,6 +124,9 @@ UTILITIES = """\
     INDEXED KEYS({key} 0) -
     RECORDSIZE(80 {most}))
   DEFINE GDG (NAME(PROD.GDG{r}) LIMIT({limit}))
+  REPRO INDATASET(PROD.COPIED{r}) -
+    OUTDATASET(PROD.REPRO{r})
+  REPRO INDATASET(PROD.REPRO{r}) OUTDATASET(PROD.LAST{r})
 /*
 //LOAD     EXEC PGM=DSNUTILB,PARM='DB2P,LOAD'
 //SYSREC   DD DSN=PROD.LOAD{r},DISP=SHR
