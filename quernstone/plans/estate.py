@@ -747,6 +747,10 @@ class Estate:
         return first, last
 
     def flow_edges(self) -> DataFrame:
+        """The edges of the value flow, made once per estate."""
+        return self._kept("edges", self._flow_edges)
+
+    def _flow_edges(self) -> DataFrame:
         """Edges between byte ranges: (a_program, a_root, a_lo, a_hi, a_pic, b_program, b_root, b_lo, b_hi, b_pic, how, line).
 
         MOVE CORRESPONDING is one edge for each pair of elementary items of the same name and place in both groups (G16);
@@ -773,7 +777,11 @@ class Estate:
         pairs = corr.join(below("a"), ["a_program", "a_path"]).join(below("b"), ["b_program", "b_path", "rest"]).select(*plain.columns)
         return plain.unionByName(pairs)
 
-    def copied_data_sets(self, rounds: int = 20) -> DataFrame:
+    def copied_data_sets(self) -> DataFrame:
+        """(dsn, copy): copies of data sets and their copies, made once per estate."""
+        return self._kept("copies", self._copied_data_sets)
+
+    def _copied_data_sets(self, rounds: int = 20) -> DataFrame:
         """(dsn, copy): data sets whose records a plain sort, copy or REPRO, or a chain of them, puts into another.
 
         Steps that rebuild records (INREC, OUTREC, OUTFIL BUILD, JOINKEYS) end a chain.
@@ -801,6 +809,10 @@ class Estate:
         raise RuntimeError(f"copies chain more than {rounds} steps")
 
     def file_edges(self) -> DataFrame:
+        """Records that one program writes and another reads, made once per estate."""
+        return self._kept("files", self._file_edges)
+
+    def _file_edges(self) -> DataFrame:
         """(program_id, root, other, d_root, dsn): records written by one program that another reads, directly or as a copy."""
         programs = self.fact("program").select("member_id", "program_id")
         ios = self.fact("io_op").join(programs, "member_id").filter("dd <> ''").select("program_id", "dd", "target").distinct()
@@ -819,8 +831,8 @@ class Estate:
         item, or several, are in :meth:`unresolved_names`. The walk ignores the order of statements.
         """
         items = self._kept("items", self.items)
-        edges = self._kept("edges", self.flow_edges)
-        files = self._kept("files", self.file_edges)
+        edges = self.flow_edges()
+        files = self.file_edges()
         near, far = ("b", "a") if up else ("a", "b")
         steps = edges.select(F.col(f"{near}_program").alias("program_id"), F.col(f"{near}_root").alias("root"), F.col(f"{near}_lo").alias("lo"), F.col(f"{near}_hi").alias("hi"), F.col(f"{near}_pic").alias("pic"), F.col(f"{far}_program").alias("d_program"), F.col(f"{far}_root").alias("d_root"), F.col(f"{far}_lo").alias("d_lo"), F.col(f"{far}_hi").alias("d_hi"), F.col(f"{far}_pic").alias("d_pic"), "how", "line")
         records = files.select(F.col("other").alias("program_id"), F.col("d_root").alias("root"), F.col("program_id").alias("other"), F.col("root").alias("d_root"), "dsn") if up else files
