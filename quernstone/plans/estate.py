@@ -599,8 +599,10 @@ class Estate:
 
     def header(self) -> DataFrame:
         """(n_members, n_programs, n_unresolved): what this version holds (Q36)."""
-        m = self.members.agg(F.count(F.lit(1)).alias("n_members"), F.count_if(F.col("kind") == "program").alias("n_programs"))
-        return m.join(self.fact("unresolved").agg(F.count(F.lit(1)).alias("n_unresolved")))
+        none = F.lit(0).cast("long")
+        members = self.members.agg(F.count(F.lit(1)).alias("n_members"), F.count_if(F.col("kind") == "program").alias("n_programs"), none.alias("n_unresolved"))
+        open_ = self.fact("unresolved").agg(none.alias("n_members"), none.alias("n_programs"), F.count(F.lit(1)).alias("n_unresolved"))
+        return members.unionByName(open_).agg(*[F.sum(c).alias(c) for c in members.columns])
 
     def _documents(self) -> DataFrame:
         return self.members.filter(F.col("kind").isin("document", "html")).select("member_id", F.col("name").alias("member"), "text")
