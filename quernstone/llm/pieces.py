@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm import worker
+from quernstone.llm import wordhash, worker
 
-REMEMBER, SEGMENT = 280_000, 40
+REMEMBER, SEGMENT, SLICE = 140_000, 40, 1 << 20
 META = "▁"
 #: Where the model file lies unless the session names another in ``MODEL_CONF``.
 MODEL, MODEL_CONF = "/opt/tokenizers/piece_bpe_32k.model", "spark.quernstone.pieceModel"
@@ -298,12 +298,21 @@ def session_model(df: DataFrame) -> PieceModel:
     return load_model(df.sparkSession.conf.get(MODEL_CONF, MODEL))
 
 
+def _slices(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about SLICE bytes of text, at least one row: their segments are Python strings at one time."""
+    _, offsets = wordhash.column(whole.column("text"))
+    at = 0
+    while at < whole.num_rows:
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+        yield whole.slice(at, stop - at)
+        at = stop
+
+
 def _encode(model: PieceModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for batch in _slices(whole):
                 texts = batch.column("text").to_pylist()
                 rows = own.encode_all(texts)
                 same = [own.decode(r.tolist()) == (t or "") for r, t in zip(rows, texts)]

@@ -2,7 +2,11 @@
 
 import itertools
 import random
+import subprocess
+import sys
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -90,3 +94,37 @@ def test_operator(spark, model, library):
     back = decode_pieces(out, model)
     assert sorted((str(r.doc_id), r.text) for r in back.collect()) == sorted((str(i), t or "") for i, t, *_ in rows)
     assert encode_pieces(spark.createDataFrame([], DOC), model).count() == 0
+
+
+def test_texts_at_one_time_are_bounded_in_bytes(model, library, monkeypatch):
+    """A batch of few long texts is taken in runs of rows of about SLICE bytes, whole and in order."""
+    rows = ["some words of a text " * 1000 + str(i) for i in range(200)] + [None, "", "é" * 3_000_000, "end"]
+    taken, full = [], Encoder.encode_all
+    monkeypatch.setattr(Encoder, "encode_all", lambda self, some: taken.append(sum(len((t or "").encode()) for t in some)) or full(self, some))
+    out = list(pieces._encode(model)(iter([pa.record_batch([pa.array(rows)], ["text"])])))
+    assert sorted(taken)[-2] <= 1 << 20 and len(taken) > 4
+    assert [x for b in out for x in b.column("ids").to_pylist()] == [library.encode(t or "") for t in rows]
+    assert all(x for b in out for x in b.column("round_trip").to_pylist())
+
+
+def test_memory_goes_back_when_another_operator_begins():
+    """Small objects that the operator before kept are no longer held by the process."""
+    code = """
+import re
+from quernstone.llm import worker
+def held():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+pins = []
+def make():
+    kept = []
+    for k in range(300_000):  # what later tasks keep lies between, so that the top of the heap stays in use
+        kept.append(bytes(600))
+        if k % 1000 == 0:
+            pins.append(bytes(600))
+    return kept
+worker.keep("one", make)
+full = held()
+worker.release()
+assert full - held() > 100, (full, held())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[2])
