@@ -7,10 +7,13 @@ share classes by frequency) and multiplies by the id's share of its class, so th
 * one layer of masked self-attention with a learned bias per distance, whose queries, keys and values are tables by id;
 * windows of ``2*STEP`` ids that overlap by half: every id is scored once, in the second half of its window, with
   ``STEP`` to ``2*STEP-1`` ids before it in view; all windows of a batch are one batched product with one mask;
-* trained by Adam on a bounded sample, the ``SAMPLE`` training documents with the smallest hashes of doc_id, of each a
-  run of at most ``LONGEST`` ids that begins at a place told by its hash (so no text of any length meets the driver whole).
+* trained over all training rows, every id of every text being a target once: tasks go on from the same weights over their
+  own rows, by Adam and Adagrad, and their changes are averaged, in ``ROUNDS`` rounds of different rows. The first round
+  begins with weights from ``SAMPLE`` training documents, those with the smallest hashes of doc_id, of each a run of at
+  most ``LONGEST`` ids that begins at a place told by its hash (so no text of any length meets the driver whole); a start
+  is all they give. Classes are chosen by neighbours in all training rows.
 
-What the sample cannot show comes from pairs of neighbouring ids, counted over all training rows: an id that followed
+Beside it stand pairs of neighbouring ids, counted over all training rows: an id that followed
 the one before it n times scores ``(n + w*p) / (c + w)``, where p is the attention model's probability, c how often that
 id was followed, T by how many different ones, and w = c + T, so that half the weight or more is the attention's. The end id stands before a text's first.
 
@@ -42,6 +45,7 @@ from quernstone.session import cut
 
 COMMON, SAMPLE, STEP, WIDTH, SINGLES, SHARED, BINS = 100_000, 1200, 16, 16, 160, 48, 4
 COMMON_PAIRS = 200_000
+ROUNDS, BATCH, RATE = 2, 64, 0.004
 SLICE, RUN = 6 << 20, 400_000
 FLUSH, REMEMBER, LONGEST = 600_000, 900_000, 20_000
 #: Where the tokenizer's model file lies unless the session names another in ``MODEL_CONF``.
@@ -239,9 +243,9 @@ class AttentionModel:
     table: np.ndarray  # (ids+2, 4*WIDTH): query, key, value, own vector of each id, of BOS and of padding
     bias: np.ndarray  # (STEP, 2*STEP), -1e9 where masked
     out: np.ndarray  # (2*WIDTH, classes); row WIDTH-1 is the bias
-    steep: bool  # logits may be too large for exp as they are
     class_of: np.ndarray  # per id
     log_share: np.ndarray  # per id: log of its share of its class
+    fit: Fit | None = None  # the weights that the tables are made of
 
     def log_prob(self, ids: np.ndarray, per_text: np.ndarray) -> np.ndarray:
         """Natural log of each text's probability; ids of all texts in a row."""
@@ -290,24 +294,54 @@ class AttentionModel:
         np.divide(seen, np.maximum(seen[:, d - 1 :], 1e-30), out=h[:, :d])
         h[:, d:] = late[:, :, 3 * d :].reshape(-1, d)
         logits = h @ self.out
-        if self.steep:
-            logits -= logits.max(axis=1, keepdims=True)
         got = logits[np.arange(len(logits)), target]
+        total = _exp(logits)[1]
+        if total is None:  # too large or too small for exp as they are
+            logits = h @ self.out
+            most = logits.max(axis=1)
+            got -= most
+            total = _exp(logits - most[:, None])[1]
+        return got - np.log(total)
+
+
+def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """exp in place, and the sum of each row; no sums if any has left the range in which they are exact."""
+    with np.errstate(over="ignore", invalid="ignore"):
         np.exp(logits, out=logits)
-        return got - np.log(logits @ np.ones(logits.shape[1], np.float32))
+        total = logits @ np.ones(logits.shape[1], np.float32)
+    return logits, total if 1e-20 < total.min(initial=1) and total.max(initial=1) < 1e30 else None
 
 
-def _groups(stream: np.ndarray, ids: np.ndarray, common: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
-    """k-means of ids by the company they keep: which common ids stand before and after them in the sample."""
+@dataclass
+class Counts:
+    """How often each id occurs, and pairs of neighbouring ids with their numbers, over all training rows."""
+
+    ids: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, counts: np.ndarray | Counts, stream: np.ndarray) -> Counts:
+        """Counts as they are; with those of the ids alone, the pairs of a stream."""
+        return counts if isinstance(counts, Counts) else cls(counts, stream[:-1], stream[1:], np.ones(max(0, len(stream) - 1)))
+
+    @staticmethod
+    def grouped(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that are grouped by their neighbours, and the common ids that are looked at as neighbours."""
+        order = np.argsort(-ids, kind="stable")
+        return order[SINGLES : 9 * SINGLES], order[:256]
+
+
+def _groups(counts: Counts, ids: np.ndarray, common: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
+    """k-means of ids by the company they keep: which common ids stand before and after them."""
     rng = np.random.default_rng(seed)
-    size = int(stream.max(initial=0)) + 1
-    row, col = np.full(size, -1), np.full(size, -1)
-    row[ids[ids < size]] = np.flatnonzero(ids < size)
-    col[common[common < size]] = np.flatnonzero(common < size)
+    row, col = np.full(len(counts.ids), -1), np.full(len(counts.ids), -1)
+    row[ids], col[common] = np.arange(len(ids)), np.arange(len(common))
     near = np.zeros((len(ids), 2 * len(common)), np.float32)
-    for side, (own, other) in enumerate(((stream[1:], stream[:-1]), (stream[:-1], stream[1:]))):
+    for side, (own, other) in enumerate(((counts.after, counts.before), (counts.before, counts.after))):
         ok = (row[own] >= 0) & (col[other] >= 0)
-        np.add.at(near, (row[own[ok]], col[other[ok]] + side * len(common)), 1)
+        np.add.at(near, (row[own[ok]], col[other[ok]] + side * len(common)), counts.n[ok])
     mass = near.sum(axis=1)
     near = np.sqrt(near / np.maximum(near.sum(axis=0), 1))
     near /= np.maximum(np.sqrt((near * near).sum(axis=1, keepdims=True)), 1e-9)
@@ -323,20 +357,20 @@ def _groups(stream: np.ndarray, ids: np.ndarray, common: np.ndarray, k: int, see
     return np.where(mass > 0, group, -1)
 
 
-def _classes(counts: np.ndarray, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def _classes(company: Counts) -> tuple[np.ndarray, np.ndarray, int]:
     """Class of each id and log of its share (add-one over all ids of a class).
 
     The commonest ids are classes of their own, the next are grouped by their neighbours, the rest by frequency.
     """
+    counts = company.ids
     order = np.argsort(-counts, kind="stable")
     class_of = np.empty(len(counts), np.int32)
     singles = min(SINGLES, len(counts))
     class_of[order[:singles]] = np.arange(singles)
-    rest = order[singles:]
-    middle = rest[: 8 * SINGLES]
-    group = _groups(stream, middle, order[:256], SHARED - BINS) if len(middle) > SHARED and len(stream) > 1 else np.full(len(middle), -1)
+    middle, common = Counts.grouped(counts)
+    group = _groups(company, middle, common, SHARED - BINS) if len(middle) > SHARED and len(company.n) else np.full(len(middle), -1)
     class_of[middle] = singles + group
-    rest = np.concatenate([middle[group < 0], rest[8 * SINGLES :]])
+    rest = np.concatenate([middle[group < 0], order[9 * SINGLES :]])
     mass = np.cumsum(counts[rest] + 1.0)
     if len(rest):
         class_of[rest] = singles + SHARED - BINS + np.minimum(mass * BINS / mass[-1], BINS - 1).astype(np.int32)
@@ -344,26 +378,127 @@ def _classes(counts: np.ndarray, stream: np.ndarray) -> tuple[np.ndarray, np.nda
     return class_of, np.log((counts + 1.0) / total[class_of]), singles + SHARED
 
 
-def train(sample: list[np.ndarray], counts: np.ndarray, steps: int = 2000, batch: int = 96, rate: float = 0.02, seed: int = 3) -> AttentionModel:
-    """Fit by Adam on windows drawn from the sample; ids that the sample never shows keep small random vectors."""
-    rng = np.random.default_rng(seed)
-    class_of, log_share, classes = _classes(counts, np.concatenate(sample) if sample else np.zeros(0, np.int32))
-    vocabulary, d = len(counts), WIDTH
+def _windows(texts: list[np.ndarray], vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts in blocks of STEP ids, a block of padding before each: inputs (the id before, BOS first), targets, and where blocks with targets begin."""
     bos, pad = vocabulary, vocabulary + 1
-    target_row: list[np.ndarray] = []
-    for ids in sample:
-        padded = np.full(STEP + -(-len(ids) // STEP) * STEP, pad, np.int32)
-        padded[STEP : STEP + len(ids)] = ids
-        target_row.append(padded)
-    stream = np.concatenate(target_row) if target_row else np.zeros(0, np.int32)
+    blocks = [STEP + -(-len(ids) // STEP) * STEP for ids in texts]
+    stream = np.full(sum(blocks), pad, np.int32)
+    first = np.cumsum(blocks) - blocks + STEP if texts else np.zeros(0, np.int64)
+    for at, ids in zip(first.tolist(), texts):
+        stream[at : at + len(ids)] = ids
     inputs = np.append(np.int32(pad), stream[:-1]) if len(stream) else stream
-    first = np.cumsum([0, *map(len, target_row)])[:-1] + STEP if target_row else np.zeros(0, np.int64)
-    if len(first):
-        inputs[first.astype(np.int64) - STEP] = pad
-        inputs[first.astype(np.int64)] = bos
-    scored = np.flatnonzero((stream.reshape(-1, STEP) != pad).any(axis=1)) if len(stream) else np.zeros(0, np.int64)
+    inputs[first - STEP] = pad
+    inputs[first] = bos
+    scored = np.flatnonzero((stream.reshape(-1, STEP) != pad).any(axis=1)) * STEP
+    return inputs, stream, scored
+
+
+class Fit:
+    """Weights, and what Adam (all but the ids' vectors) and Adagrad (these) remember of their gradients."""
+
+    def __init__(self, w: dict[str, np.ndarray], u: dict[str, np.ndarray], class_of: np.ndarray, log_share: np.ndarray) -> None:
+        self.w, self.u, self.class_of, self.log_share = w, u, class_of, log_share
+        self.m = {k: np.zeros_like(x) for k, x in w.items() if k != "e"}
+        self.steps = 0
+        self.causal = np.tril(np.ones((STEP, 2 * STEP), bool), STEP)
+        self.masked = np.where(self.causal, 0, -1e9).astype(np.float32)
+
+    def copy(self) -> Fit:
+        return Fit({k: x.copy() for k, x in self.w.items()}, {k: x.copy() for k, x in self.u.items()}, self.class_of, self.log_share)
+
+    def step(self, x_ids: np.ndarray, y: np.ndarray, now: float, warm: bool = False) -> np.ndarray:
+        """One step down the gradient of a batch of windows, (B, 2*STEP) inputs and (B, STEP) targets; the ids whose vectors moved.
+
+        ``warm``: the second moments are those of many steps before and need no correction for their beginning.
+        """
+        w, u, m, d = self.w, self.u, self.m, WIDTH
+        batch, pad = len(x_ids), len(self.class_of) + 1
+        scale = np.float32(1 / np.sqrt(d - 1))
+        real = (y != pad).reshape(-1)
+        goal = self.class_of[np.minimum(y, len(self.class_of) - 1)].reshape(-1)
+        x = w["e"][x_ids]
+        flat = x.reshape(-1, d)
+        late = x[:, STEP:].reshape(-1, d)
+        q = (late @ w["q"] * scale).reshape(batch, STEP, d - 1)
+        k, v = (flat @ w["k"]).reshape(batch, 2 * STEP, d - 1), (flat @ w["v"]).reshape(batch, 2 * STEP, d - 1)
+        att = q @ k.transpose(0, 2, 1)
+        att += w["bias"]
+        np.clip(att, -50, 50, out=att)  # stays in the range of exp
+        att += self.masked
+        att += np.where(x_ids == pad, np.float32(-1e9), np.float32(0))[:, None, :]
+        np.exp(att, out=att)
+        att /= (att @ np.ones(2 * STEP, np.float32))[:, :, None]
+        h = np.concatenate([(att @ v).reshape(-1, d - 1), late, np.ones((len(late), 1), np.float32)], axis=1)
+        out = np.concatenate([w["out"], w["b"][None]])
+        p, total = _exp(h @ out)
+        if total is None:
+            p = h @ out
+            p, total = _exp(p - p.max(axis=1, keepdims=True))
+        p[np.arange(len(p)), goal] -= total
+        share = (real / (total * max(1, int(real.sum())))).astype(np.float32)[:, None]
+        g_out = (h * share).T @ p
+        g = {"out": g_out[:-1], "b": g_out[-1]}
+        dh = p @ w["out"].T
+        dh *= share
+        seen = np.ascontiguousarray(dh[:, : d - 1]).reshape(batch, STEP, d - 1)
+        datt = seen @ v.transpose(0, 2, 1)
+        dv = (att.transpose(0, 2, 1) @ seen).reshape(-1, d - 1)
+        datt -= np.einsum("bij,bij->bi", datt, att)[:, :, None]
+        datt *= att
+        dq, dk = (datt @ k * scale).reshape(-1, d - 1), (datt.transpose(0, 2, 1) @ q).reshape(-1, d - 1)
+        g["bias"] = datt.sum(axis=0)
+        g["q"], g["k"], g["v"] = late.T @ dq, flat.T @ dk, flat.T @ dv
+        dx = dk @ w["k"].T
+        dx += dv @ w["v"].T
+        dx.reshape(batch, 2 * STEP, d)[:, STEP:] += (dq @ w["q"].T + dh[:, d - 1 :]).reshape(batch, STEP, d)
+        self.steps += 1
+        for name, grad in g.items():
+            m[name] += 0.1 * (grad - m[name])
+            u[name] += 0.01 * (grad * grad - u[name])
+            mean, square = m[name] / (1 - 0.9**self.steps), u[name] if warm else u[name] / (1 - 0.99**self.steps)
+            w[name] -= (now * mean / (np.sqrt(square) + 1e-8)).astype(np.float32)
+        # rows of the ids that occur: Adagrad, so that rare ids move as far as common ones
+        ids = x_ids.reshape(-1)
+        order = np.argsort(ids.astype(np.uint16) if pad < 1 << 16 else ids, kind="stable")
+        ids = ids[order]
+        begin = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        moved, grad = ids[begin], np.add.reduceat(dx[order], begin)
+        u["e"][moved] += grad * grad
+        w["e"][moved] -= 5 * now * grad / (np.sqrt(u["e"][moved]) + 1e-8)
+        return moved
+
+    def model(self) -> AttentionModel:
+        """The weights as tables by id."""
+        w, d, pad = self.w, WIDTH, len(self.class_of) + 1
+        table = np.zeros((pad + 1, 4 * d), np.float32)
+        query, key = w["e"] @ w["q"] * np.float32(1 / np.sqrt(d - 1)), w["e"] @ w["k"]
+        largest = float(np.sqrt((query * query).sum(axis=1).max()) * np.sqrt((key * key).sum(axis=1).max()))
+        if largest > 50:  # no product may leave the range of exp
+            key *= 50 / largest
+        table[:, : d - 1] = query
+        table[:, d - 1] = 1  # meets the key's last number, which hides padding
+        table[:, d : 2 * d - 1] = key
+        table[pad, d:] = 0
+        table[pad, 2 * d - 1] = -1e4
+        table[:, 2 * d : 3 * d - 1] = w["e"] @ w["v"]
+        table[:, 3 * d - 1] = 1
+        table[:, 3 * d :] = w["e"]
+        table[pad, 2 * d :] = 0  # padding sees nothing but itself and is never scored
+        bias = np.where(self.causal, np.clip(w["bias"], -20, 20), -1e9).astype(np.float32)
+        out = np.concatenate([w["out"][: d - 1], w["b"][None], w["out"][d - 1 :]])
+        return AttentionModel(table, bias, out.astype(np.float32), self.class_of, self.log_share.astype(np.float32), self)
+
+
+def train(sample: list[np.ndarray], counts: np.ndarray | Counts, steps: int = 2000, batch: int = 96, rate: float = 0.02, seed: int = 3) -> AttentionModel:
+    """Fit by Adam on windows drawn from the sample: where :func:`fit_rows` begins; ids that the sample never shows keep small random vectors."""
+    rng = np.random.default_rng(seed)
+    company = Counts.of(counts, np.concatenate(sample) if sample else np.zeros(0, np.int32))
+    counts = company.ids
+    class_of, log_share, classes = _classes(company)
+    d = WIDTH
+    inputs, stream, scored = _windows(sample, len(counts))
     w = {
-        "e": rng.normal(0, 0.3, (vocabulary + 2, d)).astype(np.float32),
+        "e": rng.normal(0, 0.3, (len(counts) + 2, d)).astype(np.float32),
         "q": rng.normal(0, 0.3, (d, d - 1)).astype(np.float32),
         "k": rng.normal(0, 0.3, (d, d - 1)).astype(np.float32),
         "v": rng.normal(0, 0.3, (d, d - 1)).astype(np.float32),
@@ -371,73 +506,74 @@ def train(sample: list[np.ndarray], counts: np.ndarray, steps: int = 2000, batch
         "out": np.zeros((2 * d - 1, classes), np.float32),
         "b": np.log((np.bincount(class_of, counts + 1.0, minlength=classes) + 1e-3) / (counts.sum() + len(counts))).astype(np.float32),
     }
-    causal = np.tril(np.ones((STEP, 2 * STEP), bool), STEP)
-    m = {k: np.zeros_like(x) for k, x in w.items()}
-    u = {k: np.zeros_like(x) for k, x in w.items()}
-    scale = np.float32(1 / np.sqrt(d - 1))
+    fit = Fit(w, {k: np.zeros_like(x) for k, x in w.items()}, class_of, log_share)
     for step in range(1, steps + 1) if len(scored) else ():
-        rows = rng.choice(scored, batch) * STEP
-        x_ids = inputs[rows[:, None] + np.arange(-STEP, STEP)[None]]
-        y = stream[rows[:, None] + np.arange(STEP)[None]]
-        real = (y != pad).reshape(-1)
-        goal = class_of[np.minimum(y, vocabulary - 1)].reshape(-1)
-        x = w["e"][x_ids]
-        late = x[:, STEP:]
-        q, k, v = late @ w["q"] * scale, x @ w["k"], x @ w["v"]
-        s = q @ k.transpose(0, 2, 1) + w["bias"]
-        s = np.where(causal & (x_ids != pad)[:, None, :], s, -1e9)
-        s -= s.max(axis=2, keepdims=True)
-        att = np.exp(s)
-        att /= att.sum(axis=2, keepdims=True)
-        h = np.concatenate([att @ v, late], axis=2).reshape(-1, 2 * d - 1)
-        logits = h @ w["out"] + w["b"]
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(p)), goal] -= 1
-        p[~real] = 0
-        p /= max(1, int(real.sum()))
-        g = {"out": h.T @ p, "b": p.sum(axis=0)}
-        dh = (p @ w["out"].T).reshape(batch, STEP, 2 * d - 1)
-        datt = dh[:, :, : d - 1] @ v.transpose(0, 2, 1)
-        dv = att.transpose(0, 2, 1) @ dh[:, :, : d - 1]
-        ds = att * (datt - (datt * att).sum(axis=2, keepdims=True))
-        dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
-        g["bias"] = ds.sum(axis=0)
-        g["q"] = late.reshape(-1, d).T @ dq.reshape(-1, d - 1)
-        g["k"] = x.reshape(-1, d).T @ dk.reshape(-1, d - 1)
-        g["v"] = x.reshape(-1, d).T @ dv.reshape(-1, d - 1)
-        dx = dk @ w["k"].T + dv @ w["v"].T
-        dx[:, STEP:] += dq @ w["q"].T + dh[:, :, d - 1 :]
+        rows = rng.choice(scored, batch)[:, None]
         now = rate * min(1.0, step / 50) * (1 - 0.9 * step / steps)
-        for name, grad in g.items():
-            m[name] += 0.1 * (grad - m[name])
-            u[name] += 0.01 * (grad * grad - u[name])
-            w[name] -= (now * (m[name] / (1 - 0.9**step)) / (np.sqrt(u[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-        # rows of the ids that occur: Adagrad, so that rare ids move as far as common ones
-        seen, inverse = np.unique(x_ids, return_inverse=True)
-        grad = np.zeros((len(seen), d), np.float32)
-        np.add.at(grad, inverse.reshape(-1), dx.reshape(-1, d))
-        u["e"][seen] += grad * grad
-        w["e"][seen] -= 5 * now * grad / (np.sqrt(u["e"][seen]) + 1e-8)
-    table = np.zeros((vocabulary + 2, 4 * d), np.float32)
-    query, key = w["e"] @ w["q"] * scale, w["e"] @ w["k"]
-    largest = float(np.sqrt((query * query).sum(axis=1).max()) * np.sqrt((key * key).sum(axis=1).max()))
-    if largest > 50:  # no product may leave the range of exp
-        key *= 50 / largest
-    table[:, : d - 1] = query
-    table[:, d - 1] = 1  # meets the key's last number, which hides padding
-    table[:, d : 2 * d - 1] = key
-    table[pad, d:] = 0
-    table[pad, 2 * d - 1] = -1e4
-    table[:, 2 * d : 3 * d - 1] = w["e"] @ w["v"]
-    table[:, 3 * d - 1] = 1
-    table[:, 3 * d :] = w["e"]
-    table[pad, 2 * d :] = 0  # padding sees nothing but itself and is never scored
-    bias = np.where(causal, np.clip(w["bias"], -20, 20), -1e9).astype(np.float32)
-    out = np.concatenate([w["out"][: d - 1], w["b"][None], w["out"][d - 1 :]])
-    reach = np.sqrt((table[:, 2 * d :] ** 2).sum(axis=1).max()) * 2 + 1
-    return AttentionModel(table, bias, out.astype(np.float32), bool(reach * np.sqrt((out * out).sum(axis=0).max()) > 80), class_of, log_share.astype(np.float32))
+        fit.step(inputs[rows + np.arange(-STEP, STEP)], stream[rows + np.arange(STEP)], now)
+    return fit.model()
+
+
+# ---- the fit over all training rows ------------------------------------------------------------------------------
+
+LAYERS = ("q", "k", "v", "bias", "out", "b")
+
+
+def _learn(start: Fit, tokenizer: Tokenizer):
+    """Every id of every text is a target once. (row, n, d0...): of each row of the weights its change times n, what it saw.
+
+    Rows are the ids' vectors and, after these, all other weights in a row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fit, rng = start.copy(), np.random.default_rng(11)
+        seen, targets = np.zeros(len(fit.w["e"]), np.int64), 0
+        for batch in _slices(batches):
+            ids, per_text = Slice(batch.column("text")).stream(tokenizer)
+            for first, last, begin, end in _runs(per_text):
+                inputs, stream, scored = _windows(np.split(ids[begin:end], np.cumsum(per_text[first : last - 1])), tokenizer.size)
+                rng.shuffle(scored)
+                for a in range(0, len(scored), BATCH):
+                    rows = scored[a : a + BATCH, None]
+                    x_ids = inputs[rows + np.arange(-STEP, STEP)]
+                    fit.step(x_ids, stream[rows + np.arange(STEP)], RATE, warm=True)
+                seen += np.bincount(inputs, minlength=len(seen))
+                targets += end - begin
+        if targets:
+            some = np.flatnonzero(seen)
+            change = fit.w["e"][some].astype(np.float64) - start.w["e"][some]
+            rest = np.concatenate([(fit.w[k].astype(np.float64) - start.w[k]).reshape(-1) for k in LAYERS])
+            rest = np.pad(rest, (0, -len(rest) % WIDTH)).reshape(-1, WIDTH)
+            n = np.concatenate([seen[some], np.full(len(rest), targets)])
+            change = np.concatenate([change, rest]) * n[:, None]
+            row = np.concatenate([some, len(seen) + np.arange(len(rest))])
+            yield pa.record_batch([pa.array(row), pa.array(n), *(pa.array(np.ascontiguousarray(c)) for c in change.T)], ["row", "n", *(f"d{k}" for k in range(WIDTH))])
+
+    return run
+
+
+def fit_rows(model: AttentionModel, docs: DataFrame, tokenizer: Tokenizer) -> None:
+    """Go on from the model's weights over every row of ``docs`` (a column text), in place.
+
+    Rows are dealt to ROUNDS rounds by hash. In each, every task begins with the same weights and learns from all its rows;
+    the changes are averaged, of an id's vector by how often a task saw the id, of other weights by its number of ids. What
+    is shuffled is one row per task and id, what meets the driver one per id.
+    """
+    schema = "row bigint, n bigint, " + ", ".join(f"d{k} double" for k in range(WIDTH))
+    fit = model.fit
+    for turn in range(ROUNDS):
+        part = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn).select("text")
+        changes = part.mapInArrow(_learn(fit, tokenizer), schema)
+        total = changes.groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(f"d{k}").alias(f"d{k}") for k in range(WIDTH))).toPandas()
+        row = total.row.to_numpy(np.int64)
+        mean = np.zeros((len(fit.w["e"]) + -(-sum(fit.w[k].size for k in LAYERS) // WIDTH), WIDTH))
+        mean[row] = total[[f"d{k}" for k in range(WIDTH)]].to_numpy(np.float64) / total.n.to_numpy(np.float64)[:, None]
+        fit.w["e"] += mean[: len(fit.w["e"])].astype(np.float32)
+        rest, at = mean[len(fit.w["e"]) :].reshape(-1), 0
+        for k in LAYERS:
+            fit.w[k] += rest[at : at + fit.w[k].size].reshape(fit.w[k].shape).astype(np.float32)
+            at += fit.w[k].size
+    model.__dict__.update(fit.model().__dict__)
 
 
 # ---- scoring -----------------------------------------------------------------------------------------------------
@@ -604,7 +740,13 @@ def score_texts(docs: DataFrame, train_rows: Column, tokenizer: Tokenizer | None
     chosen = docs.sparkSession.createDataFrame([(i,) for i in smallest_hashes(narrow.filter(usable), SAMPLE, 8)], "doc_id long")
     drawn = narrow.join(F.broadcast(chosen), "doc_id").mapInArrow(_sample(tokenizer), "doc_id bigint, ids binary")
     sample = drawn.groupBy("doc_id").agg(F.max("ids").alias("ids")).collect()  # of rows that repeat an id one stands for all
-    model = train([np.frombuffer(r.ids, np.int32) for r in sorted(sample, key=lambda r: (r.doc_id, r.ids))], pieces)
+    middle, near = (x.tolist() for x in Counts.grouped(pieces))
+    first, second = F.expr(f"key div {tokenizer.size}"), F.col("key") % tokenizer.size
+    # pairs of the 1,280 ids that are grouped with the 256 common ones, so two thirds of a million at most
+    company, times = _sorted(both.filter((first.isin(middle) & second.isin(near)) | (first.isin(near) & second.isin(middle))))
+    model = train([np.frombuffer(r.ids, np.int32) for r in sorted(sample, key=lambda r: (r.doc_id, r.ids))], Counts(pieces, company // tokenizer.size, company % tokenizer.size, times))
+    if n_train:
+        fit_rows(model, narrow.filter(usable), tokenizer)
     schema = "row bigint, kind int, word bigint, times int, doc_id bigint, n_tokens bigint, n_known bigint, sum_log double, score double, share double"
     parts = narrow.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score(model, tokenizer, common, common_log, pairs), schema)
     rare = counts.filter("kind <> 1").select("kind", F.col("key").alias("word"), F.col("n").alias("count"))

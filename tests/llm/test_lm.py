@@ -1,5 +1,6 @@
 """Base scores against brute force, the model's probabilities against a plain forward pass."""
 
+import copy
 import math
 import re
 import zlib
@@ -128,3 +129,51 @@ def test_pairs_of_all_training_rows_count(spark, monkeypatch, common):
         for a, b, log_p in zip([t.end, *ids[:-1].tolist()], ids.tolist(), models[0].each(ids, np.array([len(ids)])).tolist()):
             want += math.log10((pairs[a, b] + (follow[a] + kinds[a]) * math.exp(log_p)) / (2 * follow[a] + kinds[a]) if follow[a] else math.exp(log_p))
         assert abs(want - out[i]) < 1e-4 * len(ids)
+
+
+def test_every_id_of_every_text_is_a_target_once(monkeypatch):
+    """One task's changes are those of a plain pass over all its ids, a long text and odd rows too."""
+    t = Tokenizer.load()
+    texts = ["alpha beta gamma " * 40, None, "", "long words of one text " * 9000, "end"] * 2
+    streams = [Slice(pa.array([x], pa.string())).stream(t)[0] for x in texts]
+    counts = np.bincount(np.concatenate(streams), minlength=t.size).astype(float)
+    start = train(streams[:1], counts, steps=5).fit
+    taken, full = [], lm.Fit.step
+    monkeypatch.setattr(lm.Fit, "step", lambda self, x, y, *a, **k: taken.append(np.stack([x[:, lm.STEP :], y])) or full(self, x, y, *a, **k))
+    (out,) = lm._learn(start, t)(iter([pa.record_batch([pa.array(texts)], ["text"])]))
+    got = Counter((a, b) for part in taken for a, b in zip(part[0].ravel().tolist(), part[1].ravel().tolist()) if b != t.size + 1)
+    assert got == Counter(p for ids in streams for p in zip([t.size, *ids[:-1].tolist()], ids.tolist()))
+    rows = dict(zip(out.column("row").to_pylist(), out.column("n").to_pylist()))
+    assert rows[t.size + 2] == counts.sum() and set(np.flatnonzero(counts[: t.end])) <= set(rows) | {t.end}
+
+
+def test_the_model_learns_from_rows_outside_the_sample(spark, monkeypatch):
+    """The vectors of words that no document of the sample holds move, and the text they make becomes likelier."""
+    monkeypatch.setattr(lm, "SAMPLE", 3)
+    starts, models, quick = [], [], lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: models.append(quick(*a)) or starts.append(copy.deepcopy(models[-1])) or models[-1])
+    drawn, full = [], lm.smallest_hashes
+    monkeypatch.setattr(lm, "smallest_hashes", lambda *a: drawn.extend(full(*a)) or drawn)
+    line = "quiet river under heavy morning fog moves slowly past sleeping villages"
+    ids = spark.range(400).selectExpr("id as doc_id")
+    sample = set(full(ids.filter("crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2"), 3, 8))
+    rows = [(i, "other plain text" if i in sample else " ".join([line] * 6), "x", 1) for i in range(400)]
+    assert corpus_scores(spark.createDataFrame(rows, DOC).repartition(2)).count() == 400 and set(drawn) == sample
+    t = Tokenizer.load()
+    stream, n = Slice(pa.array([line])).stream(t)
+    model = models[0]
+    only = np.setdiff1d(stream, Slice(pa.array(["other plain text"])).stream(t)[0])
+    assert (model.table[only] != starts[0].table[only]).any(axis=1).all()
+    assert model.log_prob(stream, n)[0] > starts[0].log_prob(stream, n)[0] + 1
+
+
+def test_classes_come_from_pairs_of_all_rows():
+    """Ids that the sample never shows are grouped by their neighbours in the counts."""
+    rng = np.random.default_rng(4)
+    counts = np.sort(rng.integers(50, 5000, 2000))[::-1].astype(float)
+    middle, common = lm.Counts.grouped(counts)
+    kind = rng.integers(0, 2, len(middle))
+    before, after = common[np.where(kind, 3, 7)], middle
+    class_of = train([], lm.Counts(counts, before, after, counts[middle])).class_of
+    assert not set(class_of[middle[kind == 0]]) & set(class_of[middle[kind == 1]])
+    assert class_of[middle].max() < lm.SINGLES + lm.SHARED - lm.BINS
