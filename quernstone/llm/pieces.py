@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import wordhash, worker
 
-REMEMBER, SEGMENT, SLICE = 140_000, 40, 1 << 20
+REMEMBER, SEGMENT, SLICE = 280_000, 40, 2 << 20
 META = "▁"
 #: Where the model file lies unless the session names another in ``MODEL_CONF``.
 MODEL, MODEL_CONF = "/opt/tokenizers/piece_bpe_32k.model", "spark.quernstone.pieceModel"

@@ -98,11 +98,11 @@ def test_operator(spark, model, library):
 
 def test_texts_at_one_time_are_bounded_in_bytes(model, library, monkeypatch):
     """A batch of few long texts is taken in runs of rows of about SLICE bytes, whole and in order."""
-    rows = ["some words of a text " * 1000 + str(i) for i in range(200)] + [None, "", "é" * 3_000_000, "end"]
+    rows = ["some words of a text " * 1000 + str(i) for i in range(400)] + [None, "", "é" * 3_000_000, "end"]
     taken, full = [], Encoder.encode_all
     monkeypatch.setattr(Encoder, "encode_all", lambda self, some: taken.append(sum(len((t or "").encode()) for t in some)) or full(self, some))
     out = list(pieces._encode(model)(iter([pa.record_batch([pa.array(rows)], ["text"])])))
-    assert sorted(taken)[-2] <= 1 << 20 and len(taken) > 4
+    assert sorted(taken)[-2] <= pieces.SLICE and len(taken) > 4
     assert [x for b in out for x in b.column("ids").to_pylist()] == [library.encode(t or "") for t in rows]
     assert all(x for b in out for x in b.column("round_trip").to_pylist())
 
