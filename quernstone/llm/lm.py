@@ -46,6 +46,8 @@ from quernstone.session import cut
 COMMON, SAMPLE, STEP, WIDTH, SINGLES, SHARED, BINS = 100_000, 1200, 16, 16, 160, 48, 4
 COMMON_PAIRS = 200_000
 ROUNDS, BATCH, RATE = 2, 64, 0.004
+#: Neighbouring blocks that are trained together, a batch still being BATCH blocks; rows of a softmax at one time.
+SPAN, PART = 4, 512
 SLICE, RUN = 6 << 20, 400_000
 FLUSH, REMEMBER, LONGEST = 600_000, 900_000, 20_000
 #: Where the tokenizer's model file lies unless the session names another in ``MODEL_CONF``.
@@ -267,33 +269,35 @@ class AttentionModel:
         stream[begin + STEP] = bos
         target[place] = self.class_of[ids]
         score = np.zeros(size // STEP * STEP, np.float32)
-        rows = size // STEP
-        for a in range(0, rows, 256):
-            lo, hi = max(0, a - 1), min(rows, a + 256)
-            score[a * STEP : hi * STEP] = self._blocks(stream, target[a * STEP : hi * STEP], lo, a, hi)
+        rows, many = size // STEP, PART // STEP
+        shown = np.exp(self.bias)
+        room = np.empty((PART, self.out.shape[1]), np.float32)
+        for a in range(0, rows, many):
+            lo, hi = max(0, a - 1), min(rows, a + many)
+            score[a * STEP : hi * STEP] = self._blocks(stream, target[a * STEP : hi * STEP], lo, a, hi, shown, room)
         return score[place].astype(np.float64) + self.log_share[ids]
 
-    def _blocks(self, stream: np.ndarray, target: np.ndarray, lo: int, a: int, hi: int) -> np.ndarray:
-        """Log-probability of the class of each target of blocks a..hi; block lo is context only.
+    def _blocks(self, stream: np.ndarray, target: np.ndarray, lo: int, a: int, hi: int, shown: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """Log-probability of the class of each target of blocks a..hi; block lo is context only; shown is exp of the bias.
 
         A value's last number is 1, so that the product with the weights also holds their sum; divided by it, it is the
         constant that the output bias is multiplied by.
         """
         d, n = WIDTH, hi - a
         if lo == a:  # the first block of all has no block before it
-            x = np.concatenate([np.broadcast_to(self.table[-1], (STEP, 4 * d)), self.table[stream[a * STEP : hi * STEP]]])
+            x = np.concatenate([np.broadcast_to(self.table[-1], (STEP, 4 * d)), np.take(self.table, stream[a * STEP : hi * STEP], axis=0)])
         else:
-            x = self.table[stream[lo * STEP : hi * STEP]]
+            x = np.take(self.table, stream[lo * STEP : hi * STEP], axis=0)
         row, late = x.strides[0], x[STEP:].reshape(n, STEP, 4 * d)
         both = np.lib.stride_tricks.as_strided(x, (n, 2 * STEP, 4 * d), (STEP * row, row, 4))
         weight = late[:, :, :d] @ both[:, :, d : 2 * d].transpose(0, 2, 1)
-        weight += self.bias
         np.exp(weight, out=weight)
+        weight *= shown
         h = np.empty((n * STEP, 2 * d), np.float32)
         seen = (weight @ both[:, :, 2 * d : 3 * d]).reshape(-1, d)
         np.divide(seen, np.maximum(seen[:, d - 1 :], 1e-30), out=h[:, :d])
         h[:, d:] = late[:, :, 3 * d :].reshape(-1, d)
-        logits = h @ self.out
+        logits = np.matmul(h, self.out, out=room[: len(h)])
         got = logits[np.arange(len(logits)), target]
         total = _exp(logits)[1]
         if total is None:  # too large or too small for exp as they are
@@ -393,78 +397,137 @@ def _windows(texts: list[np.ndarray], vocabulary: int) -> tuple[np.ndarray, np.n
     return inputs, stream, scored
 
 
+def _overlapping(x: np.ndarray, blocks: int) -> np.ndarray:
+    """Of runs of blocks+1 blocks of STEP rows each block with the one before it: (B, (blocks+1)*STEP, d) as (B, blocks, 2*STEP, d), nothing copied."""
+    run, row, number = x.strides
+    return np.lib.stride_tricks.as_strided(x, (len(x), blocks, 2 * STEP, x.shape[2]), (run, STEP * row, row, number))
+
+
+def _put(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """``table[rows] = values`` with each row as one item, which numpy copies several times as fast."""
+    whole = np.dtype((np.void, table.strides[0]))
+    table.view(whole)[rows, 0] = values.view(whole)[:, 0]
+
+
+#: All weights but the ids' vectors.
+LAYERS = ("q", "k", "v", "bias", "out", "b")
+
+
 class Fit:
     """Weights, and what Adam (all but the ids' vectors) and Adagrad (these) remember of their gradients."""
 
-    def __init__(self, w: dict[str, np.ndarray], u: dict[str, np.ndarray], class_of: np.ndarray, log_share: np.ndarray) -> None:
-        self.w, self.u, self.class_of, self.log_share = w, u, class_of, log_share
-        self.m = {k: np.zeros_like(x) for k, x in w.items() if k != "e"}
+    def __init__(self, w: dict[str, np.ndarray], class_of: np.ndarray, log_share: np.ndarray, u: dict[str, np.ndarray] | None = None) -> None:
+        self.w, self.class_of, self.log_share = w, class_of, log_share
+        size = sum(w[k].size for k in LAYERS)
+        self.u = u or {"e": np.zeros_like(w["e"]), "rest": np.zeros(size, np.float32)}  # rest: LAYERS in a row
+        self.m = np.zeros(size, np.float32)
         self.steps = 0
-        self.causal = np.tril(np.ones((STEP, 2 * STEP), bool), STEP)
-        self.masked = np.where(self.causal, 0, -1e9).astype(np.float32)
+        self.causal = np.tril(np.ones((STEP, 2 * STEP), np.float32), STEP)
 
     def copy(self) -> Fit:
-        return Fit({k: x.copy() for k, x in self.w.items()}, {k: x.copy() for k, x in self.u.items()}, self.class_of, self.log_share)
+        return Fit({k: x.copy() for k, x in self.w.items()}, self.class_of, self.log_share, {k: x.copy() for k, x in self.u.items()})
 
     def step(self, x_ids: np.ndarray, y: np.ndarray, now: float, warm: bool = False) -> np.ndarray:
-        """One step down the gradient of a batch of windows, (B, 2*STEP) inputs and (B, STEP) targets; the ids whose vectors moved.
+        """One step down the gradient of a batch of B runs of n blocks, (B, (n+1)*STEP) inputs, the first STEP for context, and (B, n*STEP) targets; the ids whose vectors moved.
+
+        Each block sees itself and the block before it. Keys meet queries and values meet the output in products of their
+        matrices, so that no key or value is ever made: attention is between vectors of ids, and what it gathers are such
+        vectors.
 
         ``warm``: the second moments are those of many steps before and need no correction for their beginning.
         """
-        w, u, m, d = self.w, self.u, self.m, WIDTH
-        batch, pad = len(x_ids), len(self.class_of) + 1
-        scale = np.float32(1 / np.sqrt(d - 1))
+        w, d = self.w, WIDTH
+        batch, blocks, pad = len(x_ids), y.shape[1] // STEP, len(self.class_of) + 1
         real = (y != pad).reshape(-1)
         goal = self.class_of[np.minimum(y, len(self.class_of) - 1)].reshape(-1)
-        x = w["e"][x_ids]
-        flat = x.reshape(-1, d)
-        late = x[:, STEP:].reshape(-1, d)
-        q = (late @ w["q"] * scale).reshape(batch, STEP, d - 1)
-        k, v = (flat @ w["k"]).reshape(batch, 2 * STEP, d - 1), (flat @ w["v"]).reshape(batch, 2 * STEP, d - 1)
-        att = q @ k.transpose(0, 2, 1)
+        x = np.take(w["e"], x_ids, axis=0)
+        late, both = x[:, STEP:].reshape(-1, d), _overlapping(x, blocks)
+        scale = np.float32(1 / np.sqrt(d - 1))
+        match = w["q"] @ w["k"].T * scale
+        q = (late @ match).reshape(batch, blocks, STEP, d)
+        att = q @ both.transpose(0, 1, 3, 2)
         att += w["bias"]
         np.clip(att, -50, 50, out=att)  # stays in the range of exp
-        att += self.masked
-        att += np.where(x_ids == pad, np.float32(-1e9), np.float32(0))[:, None, :]
         np.exp(att, out=att)
-        att /= (att @ np.ones(2 * STEP, np.float32))[:, :, None]
-        h = np.concatenate([(att @ v).reshape(-1, d - 1), late, np.ones((len(late), 1), np.float32)], axis=1)
-        out = np.concatenate([w["out"], w["b"][None]])
-        p, total = _exp(h @ out)
-        if total is None:
-            p = h @ out
-            p, total = _exp(p - p.max(axis=1, keepdims=True))
-        p[np.arange(len(p)), goal] -= total
-        share = (real / (total * max(1, int(real.sum())))).astype(np.float32)[:, None]
-        g_out = (h * share).T @ p
-        g = {"out": g_out[:-1], "b": g_out[-1]}
-        dh = p @ w["out"].T
-        dh *= share
-        seen = np.ascontiguousarray(dh[:, : d - 1]).reshape(batch, STEP, d - 1)
-        datt = seen @ v.transpose(0, 2, 1)
-        dv = (att.transpose(0, 2, 1) @ seen).reshape(-1, d - 1)
-        datt -= np.einsum("bij,bij->bi", datt, att)[:, :, None]
+        att *= self.causal
+        hidden = x_ids == pad
+        some = np.flatnonzero(hidden.any(axis=1))
+        att[some] *= ~_overlapping(hidden[some, :, None], blocks)[:, :, None, :, 0]
+        total = att @ np.ones(2 * STEP, np.float32)
+        att /= np.maximum(total, 1e-30, out=total)[..., None]  # padding may see nothing
+        h = np.empty((len(late), 2 * d + 1), np.float32)
+        h[:, :d], h[:, d : 2 * d], h[:, 2 * d] = (att @ both).reshape(-1, d), late, 1
+        g_out, dh = self._softmax(h, goal, real)
+        seen = np.ascontiguousarray(dh[:, :d]).reshape(batch, blocks, STEP, d)
+        datt = seen @ both.transpose(0, 1, 3, 2)
+        datt -= np.einsum("abij,abij->abi", datt, att)[..., None]
         datt *= att
-        dq, dk = (datt @ k * scale).reshape(-1, d - 1), (datt.transpose(0, 2, 1) @ q).reshape(-1, d - 1)
-        g["bias"] = datt.sum(axis=0)
-        g["q"], g["k"], g["v"] = late.T @ dq, flat.T @ dk, flat.T @ dv
-        dx = dk @ w["k"].T
-        dx += dv @ w["v"].T
-        dx.reshape(batch, 2 * STEP, d)[:, STEP:] += (dq @ w["q"].T + dh[:, d - 1 :]).reshape(batch, STEP, d)
+        dq = (datt @ both).reshape(-1, d)
+        g_match = late.T @ dq * scale
+        g = {"q": g_match @ w["k"], "k": g_match.T @ w["q"], "v": g_out[:d] @ w["out"][: d - 1].T, "bias": datt.sum(axis=(0, 1))}
+        g["out"], g["b"] = np.concatenate([w["v"].T @ g_out[:d], g_out[d : 2 * d]]), g_out[2 * d]
+        dx = np.empty((batch, blocks + 1, STEP, d), np.float32)
+        own = dq @ match.T
+        own += dh[:, d:]
+        dx[:, :1], dx[:, 1:] = 0, own.reshape(batch, blocks, STEP, d)
+        looked = att.transpose(0, 1, 3, 2) @ seen
+        looked += datt.transpose(0, 1, 3, 2) @ q
+        dx[:, :-1] += looked[:, :, :STEP]
+        dx[:, 1:] += looked[:, :, STEP:]
+        self._adam(np.concatenate([g[k].reshape(-1) for k in LAYERS]), now, warm)
+        return self._adagrad(x_ids.reshape(-1), dx.reshape(-1), now)
+
+    def _softmax(self, h: np.ndarray, goal: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of the matrix that h meets and of h (but its last number), in parts that stay in the cache."""
+        w, d = self.w, WIDTH
+        out = np.concatenate([w["v"] @ w["out"][: d - 1], w["out"][d - 1 :], w["b"][None]])
+        back = out[:-1].T
+        g_out, dh = np.zeros(out.T.shape, np.float32), np.empty((len(h), 2 * d), np.float32)
+        room = np.empty((min(PART, len(h)), out.shape[1]), np.float32)
+        each, rows = real / np.float32(max(1, int(real.sum()))), np.arange(len(room)) * out.shape[1]
+        for a in range(0, len(h), PART):
+            part = h[a : a + PART]
+            p, total = _exp(np.matmul(part, out, out=room[: len(part)]))
+            if total is None:
+                p = part @ out
+                p, total = _exp(p - p.max(axis=1, keepdims=True))
+            p.reshape(-1)[rows[: len(p)] + goal[a : a + PART]] -= total
+            share = (each[a : a + PART] / total)[:, None]
+            g_out += p.T @ (part * share)
+            np.multiply(p @ back, share, out=dh[a : a + PART])
+        return g_out.T, dh
+
+    def _adam(self, grad: np.ndarray, now: float, warm: bool) -> None:
+        m, u, at = self.m, self.u["rest"], 0
         self.steps += 1
-        for name, grad in g.items():
-            m[name] += 0.1 * (grad - m[name])
-            u[name] += 0.01 * (grad * grad - u[name])
-            mean, square = m[name] / (1 - 0.9**self.steps), u[name] if warm else u[name] / (1 - 0.99**self.steps)
-            w[name] -= (now * mean / (np.sqrt(square) + 1e-8)).astype(np.float32)
-        # rows of the ids that occur: Adagrad, so that rare ids move as far as common ones
-        ids = x_ids.reshape(-1)
-        order = np.argsort(ids.astype(np.uint16) if pad < 1 << 16 else ids, kind="stable")
+        m += np.float32(0.1) * (grad - m)
+        grad *= grad
+        grad -= u
+        u += np.float32(0.01) * grad
+        square = np.sqrt(u if warm else u / np.float32(1 - 0.99**self.steps))
+        change = np.float32(now / (1 - 0.9**self.steps)) * m / (square + np.float32(1e-8))
+        for k in LAYERS:
+            self.w[k] -= change[at : at + self.w[k].size].reshape(self.w[k].shape)
+            at += self.w[k].size
+
+    def _adagrad(self, ids: np.ndarray, dx: np.ndarray, now: float) -> np.ndarray:
+        """The vectors of the ids that occur: Adagrad, so that rare ids move as far as common ones."""
+        order = np.argsort(ids.astype(np.uint16) if len(self.class_of) + 1 < 1 << 16 else ids, kind="stable")
         ids = ids[order]
-        begin = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        moved, grad = ids[begin], np.add.reduceat(dx[order], begin)
-        u["e"][moved] += grad * grad
-        w["e"][moved] -= 5 * now * grad / (np.sqrt(u["e"][moved]) + 1e-8)
+        new = np.append(True, ids[1:] != ids[:-1])
+        moved, place = ids[new], np.empty(len(ids), np.int64)
+        place[order] = np.cumsum(new) * WIDTH - WIDTH
+        grad = np.bincount((place[:, None] + np.arange(WIDTH)).reshape(-1), dx).astype(np.float32).reshape(-1, WIDTH)
+        square = np.take(self.u["e"], moved, axis=0)
+        square += grad * grad
+        _put(self.u["e"], moved, square)
+        np.sqrt(square, out=square)
+        square += np.float32(1e-8)
+        grad *= np.float32(5 * now)
+        grad /= square
+        vectors = np.take(self.w["e"], moved, axis=0)
+        vectors -= grad
+        _put(self.w["e"], moved, vectors)
         return moved
 
     def model(self) -> AttentionModel:
@@ -484,7 +547,7 @@ class Fit:
         table[:, 3 * d - 1] = 1
         table[:, 3 * d :] = w["e"]
         table[pad, 2 * d :] = 0  # padding sees nothing but itself and is never scored
-        bias = np.where(self.causal, np.clip(w["bias"], -20, 20), -1e9).astype(np.float32)
+        bias = np.where(self.causal > 0, np.clip(w["bias"], -20, 20), -1e9).astype(np.float32)
         out = np.concatenate([w["out"][: d - 1], w["b"][None], w["out"][d - 1 :]])
         return AttentionModel(table, bias, out.astype(np.float32), self.class_of, self.log_share.astype(np.float32), self)
 
@@ -506,7 +569,7 @@ def train(sample: list[np.ndarray], counts: np.ndarray | Counts, steps: int = 20
         "out": np.zeros((2 * d - 1, classes), np.float32),
         "b": np.log((np.bincount(class_of, counts + 1.0, minlength=classes) + 1e-3) / (counts.sum() + len(counts))).astype(np.float32),
     }
-    fit = Fit(w, {k: np.zeros_like(x) for k, x in w.items()}, class_of, log_share)
+    fit = Fit(w, class_of, log_share)
     for step in range(1, steps + 1) if len(scored) else ():
         rows = rng.choice(scored, batch)[:, None]
         now = rate * min(1.0, step / 50) * (1 - 0.9 * step / steps)
@@ -516,9 +579,6 @@ def train(sample: list[np.ndarray], counts: np.ndarray | Counts, steps: int = 20
 
 # ---- the fit over all training rows ------------------------------------------------------------------------------
 
-LAYERS = ("q", "k", "v", "bias", "out", "b")
-
-
 def _learn(start: Fit, tokenizer: Tokenizer):
     """Every id of every text is a target once. (row, n, d0...): of each row of the weights its change times n, what it saw.
 
@@ -531,12 +591,14 @@ def _learn(start: Fit, tokenizer: Tokenizer):
         for batch in _slices(batches):
             ids, per_text = Slice(batch.column("text")).stream(tokenizer)
             for first, last, begin, end in _runs(per_text):
-                inputs, stream, scored = _windows(np.split(ids[begin:end], np.cumsum(per_text[first : last - 1])), tokenizer.size)
-                rng.shuffle(scored)
-                for a in range(0, len(scored), BATCH):
-                    rows = scored[a : a + BATCH, None]
-                    x_ids = inputs[rows + np.arange(-STEP, STEP)]
-                    fit.step(x_ids, stream[rows + np.arange(STEP)], RATE, warm=True)
+                inputs, stream, _ = _windows(np.split(ids[begin:end], np.cumsum(per_text[first : last - 1])), tokenizer.size)
+                # the runs lie side by side over all blocks, those of padding too, whose targets count for nothing
+                lack = (STEP - len(stream)) % (SPAN * STEP)
+                inputs, stream = (np.append(z, np.full(lack, tokenizer.size + 1, np.int32)) for z in (inputs, stream))
+                starts = rng.permutation(np.arange(STEP, len(stream), SPAN * STEP))
+                for a in range(0, len(starts), BATCH // SPAN):
+                    rows = starts[a : a + BATCH // SPAN, None]
+                    fit.step(inputs[rows + np.arange(-STEP, SPAN * STEP)], stream[rows + np.arange(SPAN * STEP)], RATE, warm=True)
                 seen += np.bincount(inputs, minlength=len(seen))
                 targets += end - begin
         if targets:

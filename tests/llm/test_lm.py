@@ -177,3 +177,34 @@ def test_classes_come_from_pairs_of_all_rows():
     class_of = train([], lm.Counts(counts, before, after, counts[middle])).class_of
     assert not set(class_of[middle[kind == 0]]) & set(class_of[middle[kind == 1]])
     assert class_of[middle].max() < lm.SINGLES + lm.SHARED - lm.BINS
+
+
+def test_a_run_of_blocks_learns_what_its_windows_do():
+    """Several blocks at once, padding and texts' borders among them, change all weights as one window per block does."""
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 60, k).astype(np.int32) for k in (5, 40, 16, 100, 33, 1, 250)]
+    start = train(texts, np.bincount(np.concatenate(texts), minlength=64).astype(float), steps=30).fit
+    inputs, stream, scored = lm._windows(texts, 64)
+    lack = np.full((lm.STEP - len(stream)) % (4 * lm.STEP), 65, np.int32)
+    inputs, stream = np.append(inputs, lack), np.append(stream, lack)
+    whole, single = start.copy(), start.copy()
+    for fit, starts, blocks in ((whole, np.arange(lm.STEP, len(stream), 4 * lm.STEP), 4), (single, scored, 1)):
+        rows = starts[:, None]
+        for _ in range(3):
+            fit.step(inputs[rows + np.arange(-lm.STEP, blocks * lm.STEP)], stream[rows + np.arange(blocks * lm.STEP)], 0.01)
+    for name in start.w:
+        assert np.allclose(whole.w[name], single.w[name], atol=1e-4)
+        assert not np.allclose(whole.w[name], start.w[name], atol=1e-3)
+
+
+def test_neighbouring_targets_share_their_context(monkeypatch):
+    """Training looks up little more than one vector per target, though every window is twice its targets."""
+    t = Tokenizer.load()
+    texts = ["alpha beta gamma delta " * 400, "other words of one text " * 300]
+    counts = np.bincount(Slice(pa.array(texts)).stream(t)[0], minlength=t.size).astype(float)
+    start = train([], counts, steps=5).fit
+    taken, full = [], lm.Fit.step
+    monkeypatch.setattr(lm.Fit, "step", lambda self, x, y, *a, **k: taken.append((x.size, int((y != t.size + 1).sum()))) or full(self, x, y, *a, **k))
+    list(lm._learn(start, t)(iter([pa.record_batch([pa.array(texts)], ["text"])])))
+    looked_up, targets = np.sum(taken, axis=0)
+    assert targets == counts.sum() and looked_up < 1.5 * targets
