@@ -215,7 +215,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     in_region = lambda library: F.concat(F.lit("R"), F.col("r"), F.lit(f"/{library}"))
     i, nn = F.col("s_suppkey"), _padded(F.col("n_nationkey"), 2)
     callee = program_of((i * 7 + 3) % many)
-    programs = supplier.join(F.broadcast(own), F.col("s_nationkey") == F.col("n_nationkey"))
+    # a small table is read by one task, but a text of each row is work for many
+    programs = supplier.repartition(-(-many // 2000) or 1, "s_suppkey").join(F.broadcast(own), F.col("s_nationkey") == F.col("n_nationkey"))
     out = member(
         programs, in_region("SRC"), program_of(i), "cbl",
         _filled(PROGRAM, p=program_of(i), nn=nn, callee=callee, r=F.col("r"), r1=(F.col("r") + 1) % 5, state=F.when(i % 10 == 0, "X").when(i % 2 == 1, "O").otherwise("E"),
