@@ -1,20 +1,19 @@
 """Facts of a source estate as tables, and the questions asked of them (Q1-Q37).
 
-``build`` parses every member once, on the executors, into typed facts: one folder per fact, in which one struct column
-holds the fact's own columns, so that a question reads the columns it names and filters reach the files. Every question
+``build`` parses every member once, on the executors, into typed facts: one folder per fact, in which the fact's columns
+stand in slots by their types, so that a question reads the columns it names and filters reach the files. Every question
 is joins over these. What could not be resolved stays beside each answer in the ``unresolved`` facts.
 """
 
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quernstone.operators import graph, interval, recovery, relational, text
 from quernstone.session import cut
@@ -67,17 +66,44 @@ FACTS = {
 }
 
 
+#: Kinds of members that are parsed together, and the first and last fact that they alone give.
+GROUPS = {
+    "code": (("program", "copybook"), "program", "sql_col_ref"),
+    "jobs": (("jcl", "proc", "include"), "job", "card_field"),
+    "definitions": (("bms", "mfs", "dbd", "psb", "csd", "stage1"), "screen", "cics_file"),
+}
 _OWNER = ["member_id", "member", "system", "fact"]
+#: Slots of a stored row by their type: letter and Arrow type. A fact's columns take the slots of their types in order.
+_TYPES = {"string": ("s", pa.string()), "int": ("i", pa.int32()), "boolean": ("b", pa.bool_()), "array<string>": ("a", pa.list_(pa.string())), "map<string,string>": ("m", pa.map_(pa.string(), pa.string()))}
+#: Fact rows that a worker holds before it hands them on.
+ROWS = 20_000
+
+
+@functools.lru_cache(maxsize=1)
+def _slots() -> dict[str, dict[str, str]]:
+    """The slot of each column of each fact."""
+    out: dict[str, dict[str, str]] = {}
+    for fact, columns in FACTS.items():
+        taken: Counter[str] = Counter()
+        own = out[fact] = {}
+        for column in columns.split(", "):
+            name, kind = column.split(" ")
+            letter = _TYPES[kind][0]
+            own[name] = f"{letter}{taken[letter]}"
+            taken[letter] += 1
+    return out
 
 
 @functools.lru_cache(maxsize=1)
-def _structs() -> dict[str, StructType]:
-    """Only the driver can read the column lists; executors import this module too."""
-    return {fact: StructType.fromDDL(columns) for fact, columns in FACTS.items()}
+def _slot_types() -> dict[str, str]:
+    """All slots with their types, those of one type together."""
+    used = {slot for own in _slots().values() for slot in own.values()}
+    return {slot: kind for kind, (letter, _) in _TYPES.items() for slot in sorted((x for x in used if x[0] == letter), key=lambda x: int(x[1:]))}
 
 
-def fact_row() -> StructType:
-    return StructType([StructField(c, LongType() if c == "member_id" else StringType()) for c in _OWNER] + [StructField(f, t) for f, t in _structs().items()])
+def fact_row() -> str:
+    """Columns of a stored row: its owner, its fact, and the slots, which are few, as most facts have no column of most types."""
+    return ", ".join([*(f"{c} {'bigint' if c == 'member_id' else 'string'}" for c in _OWNER), *(f"{slot} {kind}" for slot, kind in _slot_types().items())])
 
 
 def facts_of(kind: str, source: str, parts: list[dict]) -> dict[str, list[dict]]:
@@ -99,28 +125,48 @@ def facts_of(kind: str, source: str, parts: list[dict]) -> dict[str, list[dict]]
     return macro[kind](source) if kind in macro else {}
 
 
+def _packed(fact: str, owners: list[tuple], rows: list[dict]) -> pa.RecordBatch:
+    """Rows of one fact in their slots."""
+    n = len(rows)
+    head = [pa.array([o[k] for o in owners], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+    column = {slot: name for name, slot in _slots()[fact].items()}
+    values = []
+    for slot, kind in _slot_types().items():
+        if slot not in column:
+            values.append(pa.nulls(n, _TYPES[kind][1]))
+        else:
+            own = [r.get(column[slot]) for r in rows]
+            values.append(pa.array([x and list(x.items()) for x in own] if slot[0] == "m" else own, _TYPES[kind][1]))
+    return pa.RecordBatch.from_arrays([*head, pa.array([fact] * n, pa.string()), *values], [*_OWNER, *_slot_types()])
+
+
 def _parser():
-    """(member_id, member, system, kind, text, parts) -> fact rows; a member that fails leaves one unresolved row."""
-    types = {f: to_arrow_type(t) for f, t in _structs().items()}
+    """(member_id, member, system, kind, text, parts) -> fact rows; a member that fails leaves one unresolved row.
+
+    Rows are handed on as soon as there are ``ROWS``, so a worker holds the facts of a few members, not of its whole batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners: dict[str, list[tuple]] = {}
+        rows: dict[str, list[dict]] = {}
+        held = 0
         for batch in batches:
-            owners: dict[str, list[tuple]] = {}
-            rows: dict[str, list[dict]] = {}
-            for member_id, member, system, kind, source, parts in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                try:
-                    facts = facts_of(kind, source, parts)
-                except Exception as error:  # one bad member must not end the build
-                    facts = {"unresolved": [{"kind": "parse_error", "detail": f"{type(error).__name__}: {error}", "line": 0}]}
-                for fact, own in facts.items():
-                    if fact in types:
-                        owners.setdefault(fact, []).extend([(member_id, member, system)] * len(own))
-                        rows.setdefault(fact, []).extend({k: list(v.items()) if isinstance(v, dict) else v for k, v in r.items()} for r in own)
-            for fact, own in rows.items():
-                n = len(own)
-                head = [pa.array([o[k] for o in owners[fact]], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
-                values = [pa.array(own, t) if f == fact else pa.nulls(n, t) for f, t in types.items()]
-                yield pa.RecordBatch.from_arrays([*head, pa.array([fact] * n, pa.string()), *values], [*_OWNER, *types])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for member_id, member, system, kind, source, parts in zip(*(part.column(k).to_pylist() for k in range(6))):
+                    try:
+                        facts = facts_of(kind, source, parts)
+                    except Exception as error:  # one bad member must not end the build
+                        facts = {"unresolved": [{"kind": "parse_error", "detail": f"{type(error).__name__}: {error}", "line": 0}]}
+                    for fact, own in facts.items():
+                        if fact in FACTS and own:
+                            owners.setdefault(fact, []).extend([(member_id, member, system)] * len(own))
+                            rows.setdefault(fact, []).extend(own)
+                            held += len(own)
+                    if held >= ROWS:
+                        yield from (_packed(fact, owners[fact], own) for fact, own in rows.items())
+                        owners, rows, held = {}, {}, 0
+        yield from (_packed(fact, owners[fact], own) for fact, own in rows.items())
 
     return run
 
@@ -130,26 +176,29 @@ def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from quernstone.functions.cobol import copy_names
     from quernstone.functions.jcl import part_names
 
-    for batch in batches:
-        rows = []
-        for member, kind, source in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            names = {n for n, _, _ in copy_names(source)} if kind in ("program", "copybook") else part_names(source)
-            rows += [(member, n) for n in sorted(names)]
-        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["member_id", "part"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch, rows = whole.slice(at, 256), []
+            for member, kind, source in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                names = {n for n, _, _ in copy_names(source)} if kind in ("program", "copybook") else part_names(source)
+                rows += [(member, n) for n in sorted(names)]
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["member_id", "part"])
 
 
 PARTS = ("copybook", "proc", "include", "ctlcard")
+USERS = ("program", "copybook", "jcl", "proc", "include")
 
 
-def parts_of(members: DataFrame, limit: int = 100) -> DataFrame:
-    """(member_id, parts array<(name, text)>, ambiguous): the copybooks, procedures and cards each member needs, all levels.
+def parts_of(members: DataFrame, kinds: tuple[str, ...] = USERS, tasks: int | None = None, limit: int = 100) -> DataFrame:
+    """(member_id, parts array<(name, text)>, ambiguous): the copybooks, procedures and cards each member of these kinds needs, all levels.
 
     Level by level by joins, so no text is broadcast. Of several parts of one name one is chosen by precedence: the
     first by path of the same system, else the first of an authoritative library, else the first of all (E8); all are
     aggregates with one row per name, so a name that every system holds does not multiply. A recursion ends because a
     name is taken once per member; more than ``limit`` levels raise.
     """
-    usable = members.filter(F.col("kind").isin("program", "copybook", "jcl", "proc", "include"))
+    kinds = tuple(k for k in kinds if k in USERS)
+    usable = members.filter(F.col("kind").isin(*kinds, *PARTS) & F.col("kind").isin(*USERS))
     uses = cut(usable.select("member_id", "kind", "text").mapInArrow(_uses, "member_id bigint, part string"))
     library = members.filter(F.col("kind").isin(*PARTS)).select(F.col("name").alias("part"), "system", "path", "member_id", "norm_sha", (~F.col("authoritative")).alias("later"))
     own = library.groupBy("part", "system").agg(F.min(F.struct("path", "member_id")).alias("own"))
@@ -159,8 +208,8 @@ def parts_of(members: DataFrame, limit: int = 100) -> DataFrame:
         both = need.join(any_, "part").join(own, ["part", "system"], "left")
         return both.select("member_id", "system", "part", F.coalesce("own.member_id", "any.member_id").alias("part_id"), "ambiguous")
 
-    inner = uses.select(F.col("member_id").alias("part_id"), F.col("part").alias("next"))
-    frontier = cut(resolved(usable.select("member_id", "system").join(uses, "member_id")))
+    inner = uses.join(members.filter(F.col("kind").isin(*PARTS)).select("member_id"), "member_id", "left_semi").select(F.col("member_id").alias("part_id"), F.col("part").alias("next"))
+    frontier = cut(resolved(members.filter(F.col("kind").isin(*kinds)).select("member_id", "system").join(uses, "member_id")))
     seen = frontier
     for _ in range(limit):
         below = frontier.join(inner, "part_id").select("member_id", "system", F.col("next").alias("part")).distinct()
@@ -172,6 +221,8 @@ def parts_of(members: DataFrame, limit: int = 100) -> DataFrame:
         raise RuntimeError(f"parts nest more than {limit} levels deep")
     texts = members.filter(F.col("kind").isin(*PARTS)).select(F.col("member_id").alias("part_id"), F.col("text").alias("part_text"))
     chosen = seen.join(texts, "part_id")
+    if tasks:
+        chosen = chosen.repartition(tasks, "member_id")
     return chosen.groupBy("member_id").agg(F.collect_list(F.struct(F.col("part").alias("name"), F.col("part_text").alias("text"))).alias("parts"), F.max("ambiguous").alias("ambiguous"))
 
 
@@ -179,8 +230,18 @@ def _parsed(members: DataFrame) -> DataFrame:
     return members.select("member_id", F.col("name").alias("member"), "system", "kind", "text", "parts").mapInArrow(_parser(), fact_row())
 
 
-def parse(members: DataFrame) -> DataFrame:
-    return _parsed(members.join(parts_of(members), "member_id", "left"))
+#: Bytes of source that one task parses: its facts are sorted before they are written, so this bounds their memory.
+TASK_BYTES = 8_000_000
+
+
+def parse(members: DataFrame, group: str | None = None) -> DataFrame:
+    """Facts of all members, or of a group of kinds alone."""
+    kinds = GROUPS[group][0] if group else USERS
+    own = members.filter(F.col("kind").isin(*kinds)) if group else members
+    size = own.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(1, -(-size // TASK_BYTES), min(members.sparkSession.sparkContext.defaultParallelism, size // 65_536))
+    own = own.repartition(tasks, "member_id")
+    return _parsed(own.join(parts_of(members, kinds, tasks), "member_id", "left") if set(kinds) & set(USERS) else own.withColumn("parts", F.lit(None).cast("array<struct<name:string,text:string>>")))
 
 
 def build(spark: SparkSession, root: str, out: str, manifest: dict | None = None) -> Estate:
@@ -189,16 +250,17 @@ def build(spark: SparkSession, root: str, out: str, manifest: dict | None = None
     return store(apply_manifest(members, manifest, root) if manifest else members, out)
 
 
-def _write_facts(rows: DataFrame, out: str) -> None:
-    rows.write.mode("overwrite").partitionBy("fact").parquet(f"{out}/facts")
+def _write_facts(rows: DataFrame, folder: str) -> None:
+    rows.write.mode("overwrite").partitionBy("fact").parquet(folder)
 
 
-def store(members: DataFrame, out: str) -> Estate:
+def store(members: DataFrame, out: str, on_demand: bool = False) -> Estate:
+    """All members, and their facts; on demand, a group of kinds is parsed when a question first reads a fact of it."""
     spark = members.sparkSession
     members.write.mode("overwrite").parquet(f"{out}/members")
-    members = spark.read.parquet(f"{out}/members")
-    _write_facts(parse(members), out)
-    return Estate(spark, out)
+    if not on_demand:
+        _write_facts(parse(spark.read.parquet(f"{out}/members")), f"{out}/facts")
+    return Estate(spark, out, on_demand)
 
 
 def refresh(spark: SparkSession, root: str, old: str, new: str) -> Estate:
@@ -216,25 +278,38 @@ def refresh(spark: SparkSession, root: str, old: str, new: str) -> Estate:
     stale = cut(changed.union(forced).distinct())
     kept = spark.read.schema(fact_row()).parquet(f"{old}/facts").join(now.select("member_id"), "member_id", "left_semi").join(stale, "member_id", "left_anti")
     fresh = _parsed(now.join(stale, "member_id", "left_semi").join(parts, "member_id", "left"))
-    _write_facts(kept.select(*fact_row().names).unionByName(fresh), new)
+    _write_facts(kept.unionByName(fresh), f"{new}/facts")
     return Estate(spark, new)
 
 
 class Estate:
     """Reader of one stored version, with one method per question."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, on_demand: bool = False) -> None:
+        self.spark, self.path, self.on_demand = spark, path, on_demand
         self._tables: dict[str, DataFrame] = {}
 
-    @property
+    @functools.cached_property
     def members(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/members")
 
+    def _facts(self, group: str | None) -> DataFrame:
+        """All facts, or those of a group that is parsed on demand; their files are listed once for all questions."""
+        key = f"facts {group}"
+        if key not in self._tables:
+            folder = f"{self.path}/facts-{group}" if group else f"{self.path}/facts"
+            if group:
+                _write_facts(parse(self.members, group), folder)
+            self._tables[key] = self.spark.read.schema(fact_row()).parquet(folder)
+        return self._tables[key]
+
     def fact(self, name: str) -> DataFrame:
         """One fact table: member_id, member (name), system, and its columns; only the columns used are read."""
-        rows = self.spark.read.schema(fact_row()).parquet(f"{self.path}/facts").filter(F.col("fact") == name)
-        return rows.select("member_id", "member", "system", f"{name}.*")
+        order = list(FACTS)
+        groups = [g for g, (_, first, last) in GROUPS.items() if name == "unresolved" or order.index(first) <= order.index(name) <= order.index(last)] if self.on_demand else [None]
+        rows = functools.reduce(DataFrame.unionByName, (self._facts(g) for g in groups))
+        named = {c: c for c in _OWNER[:3]} | _slots()[name]  # aliases, so that two facts never share a column
+        return rows.filter(F.col("fact") == name).select(*[F.col(slot).alias(c) for c, slot in named.items()])
 
     # -- programs ----------------------------------------------------------------------------------------------------
 
@@ -668,11 +743,13 @@ class Estate:
         plain = (F.col("redefines") == "") & (F.col("occurs") == 1) & (F.col("name") != "FILLER")
         return rows.select("program_id", "root", "name", "path", F.col("offset").cast("long").alias("lo"), (F.col("offset") + F.col("extent")).cast("long").alias("hi"), F.col("length").cast("long").alias("length"), "pic", "is_group", plain.alias("plain"))
 
-    def _links(self) -> DataFrame:
-        """(a_program, a, a_of, a_sub, b_program, b, b_of, b_sub, how, line): names from which bytes go to names.
+    def _links(self) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame, list[str], Column]]]:
+        """Names from which bytes go to names: direct links, and meetings.
 
-        Moves and other statements, pointers, arguments and parameters, columns, database segments, queues, containers,
-        transactions and message queues (G15, G17, G20, G22-G26).
+        Direct are moves and other statements, pointers, arguments and parameters, transactions: (a_program, a, a_of, a_sub,
+        b_program, b, b_of, b_sub, how, line). A meeting is what programs put under keys, what programs get under them, the
+        keys, and how: columns, database segments, queues, containers and message queues (G15, G17, G20, G22-G26). Its pairs
+        grow with the square of the programs that share a key, so whoever needs only some of them, or sums, never makes all.
         """
         programs = self._kept("programs", lambda: self.fact("program").select("member_id", "program_id", "linkage"))
         ids = programs.select("member_id", "program_id")
@@ -681,11 +758,11 @@ class Estate:
         def named(df: DataFrame, a: str, b: str, how: Column, a_program: str = "a_program", b_program: str = "b_program") -> DataFrame:
             return df.select(F.col(a_program).alias("a_program"), F.col(a).alias("a"), none.alias("a_of"), none.alias("a_sub"), F.col(b_program).alias("b_program"), F.col(b).alias("b"), none.alias("b_of"), none.alias("b_sub"), how.alias("how"), "line")
 
-        def met(put: DataFrame, get: DataFrame, on: list[str], how: Column) -> DataFrame:
+        def met(put: DataFrame, get: DataFrame, on: list[str], how: Column) -> tuple[DataFrame, DataFrame, list[str], Column]:
             """What one program puts under a key and another, or the same, gets under it."""
             a = put.select(*on, F.col("program_id").alias("a_program"), F.col("area").alias("a"), "line")
             b = get.select(*on, F.col("program_id").alias("b_program"), F.col("area").alias("b")).distinct()
-            return named(a.join(b, on), "a", "b", how)
+            return a, b, on, how
 
         flows = self._kept("flows", lambda: self.fact("data_flow").join(ids, "member_id").drop("member_id", "member", "system"))
         moves = flows.filter("src <> '' and verb not like 'ADDRESS%'").select(F.col("program_id").alias("a_program"), F.col("src").alias("a"), F.col("src_of").alias("a_of"), F.col("src_sub").alias("a_sub"), F.col("program_id").alias("b_program"), F.col("dst").alias("b"), F.col("dst_of").alias("b_of"), F.col("dst_sub").alias("b_sub"), F.col("verb").alias("how"), "line")
@@ -713,18 +790,21 @@ class Estate:
         mq = self.fact("mq_call").join(ids, "member_id").filter("queue <> '' and area <> ''")
         messages = met(mq.filter("verb like 'MQPUT%'"), mq.filter("verb = 'MQGET'"), ["queue"], F.concat(F.lit("message queue "), "queue"))
         out = moves
-        for more in (pointers, calls, areas, tables, segments, queues, started, returned, messages):
+        for more in (pointers, calls, areas, started, returned):
             out = out.unionByName(more)
-        return out
+        return out, [tables, segments, queues, messages]
 
     def _resolved_names(self) -> DataFrame:
         """(program_id, name, of, n, item): each name used, with its OF/IN groups, and how many items of the program it fits.
 
         With exactly one, that is the item; the rest are the residue of :meth:`unresolved_names`.
         """
-        links = self._kept("links", self._links)
+        links, meetings = self._linked()
         ends = [links.select(F.col(f"{e}_program").alias("program_id"), F.col(e).alias("name"), F.col(f"{e}_of").alias("of")) for e in "ab"]
-        used = ends[0].union(ends[1]).distinct()
+        for put, get, on, _ in meetings:
+            for e, one, other in (("a", put, get), ("b", get, put)):
+                ends.append(one.join(other.select(*on).distinct(), on, "left_semi").select(F.col(f"{e}_program").alias("program_id"), F.col(e).alias("name"), F.lit("").alias("of")))
+        used = functools.reduce(DataFrame.union, ends).distinct()
         items = self._kept("items", self.items)
         groups = F.reverse(F.split("of", "/"))
         pattern = F.concat(F.lit("(^|/)"), F.array_join(groups, "(/.*)?/"), F.lit("(/.*)?/"), "name", F.lit("$"))
@@ -748,23 +828,53 @@ class Estate:
         last = F.when(begin.isNotNull(), F.coalesce(F.least(lo + begin - 1 + size, hi), hi)).when(element.isNotNull() & (lo + element * length <= hi), lo + element * length).otherwise(hi)
         return first, last
 
+    def _linked(self) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame, list[str], Column]]]:
+        """Direct links, made once per estate, and meetings."""
+        if "links" not in self._tables:
+            direct, self._meetings = self._links()
+            self._tables["links"] = cut(direct)
+        return self._tables["links"], self._meetings
+
+    def _end(self, side: str) -> DataFrame:
+        """Names that fit one item, with its bytes, as one end of a link."""
+        names = self._kept("names", self._resolved_names).filter("n = 1")
+        return names.select(F.col("program_id").alias(f"{side}_program"), F.col("name").alias(side), F.col("of").alias(f"{side}_of"), *[F.col(f"item.{c}").alias(f"{side}_{c}") for c in ("root", "path", "lo", "hi", "length", "pic")])
+
+    def _met_ends(self) -> list[tuple[DataFrame, DataFrame, list[str]]]:
+        """Of each meeting, both sides as byte ranges, with the keys and how: a side is as long as the facts it comes from."""
+
+        def side(e: str, rows: DataFrame, on: list[str], how: Column, *more: str) -> DataFrame:
+            own = self._end(e).filter(F.col(f"{e}_of") == "").drop(f"{e}_of")
+            return rows.join(own, [f"{e}_program", e]).select(*on, how.alias("how"), f"{e}_program", *[f"{e}_{c}" for c in ("root", "lo", "hi", "pic")], *more)
+
+        return [(side("a", put, on, how, "line"), side("b", get, on, how), [*on, "how"]) for put, get, on, how in self._linked()[1]]
+
     def flow_edges(self) -> DataFrame:
-        """The edges of the value flow, made once per estate."""
-        return self._kept("edges", self._flow_edges)
+        """The edges of the value flow: direct ones, and all pairs that meet, which are not stored."""
+        direct = self._kept("edges", self._flow_edges)
+        return functools.reduce(DataFrame.unionByName, (a.join(b, on).select(*direct.columns) for a, b, on in self._met_ends()), direct)
+
+    def flow_totals(self) -> DataFrame:
+        """(how, n, a_lo, a_hi, b_lo, b_hi): the edges of the value flow by how, with sums of their ends.
+
+        Of n puts and m gets under a key there are n m pairs, in which each put's bytes count m times and each get's n
+        times, so no pair is made.
+        """
+        places = ("lo", "hi")
+        out = self._kept("edges", self._flow_edges).groupBy("how").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"{e}_{c}").alias(f"{e}_{c}") for e in "ab" for c in places])
+        for a, b, on in self._met_ends():
+            sums = [rows.groupBy(*on).agg(F.count(F.lit(1)).alias(f"{e}_n"), *[F.sum(f"{e}_{c}").alias(f"{e}_{c}") for c in places]) for e, rows in (("a", a), ("b", b))]
+            met = sums[0].join(sums[1], on)
+            out = out.unionByName(met.select("how", (F.col("a_n") * F.col("b_n")).alias("n"), *[(F.col(f"{e}_{c}") * F.col(f"{'ba'['ab'.index(e)]}_n")).alias(f"{e}_{c}") for e in "ab" for c in places]))
+        return out.groupBy("how").agg(*[F.sum(c).alias(c) for c in out.columns if c != "how"])
 
     def _flow_edges(self) -> DataFrame:
-        """Edges between byte ranges: (a_program, a_root, a_lo, a_hi, a_pic, b_program, b_root, b_lo, b_hi, b_pic, how, line).
+        """Direct edges between byte ranges: (a_program, a_root, a_lo, a_hi, a_pic, b_program, b_root, b_lo, b_hi, b_pic, how, line).
 
         MOVE CORRESPONDING is one edge for each pair of elementary items of the same name and place in both groups (G16);
         FILLER, REDEFINES and OCCURS take no part.
         """
-        names = self._kept("names", self._resolved_names).filter("n = 1")
-
-        def end(side: str) -> DataFrame:
-            own = names.select(F.col("program_id").alias(f"{side}_program"), F.col("name").alias(side), F.col("of").alias(f"{side}_of"), *[F.col(f"item.{c}").alias(f"{side}_{c}") for c in ("root", "path", "lo", "hi", "length", "pic")])
-            return own
-
-        both = self._kept("links", self._links).join(end("a"), ["a_program", "a", "a_of"]).join(end("b"), ["b_program", "b", "b_of"])
+        both = self._linked()[0].join(self._end("a"), ["a_program", "a", "a_of"]).join(self._end("b"), ["b_program", "b", "b_of"])
         (a_lo, a_hi), (b_lo, b_hi) = self._part("a"), self._part("b")
         plain = both.filter("how <> 'MOVE CORR'").select("a_program", "a_root", a_lo.alias("a_lo"), a_hi.alias("a_hi"), "a_pic", "b_program", "b_root", b_lo.alias("b_lo"), b_hi.alias("b_hi"), "b_pic", "how", "line")
         small = self._kept("items", self.items).filter("plain and not is_group")
@@ -833,16 +943,26 @@ class Estate:
         item, or several, are in :meth:`unresolved_names`. The walk ignores the order of statements.
         """
         items = self._kept("items", self.items)
-        edges = self.flow_edges()
+        edges = self._kept("edges", self._flow_edges)
         files = self.file_edges()
         near, far = ("b", "a") if up else ("a", "b")
         steps = edges.select(F.col(f"{near}_program").alias("program_id"), F.col(f"{near}_root").alias("root"), F.col(f"{near}_lo").alias("lo"), F.col(f"{near}_hi").alias("hi"), F.col(f"{near}_pic").alias("pic"), F.col(f"{far}_program").alias("d_program"), F.col(f"{far}_root").alias("d_root"), F.col(f"{far}_lo").alias("d_lo"), F.col(f"{far}_hi").alias("d_hi"), F.col(f"{far}_pic").alias("d_pic"), "how", "line")
+        # of a meeting only the pairs of the frontier's own ranges are made
+        met = []
+        for a, b, on in self._met_ends():
+            own, other = (b.withColumn("line", F.lit(None).cast("int")), a) if up else (a, b.withColumn("line", F.lit(None).cast("int")))
+            own = own.select(*on, F.col(f"{near}_program").alias("program_id"), *[F.col(f"{near}_{c}").alias(c) for c in ("root", "lo", "hi", "pic")], F.col("line").alias("own_line"))
+            met.append((own, other.select(*[F.col(c).alias(f"r_{c}") for c in on], F.col(f"{far}_program").alias("r_d_program"), *[F.col(f"{far}_{c}").alias(f"r_d_{c}") for c in ("root", "lo", "hi", "pic")], F.col("line").alias("far_line")), [f"r_{c}" for c in on]))
         records = files.select(F.col("other").alias("program_id"), F.col("d_root").alias("root"), F.col("program_id").alias("other"), F.col("root").alias("d_root"), "dsn") if up else files
         start = items.filter((F.col("name") == field.upper()) & (F.col("program_id") == program.upper()))
         frontier = cut(start.select(F.lit(0).alias("hop"), "program_id", "root", "lo", "hi", F.lit("start").alias("how"), F.lit(0).alias("line")))
         seen = frontier
         for hop in range(1, hops + 1):
-            at = interval.overlap_join(frontier.select("program_id", "root", "lo", "hi"), steps, ["program_id", "root"], "lo", "hi", 256)
+            nodes = frontier.select("program_id", "root", "lo", "hi")
+            at = interval.overlap_join(nodes, steps, ["program_id", "root"], "lo", "hi", 256)
+            for own, other, on in met:
+                pairs = interval.overlap_join(nodes, own, ["program_id", "root"], "lo", "hi", 256).join(other, on)
+                at = at.unionByName(pairs.withColumn("r_line", F.coalesce("r_own_line", "far_line")).select(*at.columns))
             begin = F.greatest("lo", "r_lo") - F.col("r_lo")
             size = F.least("hi", "r_hi") - F.greatest("lo", "r_lo")
             # left-justified bytes, cut at the other end's last; the whole of it where a move converts the picture
