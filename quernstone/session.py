@@ -58,6 +58,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tasks_for(spark: SparkSession, rows: int, most: int = 500_000) -> int:
+    """Tasks of at most so many rows on average, and enough for all cores where there is work for them."""
+    return max(1, -(-rows // most), min(spark.sparkContext.defaultParallelism, rows // 20_000))
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on the executors, once per application, wherever the driver was started."""
     context = spark.sparkContext

@@ -90,3 +90,22 @@ def test_short_cuts_of_parsing_change_nothing():
         assert jcl._keywords(ops) == {x.partition("=")[0].upper(): x.partition("=")[2] for x in operands(ops)}
     text = "//J JOB X\n//    SET M='L(ABC)'\n//S EXEC PGM=P\n//A DD DSN=&M\n//B DD DSN=L(DEF),DISP=SHR\n//C DD DSN=L,DISP=SHR\n//D DD DSN=L,DSN=L(GHI)\n"
     assert jcl.part_names(text) == {"ABC", "DEF", "GHI"}
+
+
+def test_impact_counts_grow_by_tasks_not_in_them(spark, tmp_path):
+    from quernstone.plans.catalogue import QUERIES
+    from quernstone.session import tasks_for
+
+    assert tasks_for(spark, 36_000_000) == 72 and tasks_for(spark, 216_000_000) == 432 and tasks_for(spark, 0) == 1
+    out = QUERIES["copybook_impact"](spark, SF)
+    assert "Expand" not in out._jdf.queryExecution().toString()
+    # an order and a customer that are there twice, an order without its customer, a brand and a nation that are null
+    for name, rows, schema in (
+        ("part", [(1, "A"), (2, None)], "p_partkey long, p_brand string"),
+        ("lineitem", [(1, 1), (1, 1), (2, 1), (2, 2), (3, 1)], "l_orderkey long, l_partkey long"),
+        ("orders", [(1, 1), (1, 2), (2, 3), (3, 9)], "o_orderkey long, o_custkey long"),
+        ("customer", [(1, 5), (2, 5), (2, 6), (3, None)], "c_custkey long, c_nationkey int"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = QUERIES["copybook_impact"](spark, str(tmp_path)).select("p_brand", "n_orders", "n_customers", "n_nations")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("A", 2, 3, 2), (None, 1, 1, 0)], key=str)
